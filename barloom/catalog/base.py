@@ -43,12 +43,11 @@ def query(name: str, cols: str | None = None, sql: str | None = None):
             out = []
             for c, t in spec:
                 if t == "i":
-                    out.append(f"CAST({c} AS BIGINT) AS {c}")
+                    out.append(f"CAST(\"{c}\" AS BIGINT) AS \"{c}\"")
                 elif t.startswith("d"):
-                    out.append(f"round(CAST({c} AS DOUBLE), {int(t[1:] or 6)}) + 0.0 AS {c}")
+                    out.append(f"round(CAST(\"{c}\" AS DOUBLE), {int(t[1:] or 6)}) + 0.0 AS \"{c}\"")
                 else:
-                    out.append(c)
-            # WITH clauses stay at the top level: the projection wraps the last SELECT only.
+                    out.append(f'"{c}"')
             twin = f"SELECT {', '.join(out)} FROM (\n{sql}\n) AS result"
         REGISTRY[name] = (run, twin)
         return fn

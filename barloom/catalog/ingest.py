@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ def shared_folder(spark, name: str) -> str:
     )
     if not base:
         return tempfile.mkdtemp(prefix="spark-", dir="/tmp") + f"/{name}"
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-{name}-{spark.sparkContext.startTime}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query(

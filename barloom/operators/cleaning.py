@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.plans.clock import micros, plus_micros
 from barloom.plans.ordered import last_known, null_safe_join, with_position
 from barloom.plans.quantiles import exact_quantiles, per_key
 from barloom.plans.series import lay_out
@@ -102,9 +103,12 @@ def time_grid(df: DataFrame, every_us: int, *, keys=("symbol",), ts="ts") -> Dat
 
     Steps are produced in chunks, spread over the cluster, so no row holds a whole series.
     """
-    t = F.unix_micros(ts)
+    t = micros(df, ts)
     ends = df.groupBy(*keys).agg(
-        F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.count(F.lit(1)).alias("_rows")
+        F.min(ts).alias("_start"),
+        F.min(t).alias("_t0"),
+        F.max(t).alias("_t1"),
+        F.count(F.lit(1)).alias("_rows"),
     )
     ends = ends.withColumn("_steps", F.floor((F.col("_t1") - F.col("_t0")) / every_us) + 1)
     last_chunk = F.floor((F.col("_steps") - 1) / GRID_CHUNK)
@@ -115,7 +119,7 @@ def time_grid(df: DataFrame, every_us: int, *, keys=("symbol",), ts="ts") -> Dat
     grid = chunks.withColumn("g", F.explode(F.sequence(lo, hi)))
     return grid.select(
         *keys,
-        F.timestamp_micros(F.col("_t0") + F.col("g") * every_us).alias(ts),
+        plus_micros(F.col("_start"), F.col("g") * every_us).alias(ts),
         "g",
         (F.col("_steps") > F.col("_rows")).alias("_fill"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.cleaning import outlier_rows
+from barloom.plans.clock import micros
 from barloom.plans.ordered import null_safe_join
 from barloom.plans.quantiles import exact_quantiles, per_key
 from barloom.plans.series import columns_step, over_series
@@ -68,10 +69,11 @@ def ohlc_violations(df, *, keys=("symbol",)) -> DataFrame:
 
 def _steps(df, keys, ts, block_rows=None) -> DataFrame:
     """Bars with the move and the seconds since the previous bar."""
+    df = df.withColumn("_us", micros(df, ts))
     step = columns_step(
         lambda f: {
             "move": F.abs(F.try_divide(F.col("close"), f.lag("close")) - 1),
-            "gap_s": (F.unix_micros(ts) - F.unix_micros(f.lag(ts))) / 1_000_000,
+            "gap_s": (F.col("_us") - f.lag("_us")) / 1_000_000,
             "prev_ts": f.lag(ts),
         },
         back=1,

@@ -16,16 +16,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.plans.clock import DAY_US, is_time, micros
+
 FAN = 1024
-DAY_US = 86_400_000_000
+HOUR_US = 3_600_000_000
 ID_STEP = 65_536
 
 
 def bucket_of(df: DataFrame, order: str, width: int | None = None) -> Column:
     """Bucket number of the order column: microseconds for timestamps, units for numbers."""
-    kind = df.schema[order].dataType
-    if isinstance(kind, T.TimestampType):
-        return F.floor(F.unix_micros(order) / F.lit(width or DAY_US)).cast("long")
+    if is_time(df, order):
+        return F.floor(micros(df, order) / F.lit(width or DAY_US)).cast("long")
     return F.floor(F.col(order) / F.lit(width or ID_STEP)).cast("long")
 
 
@@ -58,6 +59,7 @@ def running(
 ) -> DataFrame:
     """Add running sum / count / max / min columns over each key's whole history.
 
+    ``bucket`` replaces the default bucket number by an expression of bounded range.
     ``specs`` maps an output name to ``(kind, column)``. Struct-valued max and min carry a value
     along with its position, which is how the last or next non-null value is found. With
     ``backward`` the aggregate runs from the end; with ``exclusive`` the row itself is left out.
@@ -79,26 +81,29 @@ def running(
         return F.col(c).desc() if backward else F.col(c).asc()
 
     before = (Window.unboundedPreceding, -1)
-    fine = data.groupBy(*keys, "_b1", "_b0").agg(
+    many = bucket is None and not (is_time(df, order) and (width or DAY_US) >= HOUR_US)
+    levels = ["_b1", "_b0"] if many else ["_b0"]
+    fine = data.groupBy(*keys, *levels).agg(
         *[_AGG[specs[n][0]](f"_v_{n}").alias(f"_t_{n}") for n in names]
     )
-    coarse = fine.groupBy(*keys, "_b1").agg(
-        *[_MERGE[specs[n][0]](f"_t_{n}").alias(f"_c_{n}") for n in names]
-    )
-    w1 = Window.partitionBy(*keys).orderBy(direction("_b1")).rowsBetween(*before)
-    coarse = coarse.select(
-        *keys,
-        "_b1",
-        *[_MERGE[specs[n][0]](f"_c_{n}").over(w1).alias(f"_o1_{n}") for n in names],
-    )
-    w0 = Window.partitionBy(*keys, "_b1").orderBy(direction("_b0")).rowsBetween(*before)
-    fine = fine.withColumns({f"_o0_{n}": _MERGE[specs[n][0]](f"_t_{n}").over(w0) for n in names})
-    fine = null_safe_join(fine, coarse, [*keys, "_b1"])
-    fine = fine.select(
-        *keys,
-        "_b0",
-        *[join_parts(n, F.col(f"_o1_{n}"), F.col(f"_o0_{n}")).alias(f"_off_{n}") for n in names],
-    )
+    inner = [*keys, "_b1"] if many else keys
+    w0 = Window.partitionBy(*inner).orderBy(direction("_b0")).rowsBetween(*before)
+    off = {f"_off_{n}": _MERGE[specs[n][0]](f"_t_{n}").over(w0) for n in names}
+    if many:
+        coarse = fine.groupBy(*keys, "_b1").agg(
+            *[_MERGE[specs[n][0]](f"_t_{n}").alias(f"_c_{n}") for n in names]
+        )
+        w1 = Window.partitionBy(*keys).orderBy(direction("_b1")).rowsBetween(*before)
+        coarse = coarse.select(
+            *keys,
+            "_b1",
+            *[_MERGE[specs[n][0]](f"_c_{n}").over(w1).alias(f"_o1_{n}") for n in names],
+        )
+        fine = null_safe_join(fine.withColumns(off), coarse, inner)
+        off = {
+            f"_off_{n}": join_parts(n, F.col(f"_o1_{n}"), F.col(f"_off_{n}")) for n in names
+        }
+    fine = fine.withColumns(off).select(*keys, "_b0", *off)
     w = (
         Window.partitionBy(*keys, "_b0")
         .orderBy(direction(order), *[direction(t) for t in ties])
