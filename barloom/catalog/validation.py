@@ -144,7 +144,7 @@ def v7(spark, sf):
 
 @query(
     "v8_large_gaps",
-    "symbol median_gap_s:d large_gaps:i",
+    "symbol median_gap_s:d3 large_gaps:i",
     f"""WITH s AS (SELECT event_type AS symbol,
   epoch_us(ts) / 1e6 - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts) / 1e6 AS gap_s FROM events),
 m AS (SELECT symbol, median(gap_s) AS median_gap_s FROM s GROUP BY 1)

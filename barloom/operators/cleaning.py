@@ -58,8 +58,7 @@ def forward_fill(df, *, keys=("symbol",), ts="ts", width=None, ties=()) -> DataF
 def backward_fill(df, *, keys=("symbol",), ts="ts", width=None, ties=()) -> DataFrame:
     """Prices from the next known row; volume still fills forward, then with zero."""
     opts = {"position": ts, "keys": keys, "order": ts, "width": width, "ties": ties}
-    out = last_known(df, {f"_n{c}": c for c in PRICES}, backward=True, **opts)
-    out = last_known(out, {"_pv": "volume"}, **opts)
+    out = last_known(df, {"_pv": "volume"}, {f"_n{c}": c for c in PRICES}, **opts)
     out = out.withColumns({c: F.col(f"_n{c}")["v"] for c in PRICES})
     out = out.withColumn("volume", _filled_volume())
     return out.select(*df.columns).na.drop(subset=list(PRICES))
@@ -76,8 +75,7 @@ def interpolate(df, *, keys=("symbol",), ts="ts", width=None, ties=()) -> DataFr
     """Linear by row position, not by time; trailing holes hold the last value."""
     pos = with_position(df, keys=keys, order=ts, width=width, ties=ties)
     opts = {"position": "_rn", "keys": keys, "order": ts, "width": width, "ties": ties}
-    out = last_known(pos, {f"_p{c}": c for c in OHLCV}, **opts)
-    out = last_known(out, {f"_n{c}": c for c in PRICES}, backward=True, **opts)
+    out = last_known(pos, {f"_p{c}": c for c in OHLCV}, {f"_n{c}": c for c in PRICES}, **opts)
     out = out.withColumns(
         {c: F.coalesce(c, _lerp(F.col("_rn"), F.col(f"_p{c}"), F.col(f"_n{c}"))) for c in PRICES}
     )
@@ -153,8 +151,7 @@ def fill_time_gaps(
         minute = F.hour(ts) * 60 + F.minute(ts)
         full = full.filter(F.col("close").isNotNull() | minute.between(*session))
     opts = {"position": "g", "keys": keys, "order": ts, "width": width}
-    out = last_known(full, {f"_p{c}": c for c in cols}, **opts)
-    out = last_known(out, {f"_n{c}": c for c in cols}, backward=True, **opts)
+    out = last_known(full, {f"_p{c}": c for c in cols}, {f"_n{c}": c for c in cols}, **opts)
     filled = {}
     for c in cols:
         prev, nxt, gap = F.col(f"_p{c}"), F.col(f"_n{c}"), F.col("g") - F.col(f"_p{c}")["at"]
@@ -220,7 +217,7 @@ def clamp_price_outliers(df, *, method="iqr", keys=("symbol",), threshold=3.0) -
     """Flagged prices are clipped to median +- 5 median absolute deviations."""
     m = _marked(df, PRICES, method, keys, threshold)
     med = exact_quantiles(df, {c: (0.5,) for c in PRICES}, keys=keys)
-    m = per_key(m, med, keys)
+    m = durable(per_key(m, med, keys))
     m = m.withColumns({f"dev_{c}": F.abs(F.col(c) - F.col(f"q_{c}_0")) for c in PRICES})
     dev = exact_quantiles(m, {f"dev_{c}": (0.5,) for c in PRICES}, keys=keys)
     m = per_key(m, dev, keys)
@@ -333,13 +330,17 @@ def preprocess(
     ts="ts",
     ingest=None,
 ) -> DataFrame:
-    """Fill, deduplicate, close gaps, tame outliers, repair: the whole cleaning chain."""
+    """Fill, deduplicate, close gaps, tame outliers, repair: the whole cleaning chain.
+
+    Each stage reads its input more than once, so stages hand over through the shared folder
+    instead of multiplying the plan.
+    """
     out = fill_missing(df, fill, keys=keys, ts=ts, ties=[ingest] if ingest else ())
     out = keep_first(out, keys=keys, ts=ts, ingest=ingest)
     if ingest:
         out = out.drop(ingest)
-    out = fill_time_gaps(out, every_us, limit, keys=keys, ts=ts)
+    out = durable(fill_time_gaps(durable(out), every_us, limit, keys=keys, ts=ts))
     out = clamp_price_outliers(out, method=method, keys=keys)
-    out = cap_volume_outliers(out, method=method, keys=keys)
+    out = durable(cap_volume_outliers(durable(out), method=method, keys=keys))
     out = repair_volume(repair_ohlc(out))
     return cap_close_moves(out, cap, keys=keys, ts=ts)

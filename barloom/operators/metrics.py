@@ -207,11 +207,10 @@ def average_precision(df, label="label", score="probability", by: Sequence[str]
     counts, keys = _score_counts(df, label, score, by)
     cum = running(
         counts,
-        {"_tp": ("sum", F.col("_pos")), "_fp": ("sum", F.col("_neg"))},
+        {"_tp": ("sum", F.col("_pos"), "back"), "_fp": ("sum", F.col("_neg"), "back")},
         keys=keys,
         order="_s",
         bucket=_score_bucket(),
-        backward=True,
     )
     gain = F.col("_pos") * F.col("_tp") / (F.col("_tp") + F.col("_fp"))
     agg = cum.groupBy(*keys).agg(F.sum(gain).alias("_g"), F.sum("_pos").alias("_p"))

@@ -47,73 +47,72 @@ _MERGE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 
 def running(
     df: DataFrame,
-    specs: Mapping[str, tuple[str, Column]],
+    specs: Mapping[str, tuple],
     *,
     keys: Sequence[str] = ("symbol",),
     order: str = "ts",
     ties: Sequence[str] = (),
     width: int | None = None,
     bucket: Column | None = None,
-    backward: bool = False,
     exclusive: bool = False,
 ) -> DataFrame:
     """Add running sum / count / max / min columns over each key's whole history.
 
-    ``bucket`` replaces the default bucket number by an expression of bounded range.
-    ``specs`` maps an output name to ``(kind, column)``. Struct-valued max and min carry a value
-    along with its position, which is how the last or next non-null value is found. With
-    ``backward`` the aggregate runs from the end; with ``exclusive`` the row itself is left out.
+    ``specs`` maps an output name to ``(kind, column)`` or ``(kind, column, "back")``; the latter
+    runs from the end. Struct-valued max and min carry a value along with its position, which is
+    how the last or next non-null value is found. With ``exclusive`` the row itself is left out.
+    ``bucket`` replaces the default bucket number by an expression of bounded range. The input is
+    read twice: once for the totals (only the columns they need), once for the rows.
     """
     keys = list(keys)
-    data = df.withColumn("_b0", bucket if bucket is not None else bucket_of(df, order, width))
-    data = data.withColumn("_b1", F.floor(F.col("_b0") / FAN))
     names = list(specs)
+    kind = {n: specs[n][0] for n in names}
+    back = {n: len(specs[n]) > 2 and specs[n][2] == "back" for n in names}
+    data = df.withColumn("_b0", bucket if bucket is not None else bucket_of(df, order, width))
     data = data.withColumns({f"_v_{n}": specs[n][1] for n in names})
     nested = {
         n: isinstance(data.schema[f"_v_{n}"].dataType, (T.StructType, T.ArrayType)) for n in names
     }
 
-    def join_parts(n, a, b):
-        kind = specs[n][0]
-        return _struct_pick(a, b, kind) if nested[n] else _both(a, b, kind)
+    def joined(n, a, b):
+        return _struct_pick(a, b, kind[n]) if nested[n] else _both(a, b, kind[n])
 
-    def direction(c):
-        return F.col(c).desc() if backward else F.col(c).asc()
+    def merged_before(n, prefix, part, level):
+        order_by = F.col(level).desc() if back[n] else F.col(level).asc()
+        w = Window.partitionBy(*part).orderBy(order_by).rowsBetween(Window.unboundedPreceding, -1)
+        return _MERGE[kind[n]](f"{prefix}{n}").over(w)
 
-    before = (Window.unboundedPreceding, -1)
     many = bucket is None and not (is_time(df, order) and (width or DAY_US) >= HOUR_US)
-    levels = ["_b1", "_b0"] if many else ["_b0"]
-    fine = data.groupBy(*keys, *levels).agg(
-        *[_AGG[specs[n][0]](f"_v_{n}").alias(f"_t_{n}") for n in names]
+    if many:
+        data = data.withColumn("_b1", F.floor(F.col("_b0") / FAN))
+    fine = data.groupBy(*keys, *(["_b1"] if many else []), "_b0").agg(
+        *[_AGG[kind[n]](f"_v_{n}").alias(f"_t_{n}") for n in names]
     )
     inner = [*keys, "_b1"] if many else keys
-    w0 = Window.partitionBy(*inner).orderBy(direction("_b0")).rowsBetween(*before)
-    off = {f"_off_{n}": _MERGE[specs[n][0]](f"_t_{n}").over(w0) for n in names}
+    off = {f"_off_{n}": merged_before(n, "_t_", inner, "_b0") for n in names}
     if many:
         coarse = fine.groupBy(*keys, "_b1").agg(
-            *[_MERGE[specs[n][0]](f"_t_{n}").alias(f"_c_{n}") for n in names]
+            *[_MERGE[kind[n]](f"_t_{n}").alias(f"_c_{n}") for n in names]
         )
-        w1 = Window.partitionBy(*keys).orderBy(direction("_b1")).rowsBetween(*before)
         coarse = coarse.select(
             *keys,
             "_b1",
-            *[_MERGE[specs[n][0]](f"_c_{n}").over(w1).alias(f"_o1_{n}") for n in names],
+            *[merged_before(n, "_c_", keys, "_b1").alias(f"_o1_{n}") for n in names],
         )
         fine = null_safe_join(fine.withColumns(off), coarse, inner)
-        off = {
-            f"_off_{n}": join_parts(n, F.col(f"_o1_{n}"), F.col(f"_off_{n}")) for n in names
-        }
+        off = {f"_off_{n}": joined(n, F.col(f"_o1_{n}"), F.col(f"_off_{n}")) for n in names}
     fine = fine.withColumns(off).select(*keys, "_b0", *off)
-    w = (
-        Window.partitionBy(*keys, "_b0")
-        .orderBy(direction(order), *[direction(t) for t in ties])
-        .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    )
-    data = data.withColumns({f"_r_{n}": _AGG[specs[n][0]](f"_v_{n}").over(w) for n in names})
-    data = null_safe_join(data, fine, [*keys, "_b0"])
+
+    def row_window(n):
+        cols = [F.col(c).desc() if back[n] else F.col(c).asc() for c in (order, *ties)]
+        w = Window.partitionBy(*keys, "_b0").orderBy(*cols)
+        return w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+
     data = data.withColumns(
-        {n: join_parts(n, F.col(f"_off_{n}"), F.col(f"_r_{n}")) for n in names}
+        {f"_r_{n}": _AGG[kind[n]](f"_v_{n}").over(row_window(n)) for n in names}
     )
+    data = null_safe_join(data, fine, [*keys, "_b0"])
+    data = data.withColumns({n: joined(n, F.col(f"_off_{n}"), F.col(f"_r_{n}")) for n in names})
     kept = [c for c in df.columns if c not in specs]
     return data.select(*kept, *names)
 
@@ -144,35 +143,25 @@ def with_position(
 
 def last_known(
     df: DataFrame,
-    cols: Mapping[str, str],
+    last: Mapping[str, str],
+    following: Mapping[str, str] | None = None,
     *,
     position: str = "ts",
-    backward: bool = False,
-    inclusive: bool = True,
     keys: Sequence[str] = ("symbol",),
     order: str = "ts",
     ties: Sequence[str] = (),
     width: int | None = None,
 ) -> DataFrame:
-    """Add ``struct(at, v)`` of the latest (or next) non-null value of each column.
+    """Add ``struct(at, v)`` of the latest non-null value of each column, this row included, and
+    of the next one for the columns in ``following``.
 
-    ``cols`` maps the output name to the source column; ``at`` is the ``position`` column.
+    Both map the output name to the source column; ``at`` is the ``position`` column.
     """
-    kind = "min" if backward else "max"
-    specs = {
-        out: (
-            kind,
-            F.when(F.col(c).isNotNull(), F.struct(F.col(position).alias("at"), F.col(c).alias("v"))),
-        )
-        for out, c in cols.items()
-    }
-    return running(
-        df,
-        specs,
-        keys=keys,
-        order=order,
-        ties=ties,
-        width=width,
-        backward=backward,
-        exclusive=not inclusive,
-    )
+
+    def known(c):
+        pair = F.struct(F.col(position).alias("at"), F.col(c).alias("v"))
+        return F.when(F.col(c).isNotNull(), pair)
+
+    specs = {out: ("max", known(c)) for out, c in last.items()}
+    specs.update({out: ("min", known(c), "back") for out, c in (following or {}).items()})
+    return running(df, specs, keys=keys, order=order, ties=ties, width=width)

@@ -1,8 +1,8 @@
 """Exact interpolated quantiles per key without holding a key's values in one task.
 
-A bounded sketch brackets each quantile, rows below the bracket are only counted, and the few
-values inside it are pre-aggregated and ranked in buckets. Keys with at most ``SMALL`` values use
-their whole range as the bracket.
+Where a count shows that every key has at most ``STATE_ROWS`` rows, Spark's own ``percentile``
+does it in one pass. Beyond that a bounded sketch brackets each quantile, rows below the bracket
+are only counted, and the few values inside it are pre-aggregated and ranked in buckets.
 """
 
 from __future__ import annotations
@@ -13,18 +13,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.plans.ordered import null_safe_join, running
+from barloom.session import durable
 
 ACCURACY = 10_000
 MARGIN = 1e-3
 SMALL = 10_000
+STATE_ROWS = 1_000_000
 BINS = 65_536
 
 
 def exact_quantiles(
-    df: DataFrame, wanted: Mapping[str, Sequence[float]], *, keys: Sequence[str] = ("symbol",)
+    df: DataFrame,
+    wanted: Mapping[str, Sequence[float]],
+    *,
+    keys: Sequence[str] = ("symbol",),
+    state_rows: int = STATE_ROWS,
 ) -> DataFrame:
     """One row per key with a column ``q_<column>_<i>`` per requested probability."""
     keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    if (sizes.agg(F.max("_m")).first()[0] or 0) <= state_rows:
+        direct = df.groupBy(*keys).agg(
+            *[F.percentile(F.col(c).cast("double"), list(ps)).alias(f"_q_{c}") for c, ps in wanted.items()]
+        )
+        return direct.select(
+            *keys,
+            *[F.col(f"_q_{c}")[i].alias(f"q_{c}_{i}") for c, ps in wanted.items() for i in range(len(ps))],
+        )
     pairs = [
         F.struct(F.lit(c).alias("_n"), F.col(c).cast("double").alias("_v")) for c in wanted
     ]
@@ -55,13 +70,14 @@ def exact_quantiles(
     stats = stats.withColumn("_b", F.filter(F.array(*brackets), lambda b: b["_use"]))
     stats = stats.select(*keys, "_n", "_cnt", "_b")
 
-    rows = null_safe_join(long, stats.drop("_cnt"), [*keys, "_n"], "inner")
-    rows = rows.select(*keys, "_n", "_v", F.explode("_b").alias("_b"))
+    rows = null_safe_join(long, stats, [*keys, "_n"], "inner")
+    rows = rows.select(*keys, "_n", "_cnt", "_v", F.explode("_b").alias("_b"))
     rows = rows.filter(F.col("_v") <= F.col("_b._hi"))
     rows = rows.withColumn("_v", F.when(F.col("_v") >= F.col("_b._lo"), F.col("_v")))
     counts = rows.groupBy(
         *keys,
         "_n",
+        "_cnt",
         F.col("_b._q").alias("_q"),
         F.col("_b._lo").alias("_lo"),
         F.col("_b._hi").alias("_hi"),
@@ -71,6 +87,8 @@ def exact_quantiles(
     width = F.col("_hi") - F.col("_lo")
     spot = F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width * BINS)).otherwise(0)
     counts = counts.withColumn("_at", F.coalesce(F.col("_v"), F.lit(float("-inf"))))
+    # Small against the input by now; written once because ranking reads it twice.
+    counts = durable(counts)
     ranked = running(
         counts,
         {"_cum": ("sum", F.col("_m"))},
@@ -78,7 +96,6 @@ def exact_quantiles(
         order="_at",
         bucket=F.coalesce(spot.cast("long"), F.lit(-1).cast("long")),
     )
-    ranked = null_safe_join(ranked, stats.drop("_b"), [*keys, "_n"], "inner")
     pos = F.col("_q") * (F.col("_cnt") - 1)
     k = F.floor(pos)
     picked = ranked.groupBy(*keys, "_n", "_q").agg(

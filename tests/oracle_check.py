@@ -6,6 +6,7 @@ Usage: python tests/oracle_check.py [sf_dir] [name-prefix ...]
 from __future__ import annotations
 
 import os
+import signal
 import sys
 import time
 
@@ -84,10 +85,19 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     bad = 0
+    current = [""]
+
+    def late(*_):
+        print("LATE ", current[0], flush=True)
+        os._exit(3)
+
+    signal.signal(signal.SIGALRM, late)
     for name, (fn, sql) in load().items():
         if args and not any(name.startswith(a) for a in args):
             continue
         t0 = time.time()
+        signal.alarm(int(os.environ.get("QUERY_SECONDS", "150")))
+        current[0] = name
         try:
             got = fn(spark, sf).toPandas()
         except Exception as e:  # noqa: BLE001
@@ -95,6 +105,7 @@ def main() -> None:
             print(f"ERROR {name}: {str(e)[:600]}")
             continue
         dt = time.time() - t0
+        signal.alarm(0)
         if sql is None:
             print(f"rows  {name} {len(got)} {dt:.1f}s")
             continue
@@ -107,7 +118,7 @@ def main() -> None:
             continue
         diff = compare(got, want)
         bad += diff is not None
-        print(f"{'ok   ' if diff is None else 'DIFF '} {name} {len(got)} {dt:.1f}s sql {time.time()-t0:.1f}s {diff or ''}")
+        print(f"{'ok   ' if diff is None else 'DIFF '} {name} {len(got)} {dt:.1f}s sql {time.time()-t0:.1f}s {diff or ''}", flush=True)
     print("failures:", bad)
 
 

@@ -37,8 +37,7 @@ def test_position_and_running(walk):
 def test_backward_and_last_known(walk):
     pdf, df = walk
     holes = df.withColumn("y", F.when(F.pmod(F.hash("ts"), F.lit(10)) == 0, F.col("x")))
-    out = last_known(holes, {"p": "y"}, width=3_600_000_000)
-    out = last_known(out, {"n": "y"}, backward=True, width=3_600_000_000)
+    out = last_known(holes, {"p": "y"}, {"n": "y"}, width=3_600_000_000)
     out = out.selectExpr("symbol", "ts", "y", "p.v as p", "n.v as n").toPandas()
     out = out.sort_values(["symbol", "ts"])
     pd.testing.assert_series_equal(out.groupby("symbol")["y"].ffill(), out["p"], check_names=False)
