@@ -168,7 +168,7 @@ def cross_steps():
 
 feature(
     "w13_event_counts",
-    "cross_above_last_2:i cross_above_last_10:i cross_below_last_5:i cross_below_last_20:i",
+    "cross_above_last_2:d cross_above_last_10:d cross_below_last_5:d cross_below_last_20:d",
     lambda: [
         *cross_steps(),
         wi.event_counts(("cross_above", "cross_below"), (2, 5, 10, 20), back=20),
@@ -335,7 +335,7 @@ POSITION = {
 }
 feature(
     "w27_price_position",
-    "price_position:i price_distance_sma_5:d price_distance_sma_20:d near_sma_5:i near_sma_20:i",
+    "price_position:i price_distance_sma_5:d9 price_distance_sma_20:d9 near_sma_5:i near_sma_20:i",
     lambda: [wi.sma("close", (5, 20)), wi.price_position("sma_5", "sma_20", 0.1)],
     CROSS[0],
     POSITION,
