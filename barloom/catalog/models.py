@@ -1 +1,185 @@
-"""Registered queries."""
+"""Split, fold and model queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barloom.catalog.base import BARS, W, bars, query
+from barloom.catalog.metrics import PRED, predictions
+from barloom.functions import scalars as sc
+from barloom.operators import models as md
+from barloom.operators import splits as sp
+from barloom.operators import windows as wi
+from barloom.plans.series import columns_step, over_series
+
+NUM = PRED + """, z AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ts) - 1 AS pos,
+  count(*) OVER (PARTITION BY model) AS n FROM p)"""
+K = {"keys": ["model"]}
+
+
+@query(
+    "m1_chronological_split",
+    "model ts label:i split",
+    NUM + "SELECT model, ts, label, CASE WHEN pos < floor(n * (1 - 0.2::DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM z",
+)
+def m1(spark, sf):
+    return sp.chronological_split(predictions(spark, sf), **K)
+
+
+@query(
+    "m1_split_time",
+    "model split_ts",
+    NUM + "SELECT model, min(ts) AS split_ts FROM z WHERE pos >= floor(n * (1 - 0.2::DOUBLE)) GROUP BY 1",
+)
+def m1b(spark, sf):
+    return sp.split_time(sp.chronological_split(predictions(spark, sf), **K), **K)
+
+
+@query(
+    "m2_three_way_split",
+    "model ts split",
+    NUM
+    + f"""SELECT model, ts, CASE WHEN pos < floor(n * {0.7!r}::DOUBLE) THEN 'train' WHEN pos < floor(n * {0.7 + 0.15!r}::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM z""",
+)
+def m2(spark, sf):
+    return sp.three_way_split(predictions(spark, sf), **K)
+
+
+@query(
+    "m3_validate_split",
+    "model rows:i train_rows:i test_rows:i train_classes:i test_classes:i is_valid n_errors:i n_warnings:i",
+    NUM
+    + """, s AS (SELECT *, pos < floor(n * (1 - 0.2::DOUBLE)) AS tr FROM z)
+SELECT model, count(*) AS rows, count(*) FILTER (tr) AS train_rows, count(*) FILTER (NOT tr) AS test_rows,
+  count(DISTINCT label) FILTER (tr) AS train_classes, count(DISTINCT label) FILTER (NOT tr) AS test_classes,
+  true AS is_valid, 0 AS n_errors,
+  (count(DISTINCT label) FILTER (tr) <> count(DISTINCT label) FILTER (NOT tr))::INT AS n_warnings FROM s GROUP BY 1""",
+)
+def m3(spark, sf):
+    p = predictions(spark, sf)
+    v = sp.validate_split(sp.chronological_split(p, **K), p, **K)
+    return v.withColumns({"n_errors": F.size("errors"), "n_warnings": F.size("warnings")})
+
+
+@query(
+    "m4_expanding_folds",
+    "model fold:i role rows:i start end",
+    NUM
+    + """, f AS (SELECT z.*, i AS fold, n - (n // 4) * (3 - i) AS e, n // 4 AS size FROM z, (VALUES (0), (1), (2)) v(i)),
+g AS (SELECT *, CASE WHEN pos < e THEN 'train' WHEN pos < e + size THEN 'test' END AS role FROM f)
+SELECT model, fold, role, count(*) AS rows, min(ts) AS start, max(ts) AS "end" FROM g WHERE role IS NOT NULL GROUP BY 1, 2, 3""",
+)
+def m4(spark, sf):
+    return sp.fold_sizes(sp.expanding_folds(predictions(spark, sf), 3, **K), **K)
+
+
+@query(
+    "m5_walk_forward_folds",
+    "model fold:i role rows:i start end",
+    NUM
+    + """, f AS (SELECT z.*, i AS fold, (n // 6) * (i + 1) + n - (n // 6) * 6 AS e, n // 6 AS size
+  FROM z, (VALUES (0), (1), (2), (3), (4)) v(i)),
+g AS (SELECT *, CASE WHEN pos < e - e // 5 THEN 'train' WHEN pos < e THEN 'val' WHEN pos < e + size THEN 'test' END AS role FROM f)
+SELECT model, fold, role, count(*) AS rows, min(ts) AS start, max(ts) AS "end" FROM g WHERE role IS NOT NULL GROUP BY 1, 2, 3""",
+)
+def m5(spark, sf):
+    return sp.fold_sizes(sp.walk_forward_folds(predictions(spark, sf), 5, **K), **K)
+
+
+@query(
+    "a21_split_report",
+    "model split rows:i positives:i negatives:i ratio:d start end",
+    NUM
+    + """, s AS (SELECT *, CASE WHEN pos < floor(n * (1 - 0.2::DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM z)
+SELECT model, split, count(*) AS rows, sum(label) AS positives, count(*) - sum(label) AS negatives,
+  count(*) / any_value(n) AS ratio, min(ts) AS start, max(ts) AS "end" FROM s GROUP BY 1, 2""",
+)
+def a21(spark, sf):
+    return sp.split_report(sp.chronological_split(predictions(spark, sf), **K), by=["model"])
+
+
+FEATURES = ["body_size", "rng", "volatility_5", "volume_ratio", "stoch_k"]
+
+
+def feature_table(spark, sf):
+    """Bars with a few features and the next bar's direction as the label."""
+    label = columns_step(
+        lambda f: {"label": F.coalesce(f.lead("close") > F.col("close"), F.lit(False)).cast("int")}, ahead=1
+    )
+    d = over_series(
+        bars(spark, sf),
+        wi.strong_candle((5,)),
+        wi.volatility((5,)),
+        wi.volume_features(5, 10),
+        wi.stochastic(5, 3),
+        label,
+    )
+    return d.withColumn("rng", sc.range_pct()).select("symbol", "ts", "label", *FEATURES)
+
+
+@query(
+    "m6_null_audit",
+    "feature missing:i",
+    BARS
+    + f"""SELECT 'ret' AS feature, count(*) - count(ret) AS missing FROM (SELECT close / lag(close) OVER w - 1 AS ret FROM bars {W})
+UNION ALL SELECT 'volume', count(*) - count(volume) FROM bars""",
+)
+def m6(spark, sf):
+    d = over_series(
+        bars(spark, sf), columns_step(lambda f: {"ret": wi.pct_change(f, "close")}, back=1)
+    )
+    return md.null_audit(d, ["ret", "volume"])
+
+
+@query(
+    "m6_label_check",
+    "model rows:i classes:i is_binary",
+    PRED + "SELECT model, count(*) AS rows, count(DISTINCT label) AS classes, true AS is_binary FROM p GROUP BY 1",
+)
+def m6b(spark, sf):
+    return md.label_check(predictions(spark, sf), by=["model"])
+
+
+@query("m6_feature_matrix", None, None)
+def m6c(spark, sf):
+    m = md.feature_matrix(feature_table(spark, sf), FEATURES, keep=["symbol", "ts"])
+    from pyspark.ml.functions import vector_to_array
+
+    return m.select("symbol", "ts", "label", vector_to_array("features").alias("features"))
+
+
+def fitted(spark, sf, kind="forest", **kw):
+    d = feature_table(spark, sf).na.drop()
+    train = md.balanced(d.filter(F.col("ts") < F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")))
+    return md.fit(train, FEATURES, kind, weight="weight", **kw)
+
+
+@query("m7_forest_predictions", None, None)
+def m7(spark, sf):
+    model = fitted(spark, sf, "forest", numTrees=10, maxDepth=4)
+    return md.score(model, feature_table(spark, sf).na.drop()).select(
+        "symbol", "ts", "label", "probability", "prediction"
+    )
+
+
+@query("f11_boosted_tree_scores", None, None)
+def f11(spark, sf):
+    model = fitted(spark, sf, "gbt", maxIter=5, maxDepth=3)
+    return md.score(model, feature_table(spark, sf).na.drop()).select("symbol", "ts", "probability")
+
+
+@query("m8_grid_search", None, None)
+def m8(spark, sf):
+    folds = sp.expanding_folds(feature_table(spark, sf).na.drop(), 2)
+    return md.grid_search(folds, FEATURES, {"maxDepth": [2, 4], "numTrees": [5]}, kind="forest")
+
+
+@query("m9_select_by_importance", None, None)
+def m9(spark, sf):
+    model = fitted(spark, sf, "forest", numTrees=10, maxDepth=4)
+    return md.select_by_importance(md.importance_table(model, FEATURES))
+
+
+@query("m10_importance_table", None, None)
+def m10(spark, sf):
+    return md.importance_table(fitted(spark, sf, "forest", numTrees=10, maxDepth=4), FEATURES)

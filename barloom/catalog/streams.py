@@ -1 +1,195 @@
-"""Registered queries."""
+"""Streaming queries: each stream runs over the tables to completion and must equal the batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barloom.catalog.base import BARS, bars, query, table
+from barloom.catalog.cleaning import REPEATS_CTE, bars_with_repeats
+from barloom.catalog.ingest import shared_folder
+from barloom.catalog.recursive import BASE, W, a, recur
+from barloom.catalog.risk import EQUITY, equity
+from barloom.catalog.signals import SMOOTH, scored
+from barloom.catalog.validation import BROKEN_CTE, broken
+from barloom.catalog.windows import TR, lag
+from barloom.operators import signals as sg
+from barloom.streaming import bars as sb
+from barloom.streaming import state as ss
+from barloom.streaming.replay import file_stream, replay, run_batches
+
+
+def event_ticks(spark, sf):
+    """The events table as a stream of ticks."""
+    schema = table(spark, sf, "events").schema
+    e = file_stream(spark, sf, schema, "events.parquet")
+    return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+def written_stream(spark, df, name, parts=3):
+    """A derived table written in time order as a few files and read back as a stream."""
+    folder = shared_folder(spark, name)
+    data = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    days = F.floor(F.dayofmonth("ts") * parts / 32).cast("int")
+    for i in range(parts):
+        data.filter(days == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return file_stream(spark, f"{folder}/in", data.schema), folder
+
+
+def wall(df, *cols):
+    """Back to zone-less times, as the tables have them."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
+
+
+CLOSED = ", mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events) "
+
+
+@query(
+    "z1_stream_bars",
+    "symbol ts open:d high:d low:d close:d volume:d",
+    BARS + CLOSED + "SELECT bars.* FROM bars, mark WHERE ts + INTERVAL 1 HOUR <= wm",
+)
+def z1(spark, sf):
+    out = sb.stream_bars(event_ticks(spark, sf))
+    return wall(replay(out, shared_folder(spark, "z1")), "ts")
+
+
+@query(
+    "z1_sliding_bars",
+    "symbol ts high:d low:d volume:d",
+    """WITH s AS (SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) - INTERVAL 1 HOUR * k AS ts, value
+  FROM events, (VALUES (0), (1)) v(k)), mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events)
+SELECT symbol, s.ts, max(value) AS high, min(value) AS low, count(*) AS volume FROM s, mark
+WHERE s.ts + INTERVAL 2 HOUR <= wm GROUP BY 1, 2""",
+)
+def z1s(spark, sf):
+    out = sb.stream_bars(event_ticks(spark, sf), "2 hours", slide="1 hour")
+    return wall(replay(out, shared_folder(spark, "z1s")), "ts")
+
+
+@query(
+    "z2_stream_dedup",
+    "symbol ts",
+    f"WITH {REPEATS_CTE} SELECT DISTINCT symbol, ts FROM rep",
+)
+def z2(spark, sf):
+    s, folder = written_stream(spark, bars_with_repeats(spark, sf).select("symbol", "ts"), "z2", parts=1)
+    return wall(replay(sb.stream_dedup(s), f"{folder}/run"), "ts")
+
+
+@query("z3_late_rows", None, None)
+def z3(spark, sf):
+    """Kept and dropped rows when the second half of the time line arrives first."""
+    t = table(spark, sf, "events").select(
+        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value"
+    )
+    folder = shared_folder(spark, "z3")
+    late = F.dayofmonth("ts") < 15
+    t.filter(~late).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    t.filter(late).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    from barloom.streaming.replay import run_to_table
+
+    progress = run_to_table(sb.stream_bars(file_stream(spark, f"{folder}/in", t.schema)), f"{folder}/run")
+    kept = spark.read.parquet(f"{folder}/run/out").agg(F.sum("volume").alias("kept_ticks"))
+    return kept.withColumn("late_groups", F.lit(sb.dropped_late_rows(progress)))
+
+
+@query(
+    "z4_online_indicators",
+    "symbol ts ema:d rsi:d atr:d",
+    f"WITH RECURSIVE {BASE}, "
+    + f"""d AS (SELECT *, greatest(close - {lag('close')}, 0) AS up, greatest({lag('close')} - close, 0) AS dn,
+  {TR} AS tr FROM n {W}), """
+    + recur("e", "n", {"ema": ("close", a(21))})
+    + ", "
+    + recur("g", "d", {"g": ("up", 1 / 14), "l": ("dn", 1 / 14), "atr": ("tr", 1 / 14)}, 1)
+    + """ SELECT n.symbol, n.ts, ema, 100 * g / nullif(g + l, 0) AS rsi, atr
+  FROM n JOIN e USING (symbol, rn) LEFT JOIN g USING (symbol, rn)""",
+)
+def z4(spark, sf):
+    s, folder = written_stream(spark, bars(spark, sf), "z4")
+    out = wall(replay(ss.online_indicators(s), f"{folder}/run"), "ts")
+    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("rsi", "atr")})
+
+
+@query("z5_online_smoothed_signal", "symbol ts signal:i smoothed:i", SMOOTH)
+def z5(spark, sf):
+    d = scored(spark, sf).withColumn("signal", sg.raw_signal()).select("symbol", "ts", "signal")
+    s, folder = written_stream(spark, d, "z5")
+    return wall(replay(ss.online_smoothed_signal(s), f"{folder}/run"), "ts")
+
+
+@query(
+    "z6_online_trailing_stops",
+    "position_id ts trailing_stop:d4",
+    BARS
+    + """, px AS (SELECT symbol AS position_id, ts, close AS price, symbol IN ('click', 'view') AS lng FROM bars)
+SELECT position_id, ts, CASE WHEN lng
+  THEN greatest(max(floor(price * (1 - 0.01) * 10000 + 0.5) / 10000) OVER w, 20.0)
+  ELSE least(min(floor(price * (1 + 0.01) * 10000 + 0.5) / 10000) OVER w, 200.0) END AS trailing_stop
+FROM px WINDOW w AS (PARTITION BY position_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""",
+)
+def z6(spark, sf):
+    long = F.col("symbol").isin("click", "view")
+    px = bars(spark, sf).select(
+        F.col("symbol").alias("position_id"),
+        "ts",
+        F.col("close").alias("price"),
+        F.when(long, "long").otherwise("short").alias("position_type"),
+        F.when(long, 20.0).otherwise(200.0).alias("stop_price"),
+    )
+    s, folder = written_stream(spark, px, "z6")
+    return wall(replay(ss.online_trailing_stops(s, pct=0.01), f"{folder}/run"), "ts")
+
+
+@query(
+    "z7_stream_days",
+    "symbol day rows:i last:d",
+    """WITH d AS (SELECT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS rows,
+  arg_max(value, ts) AS last FROM events GROUP BY 1, 2)
+SELECT d.* FROM d, (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events) WHERE day + INTERVAL 1 DAY <= wm""",
+)
+def z7(spark, sf):
+    out = sb.stream_days(event_ticks(spark, sf))
+    return wall(replay(out, shared_folder(spark, "z7")), "day")
+
+
+@query(
+    "z7_stream_sessions",
+    "symbol start end rows:i total:d",
+    """WITH g AS (SELECT event_type AS symbol, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 90 MINUTE THEN 0 ELSE 1 END AS brk
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+o AS (SELECT symbol, min(ts) AS start, max(ts) + INTERVAL 90 MINUTE AS "end", count(*) AS rows, sum(value) AS total FROM s GROUP BY symbol, sid)
+SELECT o.* FROM o, (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events) WHERE "end" <= wm""",
+)
+def z7s(spark, sf):
+    out = sb.stream_sessions(event_ticks(spark, sf), "90 minutes")
+    return wall(replay(out, shared_folder(spark, "z7s")), "start", "end")
+
+
+@query(
+    "z8_online_drawdown",
+    "portfolio ts drawdown:d limit_breached emergency",
+    EQUITY + "SELECT portfolio, ts, drawdown, drawdown > 0.10 AS limit_breached, drawdown > 0.15 AS emergency FROM dd",
+)
+def z8(spark, sf):
+    s, folder = written_stream(spark, equity(spark, sf), "z8")
+    return wall(replay(ss.online_drawdown(s), f"{folder}/run"), "ts")
+
+
+@query(
+    "z9_stream_validation",
+    "symbol ts n_issues:i",
+    f"""WITH {BROKEN_CTE}, c AS (SELECT symbol, ts, (high < greatest(open, close))::INT + (low > least(open, close))::INT
+  + (high < low)::INT + (open <= 0)::INT + (high <= 0)::INT + (low <= 0)::INT + (close <= 0)::INT + (volume < 0)::INT AS n_issues FROM broken)
+SELECT * FROM c WHERE n_issues > 0""",
+)
+def z9(spark, sf):
+    s, folder = written_stream(spark, broken(spark, sf), "z9")
+
+    def sink(df, batch_id):
+        df.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    run_batches(sb.bad_bars(s), f"{folder}/run", sink)
+    out = spark.read.parquet(f"{folder}/out")
+    return wall(out.withColumn("n_issues", F.size("issues")), "ts")
