@@ -186,7 +186,8 @@ def _score_counts(df, label, score, by):
 
 
 def _score_bucket():
-    return F.floor(F.col("_s") * SCORE_BINS)
+    """Bucket of a probability; values beyond 0 and 1 share the outer buckets."""
+    return F.floor(F.least(F.greatest(F.col("_s"), F.lit(0.0)), F.lit(1.0)) * SCORE_BINS)
 
 
 def roc_auc(df, label="label", score="probability", by: Sequence[str] = ()) -> DataFrame:

@@ -286,22 +286,24 @@ def select_trades(
         pdf = pdf.sort_values("entry_rn")
         busy = pdf["_blk"].iloc[0] * block_rows + int(pdf["_in"].iloc[0])
         pick = _walk(pdf["entry_rn"].to_numpy(), pdf["exit_rn"].to_numpy(), busy)
-        return pdf.iloc[pick]
+        return pdf.iloc[pick][[*keys, "entry_rn"]]
 
+    # Only row numbers go through Python; the trades themselves are picked by a semi join.
+    slim = rows.select(*block, "entry_rn", "exit_rn")
     if not top:
-        state = rows.withColumn("_in", F.lit(0))
+        state = slim.withColumn("_in", F.lit(0))
     else:
         state = null_safe_join(
-            rows, _block_states(rows, keys, block_rows, int(reach or 0)), block, "inner"
+            slim, _block_states(slim, keys, block_rows, int(reach or 0)), block, "inner"
         )
-    out = state.groupBy(*block).applyInPandas(accept, state.schema)
-    return out.select(*trades.columns)
+    kept = [*keys, "entry_rn"]
+    picked = state.groupBy(*block).applyInPandas(accept, state.select(*kept).schema)
+    return null_safe_join(rows, picked, kept, "left_semi").select(*trades.columns)
 
 
-def _block_states(rows, keys, block_rows: int, reach: int) -> DataFrame:
+def _block_states(slim, keys, block_rows: int, reach: int) -> DataFrame:
     """Rows already taken at the start of every block that holds candidates."""
     block = [*keys, "_blk"]
-    slim = rows.select(*block, "entry_rn", "exit_rn")
     types = {f.name: f.dataType.simpleString() for f in slim.schema}
     decl = ", ".join(f"`{k}` {types[k]}" for k in keys)
 

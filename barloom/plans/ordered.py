@@ -123,7 +123,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how="le
     cond = reduce(
         lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in on]
     )
-    return left.join(r, cond, how).drop(*[f"_j_{c}" for c in on])
+    out = left.join(r, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_j_{c}" for c in on])
 
 
 def with_position(

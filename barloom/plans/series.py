@@ -30,6 +30,21 @@ TAIL = 39.0
 SAFE_EXP = 600.0
 
 
+_SQL_NAME = {
+    F.avg: "avg",
+    F.sum: "sum",
+    F.min: "min",
+    F.max: "max",
+    F.stddev_samp: "stddev_samp",
+}
+
+
+def _bound(n: int | None) -> str:
+    if n is None:
+        return "UNBOUNDED PRECEDING"
+    return "CURRENT ROW" if n == 0 else f"{abs(n)} {'PRECEDING' if n < 0 else 'FOLLOWING'}"
+
+
 @dataclass(frozen=True)
 class Frame:
     """Window specs of one layout."""
@@ -68,14 +83,38 @@ class Frame:
     def span(self) -> int:
         return self.block_rows + self.back + self.ahead
 
+    # Windows over named columns are written as SQL text: one call into the JVM instead of dozens,
+    # which is what building wide feature tables would otherwise spend its time on.
+
+    @property
+    def over(self) -> str:
+        keys = ", ".join(f"`{k}`" for k in (*self.keys, "_blk"))
+        return f"PARTITION BY {keys} ORDER BY `_sub`, `_rn`"
+
+    def over_rows(self, a: int | None, b: int) -> str:
+        return f"OVER ({self.over} ROWS BETWEEN {_bound(a)} AND {_bound(b)})"
+
     def lag(self, c, n: int = 1) -> Column:
+        if isinstance(c, str):
+            return F.expr(f"lag(`{c}`, {n}) OVER ({self.over})")
         return F.lag(c, n).over(self.w)
 
     def lead(self, c, n: int = 1) -> Column:
+        if isinstance(c, str):
+            return F.expr(f"lead(`{c}`, {n}) OVER ({self.over})")
         return F.lead(c, n).over(self.w)
 
+    def _last_gap(self, c: str) -> str:
+        """Position of the last null up to this row, or of the row before the block's first. One
+        growing frame per column instead of a sliding count per length."""
+        gap = f"max(CASE WHEN `{c}` IS NULL THEN `_rn` END) {self.over_rows(None, 0)}"
+        return f"coalesce({gap}, greatest(0, `_blk` * {self.block_rows} - {self.back}))"
+
     def roll(self, agg: Callable, c, n: int) -> Column:
         """Aggregate over the last n rows, null until all n are non-null."""
+        if isinstance(c, str) and agg in _SQL_NAME:
+            value = f"{_SQL_NAME[agg]}(`{c}`) {self.over_rows(-(n - 1), 0)}"
+            return F.expr(f"CASE WHEN `_rn` - {self._last_gap(c)} >= {n} THEN {value} END")
         c = F.col(c) if isinstance(c, str) else c
         f = self.rows(-(n - 1), 0)
         return F.when(F.count(c).over(f) == n, agg(c).over(f))
@@ -227,65 +266,65 @@ def smooth(df: DataFrame, fr: Frame, outs: Mapping[str, Smooth]) -> DataFrame:
     ``SUB_ROWS`` and add the end of the sub-block before it; anything older weighs < exp(-70).
     A block starts at its halo, whose first row stands for all history (weight below 1e-17).
     """
-    slow, fast, seeds = {}, {}, {}
+    slow, fast, seeds, work = {}, {}, {}, {}
     for out, s in outs.items():
         if s.sma_seed:
             seeds[f"_x_{out}"] = fr.roll(F.avg, s.source, s.sma_seed)
     if seeds:
         df = df.withColumns(seeds)
+    base = f"greatest(0, `_blk` * {fr.block_rows} - {fr.back})"
+    keys = ", ".join(f"`{k}`" for k in (*fr.keys, "_blk", "_sub"))
+    in_sub = f"OVER (PARTITION BY {keys} ORDER BY `_rn` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     for out, s in outs.items():
         if s.alpha >= 1:
             slow[out] = F.col(s.source)
             continue
-        d, rate, lead, x = 1.0 - s.alpha, decay_rate(s.alpha), s.lead, F.col(s.source)
+        rate, lead, x = decay_rate(s.alpha), s.lead, f"`{s.source}`"
         if s.sma_seed:
             lead = s.lead + s.sma_seed - 1
-            x = F.when(fr.rn == lead + 1, F.col(f"_x_{out}")).when(fr.rn > lead + 1, x)
+            x = f"(CASE WHEN `_rn` = {lead + 1} THEN `_x_{out}` ELSE {x} END)"
         if s.adjusted:
-            weight = F.lit(1.0)
+            weight = "1D"
         else:
-            is_seed = fr.rn == F.greatest(F.lit(lead + 1), fr.base + 1)
-            weight = F.when(is_seed, 1.0).otherwise(s.alpha)
-        live = fr.rn > lead
-        if rate * fr.span <= SAFE_EXP:
-            e = (fr.rn - fr.base).cast("double")
-            total = F.sum(F.when(live, weight * x * F.exp(e * rate))).over(fr.so_far)
-            y = F.exp(e * -rate) * total
-            slow[out] = _finish(y, s, fr, lead, d)
+            is_seed = f"`_rn` = greatest({lead + 1}, {base} + 1)"
+            weight = f"(CASE WHEN {is_seed} THEN 1D ELSE {s.alpha!r}D END)"
+        direct = rate * fr.span <= SAFE_EXP
+        if not direct and not 36 <= rate * SUB_ROWS <= 690:
+            raise ValueError("pass a smaller block_rows for this mix of smoothing lengths")
+        e = f"(`_rn` - {base})" if direct else f"((`_rn` - 1) % {SUB_ROWS})"
+        frame = fr.over_rows(None, 0) if direct else in_sub
+        term = f"CASE WHEN `_rn` > {lead} THEN {weight} * {x} * exp({e} * {rate!r}D) END"
+        y = f"exp({e} * -{rate!r}D) * sum({term}) {frame}"
+        if direct:
+            slow[out] = F.expr(_finish(y, s, lead))
         else:
-            if not 36 <= rate * SUB_ROWS <= 690:
-                raise ValueError("pass a smaller block_rows for this mix of smoothing lengths")
-            e = ((fr.rn - 1) % SUB_ROWS).cast("double")
-            f = fr.w_sub.rowsBetween(Window.unboundedPreceding, 0)
-            total = F.sum(F.when(live, weight * x * F.exp(e * rate))).over(f)
-            fast[out] = (F.exp(e * -rate) * total, s, lead, d, rate, e)
+            fast[out] = F.expr(y)
+            work[out] = (s, lead, rate, e)
     if fast:
-        df = df.withColumns({f"_p_{o}": v[0] for o, v in fast.items()})
-        before = fr.w.rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumns({f"_p_{o}": y for o, y in fast.items()})
+        ends = fr.over_rows(None, -1)
         carry = {
-            f"_q_{o}": F.last(
-                F.when(fr.rn % SUB_ROWS == 0, F.col(f"_p_{o}")), ignorenulls=True
-            ).over(before)
+            f"_q_{o}": F.expr(
+                f"last_value(CASE WHEN `_rn` % {SUB_ROWS} = 0 THEN `_p_{o}` END, true) {ends}"
+            )
             for o in fast
         }
         df = df.withColumns({**carry, **slow})
         fin = {}
-        for o, (_, s, lead, d, rate, e) in fast.items():
-            y = F.col(f"_p_{o}") + F.coalesce(
-                F.exp((e + 1) * -rate) * F.col(f"_q_{o}"), F.lit(0.0)
-            )
-            fin[o] = _finish(y, s, fr, lead, d)
+        for o, (s, lead, rate, e) in work.items():
+            y = f"(`_p_{o}` + coalesce(exp(({e} + 1) * -{rate!r}D) * `_q_{o}`, 0D))"
+            fin[o] = F.expr(_finish(y, s, lead))
         df = df.withColumns(fin).drop(*[f"_p_{o}" for o in fast], *[f"_q_{o}" for o in fast])
     else:
         df = df.withColumns(slow)
-    return df.drop(*seeds)
+    return df.drop(*seeds) if seeds else df
 
 
-def _finish(y: Column, s: Smooth, fr: Frame, lead: int, d: float) -> Column:
+def _finish(y: str, s: Smooth, lead: int) -> str:
     if s.adjusted:
-        k = (fr.rn - lead).cast("double")
-        y = y / ((1.0 - F.pow(F.lit(d), k)) / (1.0 - d))
-    return F.when(fr.rn > lead, y)
+        d = 1.0 - s.alpha
+        y = f"({y}) / ((1D - power({d!r}D, `_rn` - {lead})) / {s.alpha!r}D)"
+    return f"CASE WHEN `_rn` > {lead} THEN {y} END"
 
 
 def ema_step(outs: Mapping[str, Smooth], name="ema", back: int = 0) -> Step:

@@ -17,6 +17,10 @@ def build_session(app: str = "barloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Wide feature plans hold more generated classes than the default cache keeps.
+        "spark.sql.codegen.cache.maxEntries": "4000",
+        # A block with its halo fits the window buffer without switching to the sorter.
+        "spark.sql.windowExec.buffer.in.memory.threshold": "32768",
     }
     base.update(conf)
     for k, v in base.items():
