@@ -23,6 +23,14 @@ def c(name) -> Column:
     return F.col(name) if isinstance(name, str) else name
 
 
+def correlation(a, b, over=None) -> Column:
+    """Pearson correlation as an aggregate or over a window; null where a side is constant."""
+    parts = [F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b)]
+    if over is not None:
+        parts = [p.over(over) for p in parts]
+    return F.try_divide(parts[0], parts[1] * parts[2])
+
+
 # --------------------------------------------------------------------------------- candles
 
 

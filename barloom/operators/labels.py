@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import div, flag
+from barloom.functions.scalars import correlation, div, flag
 from barloom.operators.metrics import breakdown, count_if
 from barloom.operators.windows import pct_change, true_range
 from barloom.plans.barriers import earlier, first_hit, path
@@ -332,7 +332,7 @@ LEAK_WORDS = ("future", "next", "forward", "ahead", "target")
 
 def leakage_audit(df: DataFrame, features: Sequence[str], target="target", by: Sequence[str] = ()) -> DataFrame:
     """Absolute correlation of each feature with the target and what it suggests."""
-    aggs = [F.corr(c, F.col(target).cast("double")).alias(f"c{i}") for i, c in enumerate(features)]
+    aggs = [correlation(c, F.col(target).cast("double")).alias(f"c{i}") for i, c in enumerate(features)]
     one = df.groupBy(*by).agg(*aggs)
     rows = F.array(
         *[

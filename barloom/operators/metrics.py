@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import div
+from barloom.functions.scalars import correlation, div
 from barloom.operators.windows import max_drawdown
 from barloom.plans.ordered import null_safe_join, running
 from barloom.plans.quantiles import exact_quantiles
@@ -292,7 +292,7 @@ def split_gap(scores: DataFrame, metrics=("accuracy", "f1"), split="split", by=(
 def correlations(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Correlation of every pair of columns, from one aggregate."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    one = df.groupBy(*by).agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.groupBy(*by).agg(*[correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(
         *[
             F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import body, div, flag, green, red
+from barloom.functions.scalars import body, correlation, div, flag, green, red
 from barloom.plans.ordered import running
 from barloom.plans.series import Step, chain, columns_step, over_series
 
@@ -277,7 +277,7 @@ def rolling_corr(a="volume", b="close", n: int = 20, out="volume_price_corr") ->
         frame = f.rows(-(n - 1), 0)
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         full = F.count(F.when(both, 1)).over(frame) == n
-        return {out: F.when(full, F.corr(a, b).over(frame))}
+        return {out: F.when(full, correlation(a, b, frame))}
 
     return columns_step(cols, back=n - 1)
 
