@@ -99,7 +99,7 @@ def s4(spark, sf):
 
     t = ticks(spark, sf)
     text = t.withColumn("datetime", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    text = with_position(text, out="n").drop("ts")
+    text = with_position(text, out="n", width="fit").drop("ts")
     return files.parse_times(text).orderBy("symbol", "n")
 
 

@@ -153,7 +153,7 @@ SELECT symbol, any_value(median_gap_s) AS median_gap_s,
 )
 def v8(spark, sf):
     t = ticks(spark, sf).withColumn("close", F.col("value"))
-    return va.large_gaps(t)
+    return va.large_gaps(t, width="fit")
 
 
 @query(

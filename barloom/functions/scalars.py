@@ -25,7 +25,9 @@ def c(name) -> Column:
 
 def correlation(a, b, over=None) -> Column:
     """Pearson correlation as an aggregate or over a window; null where a side is constant."""
-    parts = [F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b)]
+    a, b = c(a), c(b)
+    both = a.isNotNull() & b.isNotNull()
+    parts = [F.covar_pop(a, b), F.stddev_pop(F.when(both, a)), F.stddev_pop(F.when(both, b))]
     if over is not None:
         parts = [p.over(over) for p in parts]
     return F.try_divide(parts[0], parts[1] * parts[2])

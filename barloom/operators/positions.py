@@ -27,7 +27,7 @@ def as_of_price(
     ts="ts",
     price="close",
     out="current_price",
-    width=None,
+    width: int | str | None = "fit",
 ) -> DataFrame:
     """Each left row with the last price at or before its time: prices and rows are laid on one
     time line and the latest price is carried along it, bucket by bucket."""

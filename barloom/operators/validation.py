@@ -67,7 +67,7 @@ def ohlc_violations(df, *, keys=("symbol",)) -> DataFrame:
     return df.groupBy(*keys).agg(*_ohlc_aggs())
 
 
-def _steps(df, keys, ts, block_rows=None) -> DataFrame:
+def _steps(df, keys, ts, width=None) -> DataFrame:
     """Bars with the move and the seconds since the previous bar."""
     df = df.withColumn("_us", micros(df, ts))
     step = columns_step(
@@ -78,7 +78,7 @@ def _steps(df, keys, ts, block_rows=None) -> DataFrame:
         },
         back=1,
     )
-    return over_series(df, step, keys=keys, order=ts, block_rows=block_rows)
+    return over_series(df, step, keys=keys, order=ts, width=width)
 
 
 def extreme_moves(df, *, keys=("symbol",), ts="ts", limit=MAX_MOVE) -> DataFrame:
@@ -135,9 +135,9 @@ def chronological_order(df, *, keys=("symbol",), ts="ts", ingest="ingest_id") ->
     )
 
 
-def large_gaps(df, *, keys=("symbol",), ts="ts", factor=10.0) -> DataFrame:
+def large_gaps(df, *, keys=("symbol",), ts="ts", factor=10.0, width=None) -> DataFrame:
     """Gaps longer than ``factor`` median gaps."""
-    s = _steps(df, keys, ts).filter(F.col("gap_s").isNotNull()).select(*keys, "gap_s")
+    s = _steps(df, keys, ts, width).filter(F.col("gap_s").isNotNull()).select(*keys, "gap_s")
     s = per_key(s, exact_quantiles(s, {"gap_s": (0.5,)}, keys=keys), keys)
     return s.groupBy(*keys).agg(
         F.first("q_gap_s_0").alias("median_gap_s"),

@@ -20,6 +20,7 @@ from barloom.plans.clock import DAY_US, is_time, micros
 
 FAN = 1024
 HOUR_US = 3_600_000_000
+FIT_ROWS = 2_000_000
 ID_STEP = 65_536
 
 
@@ -30,6 +31,21 @@ def bucket_of(df: DataFrame, order: str, width: int | None = None) -> Column:
     return F.floor(F.col(order) / F.lit(width or ID_STEP)).cast("long")
 
 
+def fit_width(df: DataFrame, keys: Sequence[str], order: str, limit: int = FIT_ROWS) -> int:
+    """Bucket width at which no (key, bucket) holds more than ``limit`` rows: for ticks and other
+    tables whose rows per day have no natural bound. Counts two columns, once per refinement;
+    rows of one key at one and the same instant cannot be split further."""
+    time = is_time(df, order)
+    width, floor = (DAY_US, 1000) if time else (ID_STEP, 1)
+    while width > floor:
+        n = df.groupBy(*keys, bucket_of(df, order, width).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        most = n.agg(F.max("_n")).first()[0] or 0
+        if most <= limit:
+            break
+        width = max(floor, int(width * limit / most / 2))
+    return width
+
+
 def _both(a: Column, b: Column, kind: str) -> Column:
     if kind in ("sum", "count"):
         return F.coalesce(a + b, a, b)
@@ -52,7 +68,7 @@ def running(
     keys: Sequence[str] = ("symbol",),
     order: str = "ts",
     ties: Sequence[str] = (),
-    width: int | None = None,
+    width: int | str | None = None,
     bucket: Column | None = None,
     exclusive: bool = False,
 ) -> DataFrame:
@@ -62,9 +78,12 @@ def running(
     runs from the end. Struct-valued max and min carry a value along with its position, which is
     how the last or next non-null value is found. With ``exclusive`` the row itself is left out.
     ``bucket`` replaces the default bucket number by an expression of bounded range. The input is
-    read twice: once for the totals (only the columns they need), once for the rows.
+    read twice: once for the totals (only the columns they need), once for the rows. ``width`` is
+    a bucket width, or ``"fit"`` to choose it from the data.
     """
     keys = list(keys)
+    if width == "fit":
+        width = fit_width(df, keys, order)
     names = list(specs)
     kind = {n: specs[n][0] for n in names}
     back = {n: len(specs[n]) > 2 and specs[n][2] == "back" for n in names}

@@ -166,7 +166,7 @@ def lay_out(
     keys: Sequence[str] = ("symbol",),
     order: str = "ts",
     ties: Sequence[str] = (),
-    width: int | None = None,
+    width: int | str | None = None,
     block_rows: int | None = None,
 ) -> tuple[DataFrame, Frame]:
     """Cut into blocks with halo copies. Rows where ``_own`` is false are copies."""
@@ -192,7 +192,7 @@ def over_series(
     keys: Sequence[str] = ("symbol",),
     order: str = "ts",
     ties: Sequence[str] = (),
-    width: int | None = None,
+    width: int | str | None = None,
     block_rows: int | None = None,
     position: str | None = None,
 ) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.plans.ordered import last_known, running, with_position
+from barloom.plans.ordered import bucket_of, fit_width, last_known, running, with_position
 from barloom.plans.series import Smooth, columns_step, ema_step, over_series, span_alpha
 
 
@@ -101,3 +101,12 @@ def test_smoothing_matches_recurrence(walk, block):
             want = seeded[8:].ewm(span=9, adjust=False).mean()
             np.testing.assert_allclose(o["sma"].values[8:], want, rtol=1e-11)
         assert o["sma"].values[:8].size == 0 or np.isnan(o["sma"].values[:8].astype(float)).all()
+
+
+def test_bucket_width_fits_dense_keys(walk):
+    pdf, df = walk
+    width = fit_width(df, ["symbol"], "ts", limit=20)
+    per = df.groupBy("symbol", bucket_of(df, "ts", width).alias("b")).count().agg(F.max("count")).first()[0]
+    assert per <= 20 and width < 86_400_000_000
+    got = with_position(df, width=width).toPandas().sort_values(["symbol", "ts"])
+    assert (got["_rn"].values == got.groupby("symbol").cumcount().values + 1).all()
