@@ -78,14 +78,15 @@ def z2(spark, sf):
 
 @query("z3_late_rows", None, None)
 def z3(spark, sf):
-    """Kept and dropped rows when the second half of the time line arrives first."""
+    """Kept and dropped rows when the first half of the time line arrives last. Late rows are
+    judged by the watermark of the batch before, hence two batches ahead of them."""
     t = table(spark, sf, "events").select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value"
     )
     folder = shared_folder(spark, "z3")
-    late = F.dayofmonth("ts") < 15
-    t.filter(~late).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    t.filter(late).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    day = F.dayofmonth("ts")
+    for part in (day >= 20, day.between(15, 19), day < 15):
+        t.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     from barloom.streaming.replay import run_to_table
 
     progress = run_to_table(sb.stream_bars(file_stream(spark, f"{folder}/in", t.schema)), f"{folder}/run")

@@ -16,6 +16,20 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
+def assert_same(got: pd.DataFrame, want: pd.DataFrame) -> None:
+    """Equal rows; rounding may fall either way on the last digit kept."""
+    diff = compare(got, want)
+    if diff is None:
+        return
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want), diff
+    key = [c for c in got.columns if not pd.api.types.is_float_dtype(got[c])]
+    x, y = (d[list(got.columns)].sort_values(key).reset_index(drop=True) for d in (got, want))
+    for c in key:
+        assert (x[c].astype(str) == y[c].astype(str)).all(), diff
+    for c in set(got.columns) - set(key):
+        pd.testing.assert_series_equal(x[c], y[c].astype(float), rtol=1e-9, atol=2e-6)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_small_blocks(spark, sf_dir, con, name, monkeypatch):
     fn, sql = load()[name]
@@ -27,12 +41,4 @@ def test_small_blocks(spark, sf_dir, con, name, monkeypatch):
 
     monkeypatch.setattr(series, "lay_out", small)
     got, want = fn(spark, sf_dir).toPandas(), con.execute(sql).df()
-    if compare(got, want) is not None:
-        # Rounding may fall either way on the last digit kept.
-        assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
-        key = [c for c in got.columns if not pd.api.types.is_float_dtype(got[c])]
-        x, y = (d[list(got.columns)].sort_values(key).reset_index(drop=True) for d in (got, want))
-        for c in key:
-            assert (x[c].astype(str) == y[c].astype(str)).all(), c
-        for c in set(got.columns) - set(key):
-            pd.testing.assert_series_equal(x[c], y[c].astype(float), rtol=1e-9, atol=2e-4)
+    assert_same(got, want)

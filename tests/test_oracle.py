@@ -3,8 +3,8 @@
 import pytest
 
 from barloom.catalog import load
-from tests.oracle_check import compare, connect
-from tests.test_blocks import NAMES
+from tests.oracle_check import connect
+from tests.test_blocks import NAMES, assert_same
 
 OTHERS = [n for n, (_, sql) in load().items() if sql is not None and n not in NAMES]
 ROWS_ONLY = ["c16_preprocess", "f11_boosted_tree_scores", "m8_grid_search", "z3_late_rows"]
@@ -18,7 +18,7 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", OTHERS)
 def test_matches_sql(spark, sf_dir, con, name):
     fn, sql = load()[name]
-    assert compare(fn(spark, sf_dir).toPandas(), con.execute(sql).df()) is None
+    assert_same(fn(spark, sf_dir).toPandas(), con.execute(sql).df())
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)
