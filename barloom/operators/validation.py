@@ -207,6 +207,7 @@ def consistency(df, *, keys=("symbol",), ts="ts", max_move=MAX_MOVE) -> DataFram
         large_gaps(df, keys=keys, ts=ts),
     ]
     out = _joined(parts, keys)
+    # The texts of the findings.
     errors = _messages(
         (
             F.col("high_violations") > 0,
@@ -297,6 +298,7 @@ def integrity_report(df, *, keys=("symbol",), ts="ts", ingest=None) -> DataFrame
         parts.append(chronological_order(df, keys=keys, ts=ts, ingest=ingest))
     out = _joined(parts, keys)
     disorder = (F.col("out_of_order") > 0) if ingest else F.lit(False)
+    # The texts of the findings.
     prices = _messages(
         (F.col("high_violations") > 0, _with_count("High price violations: ", "high_violations", " rows")),
         (F.col("low_violations") > 0, _with_count("Low price violations: ", "low_violations", " rows")),

@@ -120,17 +120,22 @@ def running(
         )
         fine = null_safe_join(fine.withColumns(off), coarse, inner)
         off = {f"_off_{n}": joined(n, F.col(f"_o1_{n}"), F.col(f"_off_{n}")) for n in names}
-    fine = fine.withColumns(off).select(*keys, "_b0", *off)
+    # The offsets travel as one extra row per bucket: rows and offsets meet in the window's own
+    # shuffle, where a join would move the rows a second time.
+    marks = fine.withColumns(off).select(*keys, "_b0", *off, F.lit(True).alias("_mark"))
+    data = data.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
 
-    def row_window(n):
+    def window(n):
         cols = [F.col(c).desc() if back[n] else F.col(c).asc() for c in (order, *ties)]
-        w = Window.partitionBy(*keys, "_b0").orderBy(*cols)
-        return w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-
-    data = data.withColumns(
-        {f"_r_{n}": _AGG[kind[n]](f"_v_{n}").over(row_window(n)) for n in names}
-    )
-    data = null_safe_join(data, fine, [*keys, "_b0"])
+        return Window.partitionBy(*keys, "_b0").orderBy(*cols)
+
+    everything = (Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = (Window.unboundedPreceding, -1 if exclusive else 0)
+    parts = {}
+    for n in names:
+        parts[f"_r_{n}"] = _AGG[kind[n]](f"_v_{n}").over(window(n).rowsBetween(*so_far))
+        parts[f"_off_{n}"] = F.max(f"_off_{n}").over(window(n).rowsBetween(*everything))
+    data = data.withColumns(parts).filter(~F.col("_mark"))
     data = data.withColumns({n: joined(n, F.col(f"_off_{n}"), F.col(f"_r_{n}")) for n in names})
     kept = [c for c in df.columns if c not in specs]
     return data.select(*kept, *names)
