@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barloom.llm.common import per_worker, text_of
+from barloom.llm.common import in_slices, per_worker, text_of
 
 #: Split pattern of byte-level models (fixed value).
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Matches taken from a text at once, so that a very long text is not held as one list.
 CHUNK = 200_000
 
@@ -213,7 +213,7 @@ def encode(
             columns |= {"starts": pa.array(starts, pa.binary()), "ends": pa.array(ends, pa.binary())}
         return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 
-    return df.withColumn(into, F.arrow_udf(run, f"struct<{_ddl(fields)}>")(text_of(text)))
+    return df.withColumn(into, F.arrow_udf(in_slices(run), f"struct<{_ddl(fields)}>")(text_of(text)))
 
 
 def _ddl(fields: str) -> str:
@@ -234,7 +234,7 @@ def decode(df: DataFrame, path: str, ids: str = "tokens.ids", into: str = "decod
         return pa.array(out, pa.binary())
 
     packed = F.coalesce(F.col(ids), F.lit(b"").cast("binary"))
-    return df.withColumn(into, F.arrow_udf(run, "binary")(packed))
+    return df.withColumn(into, F.arrow_udf(in_slices(run), "binary")(packed))
 
 
 def token_bytes(model: str) -> dict[int, bytes]:
@@ -265,4 +265,4 @@ def decode_pieces(
         return pa.array([pieces_of_text(words, r) for r in rows], pa.list_(pa.string()))
 
     packed = F.coalesce(F.col(ids), F.lit(b"").cast("binary"))
-    return df.withColumn(into, F.arrow_udf(run, "array<string>")(packed))
+    return df.withColumn(into, F.arrow_udf(in_slices(run), "array<string>")(packed))

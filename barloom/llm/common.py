@@ -31,6 +31,27 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def in_slices(fn: Callable[..., pa.Array], rows: int = 256) -> Callable[..., pa.Array]:
+    """An Arrow function applied to a few rows at a time, so that a batch of large texts is never
+    held as Python objects whole."""
+
+    def run(*arrays: pa.Array) -> pa.Array:
+        n = len(arrays[0])
+        parts = [fn(*(a.slice(i, rows) for a in arrays)) for i in range(0, n, rows)]
+        return pa.concat_arrays(parts) if parts else fn(*arrays)
+
+    def one(a: pa.Array) -> pa.Array:
+        return run(a)
+
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return run(a, b)
+
+    def three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        return run(a, b, c)
+
+    return (one, two, three)[fn.__code__.co_argcount - 1]  # a plain signature tells Spark the kind
+
+
 def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Whole key groups from batches sorted by ``key``: each table holds complete groups.
 

@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.bpe import PATTERN, to_characters
-from barloom.llm.common import per_worker, text_of
+from barloom.llm.common import in_slices, per_worker, text_of
 
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Pieces up to this many bytes share prefixes with others.
 SHARED = 48
 #: Contractions whose middle prefix the split pattern cuts in two (fixed values).
@@ -217,7 +217,7 @@ def prefix_counts(
         )
 
     return df.withColumn(
-        into, F.arrow_udf(run, "struct<steps: binary, n: bigint>")(text_of(text))
+        into, F.arrow_udf(in_slices(run), "struct<steps: binary, n: bigint>")(text_of(text))
     )
 
 
@@ -232,7 +232,7 @@ def tokens_at(steps: Column, characters: Column) -> Column:
         ]
         return pa.array(out, pa.int64())
 
-    return F.arrow_udf(run, "bigint")(steps, characters.cast("bigint"))
+    return F.arrow_udf(in_slices(run), "bigint")(steps, characters.cast("bigint"))
 
 
 def longest_within(steps: Column, budget: Column) -> Column:
@@ -249,4 +249,4 @@ def longest_within(steps: Column, budget: Column) -> Column:
             out.append(int(fit[-1]) + 1 if len(fit) else 0)
         return pa.array(out, pa.int64())
 
-    return F.arrow_udf(run, "bigint")(steps, budget.cast("bigint"))
+    return F.arrow_udf(in_slices(run), "bigint")(steps, budget.cast("bigint"))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, prefix_counts
+from barloom.llm import bpe, lines, prefix_counts, quality
 from barloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("prefix.n").alias("n_tokens"),
         (F.col("prefix.n") > 1024).alias("over_limit"),
     )
+
+
+#: Share of documents whose labels are never learnt from, as crc32(id) mod 5 = 0.
+HELD_OUT = F.expr("crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0")
+GOOD = 0.3
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """The classifier as used in production: learnt from all rows that are not held out."""
+    learn = ~F.coalesce(HELD_OUT, F.lit(False))
+    return quality.fit(docs.where(learn), labels.where(learn), trusted=F.col("quality") == 1)
+
+
+@register("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text; positives are the labelled good texts that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= GOOD).cast("int").alias("predicted"),
+    )
+
+
+@register("op6_line_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated runs of lines in every document, and a digest of what stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select(
+        "doc_id",
+        F.col("lines.total").cast("bigint").alias("n_lines"),
+        F.col("lines.removed").cast("bigint").alias("n_removed"),
+        F.col("lines.runs").alias("removed_runs"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
