@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, lines, prefix_counts, quality
+from barloom.llm import bpe, jaccard, lines, mixing, prefix_counts, quality
 from barloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lines.runs").alias("removed_runs"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )
+
+
+@register("op3_shingle_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, number of links and component of every document by shingle similarity."""
+    return jaccard.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn(
+        "kept", F.col("doc_id") == F.col("component_id")
+    )
+
+
+@register("op7_mixing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block, slot and window of every document in the mix of sources by tempered weights."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs).select("doc_id", "source", "mix.*")
