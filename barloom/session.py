@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ def build_session(app: str = "barloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Wide feature plans hold more generated classes than the default cache keeps.
         "spark.sql.codegen.cache.maxEntries": "4000",
         # A block with its halo fits the window buffer without switching to the sorter.
@@ -28,17 +30,23 @@ def build_session(app: str = "barloom", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so a lost executor costs a re-read.
-
-    The folder comes from ``spark.checkpoint.dir``; only where neither the setting nor the
-    context names one (tests on one machine) is a local folder set.
-    """
-    spark = df.sparkSession
+def set_checkpoint_folder(spark: SparkSession) -> None:
+    """Point checkpoints at the shared folder that ``spark.checkpoint.dir`` names. Where it is unset,
+    a temporary folder serves a session on one machine; on a cluster that is an error, because
+    executors could not read each other's files."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-            "spark.checkpoint.dir"
-        )
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if configured is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    sc.setCheckpointDir(configured)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder, so a lost executor costs a re-read. Runs
+    the plan at once. Spark removes the files of checkpoints that are no longer referenced where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as ``build_session`` does."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        set_checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
