@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barloom.llm.common import in_slices, per_worker, text_of
+from barloom.llm.common import in_slices, per_worker, small_batches, text_of
 
 #: Split pattern of byte-level models (fixed value).
 PATTERN = (
@@ -183,6 +183,7 @@ def encode(
 
     The model (a few MB, bounded by the vocabulary) is broadcast; the path is read on the driver.
     """
+    small_batches(df.sparkSession)
     model = library_model(path)
     shared = df.sparkSession.sparkContext.broadcast(model.encode())
     ident = hashlib.sha256(shared.value + pattern.encode()).hexdigest()
@@ -222,6 +223,7 @@ def _ddl(fields: str) -> str:
 
 def decode(df: DataFrame, path: str, ids: str = "tokens.ids", into: str = "decoded") -> DataFrame:
     """Add the bytes that packed ids stand for. Null ids give empty bytes."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(library_model(path).encode())
     ident = hashlib.sha256(shared.value).hexdigest()
 
@@ -256,6 +258,7 @@ def decode_pieces(
     df: DataFrame, path: str, ids: str = "tokens.ids", into: str = "pieces"
 ) -> DataFrame:
     """Add the text as one string per token (see ``pieces_of_text``)."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(library_model(path).encode())
     ident = hashlib.sha256(shared.value).hexdigest()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.session import set_checkpoint_folder
+
 _WORKER: dict[Any, Any] = {}
 
 
@@ -31,6 +34,20 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+#: Bytes of one Arrow batch of texts. Workers hold a batch, its results and their tables.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH`` bytes where they are larger: texts can be long,
+    and two Python workers and the JVM share an executor's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = re.match(r"\d+", spark.conf.get(name, "0"))
+    now = int(digits[0]) if digits and spark.conf.get(name)[digits.end() :].lower() in ("", "b") else BATCH + 1
+    if now <= 0 or now > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def in_slices(fn: Callable[..., pa.Array], rows: int = 256) -> Callable[..., pa.Array]:
     """An Arrow function applied to a few rows at a time, so that a batch of large texts is never
     held as Python objects whole."""
@@ -96,3 +113,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, as checkpoints use it."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        set_checkpoint_folder(spark)
+    return str(sc.getCheckpointDir())

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import bounds, groups, mix64, per_worker, text_of
+from barloom.llm.common import bounds, groups, mix64, per_worker, small_batches, text_of
 from barloom.llm.components import components
 from barloom.session import durable
 
@@ -285,6 +285,7 @@ def similar_groups(
     """One row per document id: ``key``, ``class_id`` (least id with the same shingle set),
     ``n_links`` (other documents at the threshold or above, copies included) and ``component_id``
     (least id reachable by links)."""
+    small_batches(docs.sparkSession)
     count = trees * max_depth
     depth = prefix_length(trees, max_depth, threshold, recall)
     cut = int(np.floor(count * threshold - 5 * np.sqrt(count * threshold * (1 - threshold))))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import in_slices, mix64, text_of
+from barloom.llm.common import in_slices, mix64, small_batches, text_of
 
 MIN_WORDS = 5
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -112,6 +112,7 @@ def winnow(docs: DataFrame, text: str, key: str, min_words: int) -> DataFrame:
                 names=["_d", "_h", "_s", "_e", "_f", "_c"],
             )
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("_d"), digest_of(text).alias("_h"), text_of(text).alias("_t"))
     return source.mapInArrow(run, f"_d {kind}, _h bigint, _s int, _e int, _f bigint, _c bigint")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.bpe import PATTERN, to_characters
-from barloom.llm.common import in_slices, per_worker, text_of
+from barloom.llm.common import in_slices, per_worker, small_batches, text_of
 
 REMEMBERED = 200_000
 #: Pieces up to this many bytes share prefixes with others.
@@ -204,6 +204,7 @@ def prefix_counts(
 ) -> DataFrame:
     """Add a struct column ``into``: ``steps`` (change of the token count at each character,
     packed) and ``n`` (tokens of the whole text). The model file is broadcast. Other columns stay."""
+    small_batches(df.sparkSession)
     with open(path, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read().encode())
     ident = hashlib.sha256(shared.value).hexdigest()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import in_slices, text_of
+from barloom.llm.common import in_slices, small_batches, text_of
 from barloom.session import durable
 
 #: Character classes: other, lower, upper, digit, space, line end, stop, comma, mark, bar, symbol.
@@ -236,6 +236,7 @@ def fit(
     The feature table (21 numbers a row) is checkpointed once; each Newton step reads it.
     """
     positives = labels.where(trusted).where(F.col(key).isNotNull()).select(F.col(key).alias("_k")).distinct()
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_k"), feature_column(text).alias("x"))
     table = durable(
         rows.join(positives.withColumn("_p", F.lit(True)), "_k", "left").select(
@@ -256,6 +257,8 @@ def fit(
 def score(df: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """Add the probability that a text is good. Other columns stay."""
 
+    small_batches(df.sparkSession)
+
     def run(texts: pa.Array) -> pa.Array:
         rows = texts.to_pylist()
         x = np.array([features(t) for t in rows]).reshape(len(rows), NAMES)
