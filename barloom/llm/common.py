@@ -42,9 +42,8 @@ def small_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to ``BATCH`` bytes where they are larger: texts can be long,
     and two Python workers and the JVM share an executor's memory."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    digits = re.match(r"\d+", spark.conf.get(name, "0"))
-    now = int(digits[0]) if digits and spark.conf.get(name)[digits.end() :].lower() in ("", "b") else BATCH + 1
-    if now <= 0 or now > BATCH:
+    digits = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if not digits or int(digits[1]) > BATCH:
         spark.conf.set(name, str(BATCH))
 
 
