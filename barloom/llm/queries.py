@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, jaccard, lines, mixing, prefix_counts, quality
+from barloom.llm import bpe, chat, jaccard, lines, mixing, prefix_counts, quality, secret_scan
 from barloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,31 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block, slot and window of every document in the mix of sources by tempered weights."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs).select("doc_id", "source", "mix.*")
+
+
+@register("op8_chat_rotation", chat.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the view of each participant, with the mask as text."""
+    spans = F.transform("mask", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return chat.rotate(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "speaker", "segment", "n_turns", "text", F.array_join(spans, ",").alias("mask"), "offset"
+    )
+
+
+@register("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; candidates that one source alone holds are added to the base spans."""
+    def n(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return found.select(
+        "doc_id",
+        n(0).alias("n_assign"),
+        n(1).alias("n_access"),
+        n(2).alias("n_hex"),
+        F.sha2(secret_scan.label(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.label(F.col("spans")).alias("spans"),
+        "n_live",
+        "n_copied",
+    )
