@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, jaccard, kmeans_tree, lines, mixing, prefix_counts, quality, secret_scan
+from barloom.llm import bpe, chat, hnsw, jaccard, kmeans_tree, lines, mixing, prefix_counts, quality, secret_scan
 from barloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +138,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest other vectors of every vector whose id is divisible by 50."""
     found, _ = kmeans_tree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
     return found
+
+
+@register("op9_embedding_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at a cosine of 0.9."""
+    found, _ = hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found
