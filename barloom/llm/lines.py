@@ -146,20 +146,21 @@ def dedup_lines(
     ``removed`` lines and ``runs``, the removed stretches as ``start:end`` pairs of line numbers."""
     gone = (
         repeats(docs, text, key, min_words)
-        .groupBy("_d", "_h")
-        .agg(F.collect_list("_s").alias("_ss"), F.collect_list("_e").alias("_es"))
+        .groupBy(F.col("_d").alias("__gone_id"), F.col("_h").alias("__gone_hash"))
+        .agg(F.collect_list("_s").alias("__starts"), F.collect_list("_e").alias("__ends"))
     )
-    here = docs.withColumn("_rh", digest_of(text))
+    here = docs.withColumn("__hash", digest_of(text))
     joined = here.join(
-        gone, here[key].eqNullSafe(gone["_d"]) & (here["_rh"] == gone["_h"]), "left"
+        gone,
+        F.col(key).eqNullSafe(F.col("__gone_id")) & (F.col("__hash") == F.col("__gone_hash")),
+        "left",
     )
     cut = F.arrow_udf(in_slices(_cut), "struct<text: string, total: int, removed: int, runs: string>")
-    done = joined.withColumn("_cut", cut(text_of(text), "_ss", "_es"))
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, into)]
-    at = docs.columns.index(text)
-    info = F.struct("_cut.total", "_cut.removed", "_cut.runs").alias(into)
-    kept = F.when(here[text].isNull(), F.lit(None)).otherwise(F.col("_cut.text")).alias(text)
-    return done.select(*others[:at], kept, *others[at:], info)
+    done = joined.withColumn("__cut", cut(text_of(text), F.col("__starts"), F.col("__ends")))
+    kept = F.when(F.col(text).isNotNull(), F.col("__cut.text")).alias(text)
+    columns = [kept if c == text else F.col(f"`{c}`") for c in docs.columns if c != into]
+    info = F.struct("__cut.total", "__cut.removed", "__cut.runs").alias(into)
+    return done.select(*columns, info)
 
 
 def _cut(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:

@@ -81,33 +81,33 @@ def shuffle_key(key: str, seed: int) -> Column:
 def numbered(df: DataFrame, source: str, key: str, seed: int) -> DataFrame:
     """Add ``_seq``: the row's number from 0 within its source, in the seeded order."""
     h = shuffle_key(key, seed)
-    ordered = df.withColumn("_h", h).withColumn("_src", F.col(source))
+    ordered = df.withColumn("__mix_h", h).withColumn("__mix_src", F.col(source))
     hex_digits = 8
-    place = F.conv(F.substring("_h", 1, hex_digits), 16, 10).cast("bigint")
+    place = F.conv(F.substring("__mix_h", 1, hex_digits), 16, 10).cast("bigint")
     # Finer buckets for larger tables; the numbers come out the same.
     n = df.count()
     n_buckets = max(1, n // BUCKET_ROWS)
-    ordered = ordered.withColumn("_b", F.floor(place * F.lit(n_buckets) / F.lit(16**hex_digits)).cast("bigint"))
-    counts = ordered.groupBy("_src", "_b").agg(F.count("*").alias("_n"))
+    ordered = ordered.withColumn("__mix_b", F.floor(place * F.lit(n_buckets) / F.lit(16**hex_digits)).cast("bigint"))
+    counts = ordered.groupBy("__mix_src", "__mix_b").agg(F.count("*").alias("__mix_n"))
     # Offsets in two levels, so that the buckets of one source do not meet in one task either.
-    coarse = F.floor(F.col("_b") / 1024)
-    w_in = Window.partitionBy("_src", "_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    w_up = Window.partitionBy("_src").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_g", coarse)
-    upper = counts.groupBy("_src", "_g").agg(F.sum("_n").alias("_t"))
+    coarse = F.floor(F.col("__mix_b") / 1024)
+    w_in = Window.partitionBy("__mix_src", "__mix_g").orderBy("__mix_b").rowsBetween(Window.unboundedPreceding, -1)
+    w_up = Window.partitionBy("__mix_src").orderBy("__mix_g").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__mix_g", coarse)
+    upper = counts.groupBy("__mix_src", "__mix_g").agg(F.sum("__mix_n").alias("__mix_t"))
     upper = upper.select(
-        F.col("_src").alias("_us"), F.col("_g").alias("_ug"), F.coalesce(F.sum("_t").over(w_up), F.lit(0)).alias("_up")
+        F.col("__mix_src").alias("__mix_us"), F.col("__mix_g").alias("__mix_ug"), F.coalesce(F.sum("__mix_t").over(w_up), F.lit(0)).alias("__mix_up")
     )
-    inner = counts.withColumn("_in", F.coalesce(F.sum("_n").over(w_in), F.lit(0)))
+    inner = counts.withColumn("__mix_in", F.coalesce(F.sum("__mix_n").over(w_in), F.lit(0)))
     offsets = inner.join(
-        upper, inner["_src"].eqNullSafe(upper["_us"]) & (inner["_g"] == upper["_ug"])
-    ).select(F.col("_src").alias("_os"), F.col("_b").alias("_ob"), (F.col("_in") + F.col("_up")).alias("_off"))
+        upper, inner["__mix_src"].eqNullSafe(upper["__mix_us"]) & (inner["__mix_g"] == upper["__mix_ug"])
+    ).select(F.col("__mix_src").alias("__mix_os"), F.col("__mix_b").alias("__mix_ob"), (F.col("__mix_in") + F.col("__mix_up")).alias("__mix_off"))
     rows = ordered.join(
-        offsets, ordered["_src"].eqNullSafe(offsets["_os"]) & (ordered["_b"] == offsets["_ob"])
+        offsets, ordered["__mix_src"].eqNullSafe(offsets["__mix_os"]) & (ordered["__mix_b"] == offsets["__mix_ob"])
     )
-    w = Window.partitionBy("_src", "_b").orderBy("_h", F.col(key))
-    return rows.withColumn("_seq", F.col("_off") + F.row_number().over(w) - 1).drop(
-        "_h", "_b", "_os", "_ob", "_off", "_src"
+    w = Window.partitionBy("__mix_src", "__mix_b").orderBy("__mix_h", F.col(key))
+    return rows.withColumn("__mix_seq", F.col("__mix_off") + F.row_number().over(w) - 1).drop(
+        "__mix_h", "__mix_b", "__mix_os", "__mix_ob", "__mix_off", "__mix_src"
     )
 
 
@@ -144,34 +144,34 @@ def mix(
     spark = df.sparkSession
     plan = spark.createDataFrame(
         [(s, share[s], k, slot) for s, k, slot in frame_slots(share, frame)] if share else [],
-        "_ps string, _share bigint, _pk bigint, _ofs bigint",
+        "__mix_ps string, __mix_share bigint, __mix_pk bigint, __mix_ofs bigint",
     )
     rows = numbered(df, source, key, seed)
-    block = F.floor(F.col("_seq") / block_rows).cast("bigint")
+    block = F.floor(F.col("__mix_seq") / block_rows).cast("bigint")
     named = F.coalesce(F.col(source), F.lit(_NULL))
-    shares = spark.createDataFrame(list(share.items()), "_ss string, _k bigint")
+    shares = spark.createDataFrame(list(share.items()), "__mix_ss string, __mix_k bigint")
     placed = (
-        rows.withColumn("_blk", block)
-        .withColumn("_name", named)
-        .join(F.broadcast(shares), F.col("_name") == F.col("_ss"), "left")
+        rows.withColumn("__mix_blk", block)
+        .withColumn("__mix_name", named)
+        .join(F.broadcast(shares), F.col("__mix_name") == F.col("__mix_ss"), "left")
         .withColumn(
-            "_k",
-            F.when(F.col("_k").isNull(), F.raise_error(F.concat(F.lit("no weight for source "), "_name"))).otherwise(
-                F.col("_k")
+            "__mix_k",
+            F.when(F.col("__mix_k").isNull(), F.raise_error(F.concat(F.lit("no weight for source "), "__mix_name"))).otherwise(
+                F.col("__mix_k")
             ),
         )
-        .withColumn("_pk0", F.col("_blk") % F.col("_k"))
+        .withColumn("__mix_pk0", F.col("__mix_blk") % F.col("__mix_k"))
         # The frame has a fixed number of rows.
-        .join(F.broadcast(plan), (F.col("_name") == F.col("_ps")) & (F.col("_pk0") == F.col("_pk")))
+        .join(F.broadcast(plan), (F.col("__mix_name") == F.col("__mix_ps")) & (F.col("__mix_pk0") == F.col("__mix_pk")))
     )
-    n = F.col("_blk")
+    n = F.col("__mix_blk")
     return placed.select(
         *[F.col(f"`{c}`") for c in df.columns if c != into],
         F.struct(
             n.alias("block"),
-            (F.col("_seq") % block_rows).alias("row"),
-            (F.floor(n / F.col("_k")) * frame + F.col("_ofs")).alias("slot"),
-            F.floor(n * frame / F.col("_k")).alias("release"),
-            F.ceil((n + 1) * frame / F.col("_k")).alias("deadline"),
+            (F.col("__mix_seq") % block_rows).alias("row"),
+            (F.floor(n / F.col("__mix_k")) * frame + F.col("__mix_ofs")).alias("slot"),
+            F.floor(n * frame / F.col("__mix_k")).alias("release"),
+            F.ceil((n + 1) * frame / F.col("__mix_k")).alias("deadline"),
         ).alias(into),
     )

@@ -32,7 +32,7 @@ def usable(vector: str, dim: int) -> Column:
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, max(dim, 1))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
