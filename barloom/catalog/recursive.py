@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.catalog.base import bars, bars_sql, query
+from barloom.catalog.cleaning import GRID_CTES, gappy
 from barloom.catalog.windows import TR, case, lag
 from barloom.operators import recursive as re_
 from barloom.operators import windows as wi
@@ -86,6 +87,83 @@ def r2(spark, sf):
     return over_series(bars(spark, sf), re_.ema("close", (12, 26), adjusted=True))
 
 
+# Half-hour bars on a full time grid: missing bars are nulls, at the head too where the first is cut.
+GAPPY = f"""WITH RECURSIVE {GRID_CTES}, n AS (SELECT symbol, ts, CASE WHEN rn > 2 THEN close END AS close, rn
+  FROM (SELECT *, row_number() OVER w AS rn FROM gappy {W}))"""
+
+
+# Most half hours have no bar: what the histories must bridge.
+MISSING = 2000
+
+
+def gappy_bars(spark, sf):
+    late = columns_step(lambda f: {"close": F.when(f.rn > 2, F.col("close"))})
+    return over_series(gappy(spark, sf).select("symbol", "ts", "close"), late)
+
+
+def recur_known(name: str, src: str, outs: dict[str, tuple[str, float, bool]]) -> str:
+    """Weighted sums ``num`` and ``den`` over known values; the first one weighs 1, later ones alpha
+    (adjusted: 1)."""
+    first = ", ".join(
+        f"CAST(coalesce({x}, 0) AS DOUBLE) AS num_{o}, CASE WHEN {x} IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS den_{o}"
+        for o, (x, _, _) in outs.items()
+    )
+
+    def step(o, x, al, adjusted):
+        w = "1.0" if adjusted else f"CASE WHEN r.den_{o} = 0 THEN 1.0 ELSE {al!r} END"
+        return (
+            f"{1 - al!r} * r.num_{o} + CASE WHEN s.{x} IS NULL THEN 0 ELSE ({w}) * s.{x} END, "
+            f"{1 - al!r} * r.den_{o} + CASE WHEN s.{x} IS NULL THEN 0 ELSE ({w}) END"
+        )
+
+    return f"""{name} AS (SELECT symbol, rn, {first} FROM {src} WHERE rn = 1
+  UNION ALL SELECT s.symbol, s.rn, {", ".join(step(o, *v) for o, v in outs.items())} FROM {name} r
+  JOIN {src} s ON s.symbol = r.symbol AND s.rn = r.rn + 1)"""
+
+
+@query(
+    "r1_ema_gappy",
+    "symbol ts ema_2:d ema_3:d ema_9:d ema_50:d",
+    GAPPY
+    + ", "
+    + recur_known("e", "n", {f"e{n}": ("close", a(n), False) for n in (2, 3, 9, 50)})
+    + " SELECT n.symbol, n.ts, "
+    + ", ".join(f"num_e{n} / nullif(den_e{n}, 0) AS ema_{n}" for n in (2, 3, 9, 50))
+    + " FROM n JOIN e USING (symbol, rn)",
+)
+def r1_gappy(spark, sf):
+    return over_series(gappy_bars(spark, sf), re_.ema("close", (2, 3, 9, 50), gap=MISSING))
+
+
+@query(
+    "r2_ema_adjusted_gappy",
+    "symbol ts ema_12:d ema_26:d",
+    GAPPY
+    + ", "
+    + recur_known("e", "n", {"a": ("close", a(12), True), "b": ("close", a(26), True)})
+    + """ SELECT n.symbol, n.ts, num_a / nullif(den_a, 0) AS ema_12, num_b / nullif(den_b, 0) AS ema_26
+  FROM n JOIN e USING (symbol, rn)""",
+)
+def r2_gappy(spark, sf):
+    return over_series(gappy_bars(spark, sf), re_.ema("close", (12, 26), adjusted=True, gap=MISSING))
+
+
+@query(
+    "r5_rsi_gappy",
+    "symbol ts rsi_14:d",
+    GAPPY
+    + f""", d AS (SELECT *, close - {lag('close')} AS diff FROM n {W}),
+u AS (SELECT *, CASE WHEN diff IS NOT NULL THEN greatest(diff, 0) END AS up,
+  CASE WHEN diff IS NOT NULL THEN greatest(-diff, 0) END AS dn FROM d), """
+    + recur_known("e", "u", {"g": ("up", 1 / 14, False), "l": ("dn", 1 / 14, False)})
+    + """ SELECT n.symbol, n.ts, 100 * (num_g / den_g) / nullif(num_g / den_g + num_l / den_l, 0) AS rsi_14
+  FROM (SELECT symbol, rn, num_g, nullif(den_g, 0) AS den_g, num_l, nullif(den_l, 0) AS den_l FROM e) e
+  JOIN n USING (symbol, rn)""",
+)
+def r5_gappy(spark, sf):
+    return over_series(gappy_bars(spark, sf), re_.rsi((14,), gap=MISSING))
+
+
 @query(
     "r3_wilder",
     "symbol ts close_rma_14:d",

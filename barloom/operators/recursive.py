@@ -1,7 +1,9 @@
 """Indicators built on exponential smoothing.
 
 Contract: averages start from the first value (``seed="first"``) or from the mean of the first n
-values (``seed="sma"``, null before). Wilder smoothing is the same recurrence with weight 1/n.
+values (``seed="sma"``, null before). Wilder smoothing is the same recurrence with weight 1/n. A
+missing value keeps the average, and later values count for more by the gap (``plans.series.smooth``);
+``gap`` is how many missing rows a block's history has to bridge.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ from barloom.operators.windows import true_range
 from barloom.plans.series import Smooth, Step, ema_history, ema_step, smooth, span_alpha, wilder_alpha
 
 
-def ema(col="close", periods: Sequence[int] = (21,), *, seed="first", adjusted=False, prefix="ema") -> Step:
+def ema(col="close", periods: Sequence[int] = (21,), *, seed="first", adjusted=False, prefix="ema", gap=0) -> Step:
     return ema_step(
         {
             f"{prefix}_{n}": Smooth(
-                col, span_alpha(n), adjusted=adjusted, sma_seed=n if seed == "sma" else 0
+                col, span_alpha(n), adjusted=adjusted, sma_seed=n if seed == "sma" else 0, gap=gap
             )
             for n in periods
         }
@@ -30,8 +32,8 @@ def ema_back(n: int) -> int:
     return ema_history(span_alpha(n))
 
 
-def wilder(col: str, n: int = 14, out: str | None = None, lead: int = 0) -> Step:
-    return ema_step({out or f"{col}_rma_{n}": Smooth(col, wilder_alpha(n), lead=lead)})
+def wilder(col: str, n: int = 14, out: str | None = None, lead: int = 0, gap: int = 0) -> Step:
+    return ema_step({out or f"{col}_rma_{n}": Smooth(col, wilder_alpha(n), lead=lead, gap=gap)})
 
 
 def macd(fast=12, slow=26, signal=9, *, adjusted=False, col="close") -> Step:
@@ -61,12 +63,18 @@ def macd(fast=12, slow=26, signal=9, *, adjusted=False, col="close") -> Step:
     return Step(build, back, 0, "macd")
 
 
-def rsi(periods: Sequence[int] = (14,)) -> Step:
+def rsi(periods: Sequence[int] = (14,), gap: int = 0) -> Step:
     """Relative strength from Wilder averages of gains and losses."""
 
     def build(df, f):
         diff = F.col("close") - f.lag("close")
-        df = df.withColumns({"_up": F.greatest(diff, F.lit(0.0)), "_dn": F.greatest(-diff, F.lit(0.0))})
+        known = diff.isNotNull()
+        df = df.withColumns(
+            {
+                "_up": F.when(known, F.greatest(diff, F.lit(0.0))),
+                "_dn": F.when(known, F.greatest(-diff, F.lit(0.0))),
+            }
+        )
         outs = {}
         for n in periods:
             outs[f"_g{n}"] = Smooth("_up", wilder_alpha(n), lead=1)
@@ -76,7 +84,7 @@ def rsi(periods: Sequence[int] = (14,)) -> Step:
             {f"rsi_{n}": div(F.col(f"_g{n}"), F.col(f"_g{n}") + F.col(f"_l{n}")) * 100 for n in periods}
         ).drop("_up", "_dn", *outs)
 
-    return Step(build, 1 + ema_history(wilder_alpha(max(periods))), 0, "rsi")
+    return Step(build, 1 + ema_history(wilder_alpha(max(periods))) + 2 * gap, 0, "rsi")
 
 
 def rsi_momentum(col="rsi_14", n: int = 3, back: int | None = None) -> Step:
@@ -109,8 +117,8 @@ def adx(n: int = 14) -> Step:
         down = f.lag("low") - F.col("low")
         df = df.withColumns(
             {
-                "_pdm": F.when((up > down) & (up > 0), up).when(up.isNotNull(), 0.0),
-                "_mdm": F.when((down > up) & (down > 0), down).when(up.isNotNull(), 0.0),
+                "_pdm": F.when((up > down) & (up > 0), up).when((up + down).isNotNull(), 0.0),
+                "_mdm": F.when((down > up) & (down > 0), down).when((up + down).isNotNull(), 0.0),
                 "_tr": true_range(f),
             }
         )

@@ -245,86 +245,116 @@ def wilder_alpha(n: int) -> float:
 
 @dataclass(frozen=True)
 class Smooth:
-    """One exponential average: source column, weight, leading nulls, seeding."""
+    """One exponential average: source column, weight, leading nulls, seeding, missing rows bridged."""
 
     source: str
     alpha: float
     lead: int = 0
     adjusted: bool = False
     sma_seed: int = 0
+    gap: int = 0
 
     @property
     def back(self) -> int:
-        return ema_history(self.alpha) + self.sma_seed
+        return ema_history(self.alpha) + self.sma_seed + 2 * self.gap
 
 
 def smooth(df: DataFrame, fr: Frame, outs: Mapping[str, Smooth]) -> DataFrame:
-    """Exponential averages as scaled running sums.
-
-    ``y[t] = d*y[t-1] + a*x[t]`` unrolls to ``y = d^e * sum(a * x * d^-e)``. Slow decays fit one
-    running sum over the block. Fast ones would overflow, so they run per sub-block of
-    ``SUB_ROWS`` and add the end of the sub-block before it; anything older weighs < exp(-70).
-    A block starts at its halo, whose first row stands for all history (weight below 1e-17).
+    """Exponential averages as quotients of scaled running sums.
+
+    The average of a row is the weighted mean of the known values up to it. A value's weight falls
+    by ``d = 1 - alpha`` per row, rows without a value included; the first known value weighs 1, later
+    ones ``alpha`` (``adjusted``: all weigh 1). Without nulls this is ``y[t] = d*y[t-1] + a*x[t]``. A
+    null keeps the last average, and nothing is known before the first known value.
+
+    Sums unroll to ``d^e * sum(x * d^-e)``. Slow decays fit one running sum over the block. Fast ones
+    would overflow, so they run per sub-block of ``SUB_ROWS`` and add the end of the sub-block before
+    it; anything older weighs < exp(-70). The fastest forget within some dozen rows, which are added
+    up one by one. A block starts at its halo, whose first known row stands for all history (weight
+    below 1e-17). That needs known rows in the halo: ``gap`` is the longest run of missing rows it
+    bridges; after longer ones the average may start anew at a block's border.
     """
-    slow, fast, seeds, work = {}, {}, {}, {}
-    for out, s in outs.items():
-        if s.sma_seed:
-            seeds[f"_x_{out}"] = fr.roll(F.avg, s.source, s.sma_seed)
+    seeds = {o: s for o, s in outs.items() if s.sma_seed and s.alpha < 1}
+    so_far = fr.over_rows(None, 0)
     if seeds:
-        df = df.withColumns(seeds)
+        df = df.withColumns({f"_x_{o}": fr.roll(F.avg, s.source, s.sma_seed) for o, s in seeds.items()})
+        at = {
+            f"_f_{o}": F.expr(
+                f"min(CASE WHEN `_rn` > {s.lead} AND `_x_{o}` IS NOT NULL THEN `_rn` END) {so_far}"
+            )
+            for o, s in seeds.items()
+        }
+        df = df.withColumns(at)
     base = f"greatest(0, `_blk` * {fr.block_rows} - {fr.back})"
     keys = ", ".join(f"`{k}`" for k in (*fr.keys, "_blk", "_sub"))
     in_sub = f"OVER (PARTITION BY {keys} ORDER BY `_rn` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    level, late, exact, final, temporary = {}, {}, {}, {}, []
     for out, s in outs.items():
         if s.alpha >= 1:
-            slow[out] = F.col(s.source)
+            known = f"CASE WHEN `_rn` > {s.lead} THEN `{s.source}` END"
+            final[out] = F.expr(f"last_value({known}, true) {so_far}")
             continue
-        rate, lead, x = decay_rate(s.alpha), s.lead, f"`{s.source}`"
+        rate = decay_rate(s.alpha)
         if s.sma_seed:
-            lead = s.lead + s.sma_seed - 1
-            x = f"(CASE WHEN `_rn` = {lead + 1} THEN `_x_{out}` ELSE {x} END)"
-        if s.adjusted:
-            weight = "1D"
+            x = f"CASE WHEN `_rn` = `_f_{out}` THEN `_x_{out}` WHEN `_rn` > `_f_{out}` THEN `{s.source}` END"
+        elif s.lead:
+            x = f"CASE WHEN `_rn` > {s.lead} THEN `{s.source}` END"
         else:
-            is_seed = f"`_rn` = greatest({lead + 1}, {base} + 1)"
-            weight = f"(CASE WHEN {is_seed} THEN 1D ELSE {s.alpha!r}D END)"
+            x = f"`{s.source}`"
+        one = f"CASE WHEN {x} IS NOT NULL THEN 1D END"
+        terms = {"n": x, "d": one}
         direct = rate * fr.span <= SAFE_EXP
-        if not direct and not 36 <= rate * SUB_ROWS <= 690:
-            raise ValueError("pass a smaller block_rows for this mix of smoothing lengths")
-        e = f"(`_rn` - {base})" if direct else f"((`_rn` - 1) % {SUB_ROWS})"
-        frame = fr.over_rows(None, 0) if direct else in_sub
-        term = f"CASE WHEN `_rn` > {lead} THEN {weight} * {x} * exp({e} * {rate!r}D) END"
-        y = f"exp({e} * -{rate!r}D) * sum({term}) {frame}"
-        if direct:
-            slow[out] = F.expr(_finish(y, s, lead))
+        if direct or rate * SUB_ROWS <= 690:
+            e = f"(`_rn` - {base})" if direct else f"((`_rn` - 1) % {SUB_ROWS})"
+            over = so_far if direct else in_sub
+            for k, t in terms.items():
+                level[f"_{k}_{out}"] = F.expr(
+                    f"exp({e} * -{rate!r}D) * sum(({t}) * exp({e} * {rate!r}D)) {over}"
+                )
+                if not direct:
+                    if rate * SUB_ROWS < 36:
+                        raise ValueError("pass a smaller block_rows for this mix of smoothing lengths")
+                    end = f"CASE WHEN `_rn` % {SUB_ROWS} = 0 THEN coalesce(`_{k}_{out}`, 0D) END"
+                    late[f"_c_{k}_{out}"] = F.expr(f"last_value({end}, true) {fr.over_rows(None, -1)}")
+            carry = None if direct else f"exp(({e} + 1) * -{rate!r}D)"
         else:
-            fast[out] = F.expr(y)
-            work[out] = (s, lead, rate, e)
-    if fast:
-        df = df.withColumns({f"_p_{o}": y for o, y in fast.items()})
-        ends = fr.over_rows(None, -1)
-        carry = {
-            f"_q_{o}": F.expr(
-                f"last_value(CASE WHEN `_rn` % {SUB_ROWS} = 0 THEN `_p_{o}` END, true) {ends}"
-            )
-            for o in fast
+            reach = math.ceil(TAIL / rate)
+            for k, t in terms.items():
+                parts = [
+                    f"coalesce(lag({t}, {i}) OVER ({fr.over}), 0D) * {math.exp(-rate * i)!r}D"
+                    for i in range(1, reach + 1)
+                ]
+                level[f"_{k}_{out}"] = F.expr(" + ".join([f"coalesce({t}, 0D)", *parts]))
+            carry = None
+        sums = {
+            k: f"coalesce(`_{k}_{out}`, 0D)"
+            + (f" + coalesce({carry} * `_c_{k}_{out}`, 0D)" if carry else "")
+            for k in terms
         }
-        df = df.withColumns({**carry, **slow})
-        fin = {}
-        for o, (s, lead, rate, e) in work.items():
-            y = f"(`_p_{o}` + coalesce(exp(({e} + 1) * -{rate!r}D) * `_q_{o}`, 0D))"
-            fin[o] = F.expr(_finish(y, s, lead))
-        df = df.withColumns(fin).drop(*[f"_p_{o}" for o in fast], *[f"_q_{o}" for o in fast])
-    else:
-        df = df.withColumns(slow)
-    return df.drop(*seeds) if seeds else df
-
-
-def _finish(y: str, s: Smooth, lead: int) -> str:
-    if s.adjusted:
-        d = 1.0 - s.alpha
-        y = f"({y}) / ((1D - power({d!r}D, `_rn` - {lead})) / {s.alpha!r}D)"
-    return f"CASE WHEN `_rn` > {lead} THEN {y} END"
+        level[f"_v_{out}"] = F.expr(f"first_value({x}, true) {so_far}")
+        level[f"_w_{out}"] = F.expr(f"min(CASE WHEN {x} IS NOT NULL THEN `_rn` END) {so_far}")
+        temporary += [f"_n_{out}", f"_d_{out}", f"_v_{out}", f"_w_{out}"]
+        if carry:
+            temporary += [f"_c_n_{out}", f"_c_d_{out}"]
+        if s.adjusted:
+            y = f"({sums['n']}) / nullif({sums['d']}, 0D)"
+        else:
+            rest = f"{1.0 - s.alpha!r}D * exp((`_rn` - `_w_{out}`) * -{rate!r}D)"
+            y = (
+                f"CASE WHEN `_rn` = `_w_{out}` THEN `_v_{out}` ELSE"
+                f" ({s.alpha!r}D * ({sums['n']}) + {rest} * `_v_{out}`)"
+                f" / nullif({s.alpha!r}D * ({sums['d']}) + {rest}, 0D) END"
+            )
+        if direct:
+            final[out] = F.expr(y)
+        else:  # exact where a value is known; other rows keep the last one
+            exact[f"_y_{out}"] = F.expr(f"CASE WHEN {x} IS NOT NULL THEN {y} END")
+            final[out] = F.expr(f"last_value(`_y_{out}`, true) {so_far}")
+            temporary.append(f"_y_{out}")
+    for stage in (level, late, exact):
+        df = df.withColumns(stage) if stage else df
+    drop = [*temporary, *[f"_x_{o}" for o in seeds], *[f"_f_{o}" for o in seeds]]
+    return df.withColumns(final).drop(*drop)
 
 
 def ema_step(outs: Mapping[str, Smooth], name="ema", back: int = 0) -> Step:

@@ -1,5 +1,7 @@
 """Blocked layouts give what one plain window would."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -103,6 +105,42 @@ def test_smoothing_matches_recurrence(walk, block):
         assert o["sma"].values[:8].size == 0 or np.isnan(o["sma"].values[:8].astype(float)).all()
 
 
+@pytest.mark.parametrize("block", [3000, None])
+def test_smoothing_over_nulls(spark, walk, block):
+    pdf, _ = walk
+    rng = np.random.default_rng(8)
+    pdf = pdf.sort_values(["symbol", "ts"]).reset_index(drop=True)
+    hole = (rng.random(len(pdf)) < 0.3) | (pdf.groupby("symbol").cumcount() < 2)
+    hole |= (pdf.groupby("symbol").cumcount() % 600).between(590, 605)
+    pdf["x"] = pdf["x"].where(~hole)
+    spans = {"e2": 2, "e3": 3, "e9": 9, "e50": 50, "e200": 200}
+    outs = {n: Smooth("x", span_alpha(k), gap=600) for n, k in spans.items()}
+    outs["adj"] = Smooth("x", span_alpha(12), adjusted=True, gap=600)
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    out = over_series(df, ema_step(outs), block_rows=block).toPandas().sort_values(["symbol", "ts"])
+    for sym, g in pdf.groupby("symbol"):
+        o = out[out.symbol == sym]
+        for name, s in outs.items():
+            num = den = 0.0
+            want = []
+            for v in g["x"]:
+                num, den = num * (1 - s.alpha), den * (1 - s.alpha)
+                if not np.isnan(v):
+                    w = 1.0 if s.adjusted or not want or np.isnan(want[-1]) else s.alpha
+                    num, den = num + w * v, den + w
+                want.append(num / den if den else np.nan)
+            np.testing.assert_allclose(o[name].astype(float), want, rtol=1e-9, err_msg=name)
+        np.testing.assert_allclose(o["adj"].astype(float), g["x"].ewm(span=12).mean(), rtol=1e-9)
+
+
+def test_one_null_keeps_a_constant(spark):
+    rows = [("A", dt.datetime(2024, 1, 1, 0, i), None if i in (0, 1, 5) else 10.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, x double")
+    out = over_series(df, ema_step({"e": Smooth("x", span_alpha(5)), "w": Smooth("x", 1.0)}))
+    assert [r.e and round(r.e, 9) for r in out.orderBy("ts").collect()] == [None, None] + [10.0] * 7
+    assert [r.w for r in out.orderBy("ts").collect()] == [None, None] + [10.0] * 7
+
+
 def test_bucket_width_fits_dense_keys(walk):
     pdf, df = walk
     width = fit_width(df, ["symbol"], "ts", limit=20)
