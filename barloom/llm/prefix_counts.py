@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from barloom.llm.bpe import PATTERN, to_characters
 from barloom.llm.common import in_slices, per_worker, small_batches, text_of
 
-REMEMBERED = 200_000
+#: Pieces, pairs of tokens and prefixes that a worker remembers; beyond that it starts anew.
+REMEMBERED = 500_000
+PREFIXES = 800_000
 #: Pieces up to this many bytes share prefixes with others.
 SHARED = 48
 #: Contractions whose middle prefix the split pattern cuts in two (fixed values).
@@ -63,7 +65,7 @@ class Counter:
         words = sorted((a["content"] for a in added), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, words))) if words else None
         self.fits: dict[int, bool] = {}
-        self.prefixes: dict[str, tuple[int, int]] = {"": (0, -1)}
+        self.prefixes: dict[str, tuple[int, int]] = {}
         self.known: dict[str, bytes] = {}
 
     def pair(self, a: int, b: int) -> bool:
@@ -75,8 +77,8 @@ class Counter:
         key = (a, b)
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 4 * REMEMBERED:
-                self.fits = {}
+            if len(self.fits) > REMEMBERED:
+                self.fits.clear()
             found = self.fits[key] = self._stays(a, b)
         return found
 
@@ -97,41 +99,35 @@ class Counter:
             else:
                 uses_b, b = right, parts[b][0]
 
-    def last(self, text: str, end: int, at) -> tuple[int, int]:
-        """Count and last token of ``text[:end]``; ``at(k)`` has those of the shorter prefixes."""
-        vocab = self.vocab.get
-        for size in range(min(end, self.reach.get(text[max(end - 2, 0) : end], 1)), 0, -1):
-            token = vocab(text[end - size : end])
-            if token is not None:
-                if size == end:
-                    return 1, token
-                count, before = at(end - size)
-                if self.pair(before, token):
-                    return count + 1, token
-        raise ValueError("the vocabulary lacks a byte")
-
     def byte_counts(self, text: str) -> list[int]:
         """Counts after each byte of a piece, given in characters that stand for bytes."""
-        if len(text) > SHARED:
-            row = [(0, -1)]
-            for end in range(1, len(text) + 1):
-                row.append(self.last(text, end, row.__getitem__))
-            return [c for c, _ in row[1:]]
-        shared = self.prefixes
-        if len(shared) > 2 * REMEMBERED:
-            shared.clear()
-            shared[""] = (0, -1)
-
-        def at(end: int) -> tuple[int, int]:
-            return shared[text[:end]]
-
-        out = []
+        share = len(text) <= SHARED
+        if len(self.prefixes) > PREFIXES:
+            self.prefixes = {}
+        prefixes = self.prefixes
+        vocab, reach, fits = self.vocab.get, self.reach.get, self.fits.get
+        row = [(0, -1)]
         for end in range(1, len(text) + 1):
-            found = shared.get(text[:end])
+            found = prefixes.get(text[:end]) if share else None
             if found is None:
-                found = shared[text[:end]] = self.last(text, end, at)
-            out.append(found[0])
-        return out
+                for size in range(min(end, reach(text[max(end - 2, 0) : end], 1)), 0, -1):
+                    token = vocab(text[end - size : end])
+                    if token is None:
+                        continue
+                    if size == end:
+                        found = (1, token)
+                        break
+                    count, before = row[end - size]
+                    fit = fits((before, token))
+                    if self.pair(before, token) if fit is None else fit:
+                        found = (count + 1, token)
+                        break
+                if found is None:
+                    raise ValueError("the vocabulary lacks a byte")
+                if share:
+                    prefixes[text[:end]] = found
+            row.append(found)
+        return [c for c, _ in row[1:]]
 
     def counts(self, piece: str) -> list[int]:
         """Counts after each character of a piece."""
@@ -144,24 +140,21 @@ class Counter:
             by_byte[1] = by_byte[0] + self.counts(piece[1])[0]
         return by_byte
 
-    def steps(self, piece: str) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
+    def steps(self, pieces: list[str]) -> list[bytes]:
+        """Changes of the count along each piece, packed."""
+        new = set(pieces).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {}
+            new = set(pieces)
+        for piece in new:
             c = self.counts(piece)
-            found = pack("<%dh" % len(c), *map(sub, c, [0, *c]))
-            if len(self.known) > REMEMBERED:
-                self.known = {}
-            self.known[piece] = found
-        return found
+            self.known[piece] = pack("<%dh" % len(c), *map(sub, c, [0, *c]))
+        return list(map(self.known.__getitem__, pieces))
 
     def plain(self, text: str) -> bytes:
         """Steps of a text without special strings."""
         pieces = self.split.findall(text)
-        known = self.known
-        try:
-            parts = [known[p] for p in pieces]
-        except KeyError:
-            parts = [self.steps(p) for p in pieces]
+        parts = self.steps(pieces)
         if not self.blank.search(text):
             return b"".join(parts)
         # While a run of white space is the end of the prefix it is one piece; the next character
