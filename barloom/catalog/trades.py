@@ -133,6 +133,16 @@ backtest_query(
 )
 
 
+backtest_query(
+    "t1_long_holding",
+    lambda: tr.atr_rule(3.0, target_atr=4.0, max_hold=40, eod_minute=None),
+    stop="close - atr * 3.0",
+    target="close + atr * 4.0",
+    hold=40,
+    eod=None,
+)
+
+
 @query(
     "t1_candidate_exits",
     COLS,
@@ -198,7 +208,6 @@ def t9(spark, sf):
         tr.parameter_grid(spark, **GRID),
         rule,
         entry,
-        horizon=15,
         candidate=F.col("signal") == 1,
     )
 
@@ -207,6 +216,7 @@ SCENARIOS = {
     "base": {"stop_atr": 1.0, "target_atr": 1.5, "max_hold": 20},
     "wide": {"stop_atr": 2.0, "target_atr": 3.0, "max_hold": 20},
     "quick": {"stop_atr": 0.5, "target_atr": 1.0, "max_hold": 5},
+    "patient": {"stop_atr": 3.0, "target_atr": 4.0, "max_hold": 25},
 }
 
 
@@ -215,19 +225,20 @@ SCENARIOS = {
     "scenario " + METRICS,
     " UNION ALL ".join(
         f"SELECT '{n}' AS scenario, * FROM ("
-        + trade_ctes(f"close - atr * {p['stop_atr']}", f"close + atr * {p['target_atr']}", hold=p["max_hold"])
+        + trade_ctes(
+            f"close - atr * {p['stop_atr']}", f"close + atr * {p['target_atr']}", hold=p["max_hold"], eod=None
+        )
         + ONE_CONFIG
         + " SELECT * FROM one)"
         for n, p in SCENARIOS.items()
     ),
 )
 def t10(spark, sf):
-    rule = tr.atr_rule(F.col("stop_atr"), target_atr=F.col("target_atr"), max_hold=F.col("max_hold"))
+    rule = tr.atr_rule(F.col("stop_atr"), target_atr=F.col("target_atr"), max_hold=F.col("max_hold"), eod_minute=None)
     return tr.sweep(
         signal_bars(spark, sf),
         tr.named_grid(spark, SCENARIOS),
         rule,
         F.col("signal") == 1,
-        horizon=20,
         candidate=F.col("signal") == 1,
     )

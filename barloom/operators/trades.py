@@ -370,19 +370,32 @@ def _block_states(slim, keys, block_rows: int, reach: int) -> DataFrame:
     )
 
 
+def reach(rule: ExitRule, rows: DataFrame, horizon: int | None) -> int:
+    """Bars that exits may look ahead: the rule's longest holding time over ``rows`` (the grid or
+    the bars), read once where it is a Column. A shorter ``horizon`` would cut trades and raises."""
+    longest = rule.max_hold
+    if isinstance(longest, Column):
+        longest = int(rows.agg(F.max(longest)).first()[0] or 1)
+    if horizon is not None and horizon < longest:
+        raise ValueError(f"horizon {horizon} is shorter than max_hold {longest}")
+    return max(1, longest if horizon is None else horizon)
+
+
 def backtest(
     bars: DataFrame,
     rule: ExitRule,
     *,
     signal="signal",
-    horizon: int = 20,
+    horizon: int | None = None,
     keys: Sequence[str] = ("symbol",),
     ts="ts",
     atr: str | None = "atr",
     keep: Sequence[str] = (),
     block_rows: int | None = None,
 ) -> DataFrame:
-    """Accepted trades of one configuration. ``horizon`` must reach ``max_hold``."""
+    """Accepted trades of one configuration. The path ahead is as long as the rule can hold, so
+    ``end_of_data`` says that the series ended."""
+    horizon = reach(rule, bars, horizon)
     laid = over_series(bars, entry_path(horizon, atr, ts), keys=keys, order=ts, block_rows=block_rows)
     trades = resolve_exits(laid.filter(F.col(signal) == 1), rule, keys=keys, ts=ts, keep=keep)
     return select_trades(trades, keys=keys, block_rows=block_rows or BLOCK)
@@ -404,7 +417,7 @@ def named_grid(spark: SparkSession, rows: Mapping[str, Mapping]) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame(data))
 
 
-# A grid is broadcast only up to this many rows.
+# Grids are made on the driver and broadcast; larger ones are refused.
 GRID_LIMIT = 100_000
 
 
@@ -414,7 +427,7 @@ def sweep_trades(
     rule: ExitRule,
     entry: Column,
     *,
-    horizon: int,
+    horizon: int | None = None,
     keys: Sequence[str] = ("symbol",),
     ts="ts",
     atr: str | None = "atr",
@@ -426,11 +439,13 @@ def sweep_trades(
     passing it meet the grid, where ``entry`` decides per configuration. ``rule`` and ``entry``
     may use grid columns.
     """
+    horizon = reach(rule, grid, horizon)
     laid = over_series(bars, entry_path(horizon, atr, ts), keys=keys, order=ts)
     if candidate is not None:
         laid = laid.filter(candidate)
-    small = grid.limit(GRID_LIMIT + 1).count() <= GRID_LIMIT
-    both = laid.crossJoin(F.broadcast(grid) if small else grid).filter(entry)
+    if grid.limit(GRID_LIMIT + 1).count() > GRID_LIMIT:
+        raise ValueError(f"a grid has at most {GRID_LIMIT} rows: sweep it in parts")
+    both = laid.crossJoin(F.broadcast(grid)).filter(entry)
     trades = resolve_exits(both, rule, keys=keys, ts=ts, keep=["config_id"])
     return select_trades(trades, keys=["config_id", *keys])
 

@@ -2,7 +2,8 @@
 
 Where a count shows that every key has at most ``STATE_ROWS`` rows, Spark's own ``percentile``
 does it in one pass. Beyond that a bounded sketch brackets each quantile, rows below the bracket
-are only counted, and the few values inside it are pre-aggregated and ranked in buckets.
+are only counted, and the few values inside it are pre-aggregated and ranked in buckets. Both ways
+leave nulls and NaN out, and a key without any value keeps its row, with null quantiles.
 """
 
 from __future__ import annotations
@@ -31,17 +32,18 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key with a column ``q_<column>_<i>`` per requested probability."""
     keys = list(keys)
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in wanted}
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     if (sizes.agg(F.max("_m")).first()[0] or 0) <= state_rows:
         direct = df.groupBy(*keys).agg(
-            *[F.percentile(F.col(c).cast("double"), list(ps)).alias(f"_q_{c}") for c, ps in wanted.items()]
+            *[F.percentile(value[c], list(ps)).alias(f"_q_{c}") for c, ps in wanted.items()]
         )
         return direct.select(
             *keys,
             *[F.col(f"_q_{c}")[i].alias(f"q_{c}_{i}") for c, ps in wanted.items() for i in range(len(ps))],
         )
     pairs = [
-        F.struct(F.lit(c).alias("_n"), F.col(c).cast("double").alias("_v")) for c in wanted
+        F.struct(F.lit(c).alias("_n"), value[c].alias("_v")) for c in wanted
     ]
     long = df.select(*keys, F.explode(F.array(*pairs)).alias("_p")).select(*keys, "_p._n", "_p._v")
     long = long.filter(F.col("_v").isNotNull())
@@ -103,13 +105,13 @@ def exact_quantiles(
         F.min(F.when(F.col("_cum") > k + 1, F.col("_v"))).alias("_b"),
         F.max(pos - k).alias("_frac"),
     )
-    value = F.col("_a") + F.col("_frac") * (F.coalesce(F.col("_b"), F.col("_a")) - F.col("_a"))
+    found = F.col("_a") + F.col("_frac") * (F.coalesce(F.col("_b"), F.col("_a")) - F.col("_a"))
     cols = [
-        F.max(F.when((F.col("_n") == c) & (F.col("_q") == p), value)).alias(f"q_{c}_{i}")
+        F.max(F.when((F.col("_n") == c) & (F.col("_q") == p), found)).alias(f"q_{c}_{i}")
         for c, ps in wanted.items()
         for i, p in enumerate(ps)
     ]
-    return picked.groupBy(*keys).agg(*cols)
+    return null_safe_join(sizes.select(*keys), picked.groupBy(*keys).agg(*cols), keys, "left")
 
 
 def per_key(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -102,3 +102,15 @@ def test_small_group_quantile_edges(spark):
     for state in (0, 100):
         q = qt.exact_quantiles(df, {"close": (0.0, 0.25, 0.3, 1.0)}, state_rows=state).first()
         assert [q.q_close_0, q.q_close_1, q.q_close_2, q.q_close_3] == pytest.approx([1, 2, 2.2, 5])
+
+
+def test_quantiles_do_not_depend_on_size(spark):
+    nan = float("nan")
+    rows = [("none", None), ("none", None), ("nan", nan), ("mix", 1.0), ("mix", nan), ("mix", None), ("mix", 3.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "symbol string, close double")
+    got = [
+        sorted(map(tuple, qt.exact_quantiles(df, {"close": (0.25, 0.5)}, state_rows=k).collect()), key=str)
+        for k in (1, 1_000_000)
+    ]
+    want = [("mix", 1.5, 2.0), ("nan", None, None), ("none", None, None), (None, 2.0, 2.0)]
+    assert got[0] == got[1] == sorted(want, key=str)

@@ -85,6 +85,10 @@ RULES = {
         dict(stop_atr=1.5, target_atr=2.0, trail=0.75, on_high=True),
         lambda: tr.ratchet_rule(1.5, 2.0, 0.75),
     ),
+    "long_hold": (
+        dict(stop_atr=9.0, target_atr=9.0, hold=40, eod=None),
+        lambda: tr.atr_rule(9.0, target_atr=9.0, max_hold=40, eod_minute=None),
+    ),
     "no_eod": (
         dict(stop_atr=4.0, target_atr=4.0, hold=20, eod=None),
         lambda: tr.atr_rule(4.0, target_atr=4.0, eod_minute=None),
@@ -143,3 +147,14 @@ def test_last_bar_candidate_and_open_trade(spark):
     only = df.withColumn("signal", (F.minute("ts") == 3).cast("int"))
     (r,) = tr.backtest(only, tr.atr_rule(1.0, target_atr=1.0)).collect()
     assert (r.exit_reason, r.candles_held, r.exit_time) == ("end_of_data", 1, r.entry_time)
+
+
+def test_horizon_shorter_than_holding_raises(spark):
+    df = spark.createDataFrame(make_bars(seed=1))
+    with pytest.raises(ValueError, match="shorter"):
+        tr.backtest(df, tr.atr_rule(1.0, target_atr=1.0, max_hold=40), horizon=20)
+    rule = tr.atr_rule(9.0, target_atr=9.0, max_hold=F.col("hold"), eod_minute=None)
+    grid = tr.parameter_grid(spark, hold=[5, 40])
+    rows = tr.sweep_trades(df, grid, rule, F.col("signal") == 1).toPandas()
+    longest = rows[rows.exit_reason == "max_holding"].groupby("config_id").candles_held.max()
+    assert longest.to_dict() == {0: 5, 1: 40}
