@@ -143,6 +143,32 @@ def a7(spark, sf):
     return mt.compare_runs({"base": t, "quick": t.filter("candles_held <= 3")})
 
 
+THREE = {"base": "true", "quick": "candles_held <= 3", "cheap": "entry_price < 20"}
+CHANGES = ", ".join(
+    f"max(v) FILTER (run = '{n}') AS {n}" for n in THREE
+) + ", " + ", ".join(
+    f"max(v) FILTER (run = '{n}') - max(v) FILTER (run = 'base') AS {n}_delta" for n in list(THREE)[1:]
+)
+
+
+@query(
+    "a7_compare_three_runs",
+    "metric base:d4 quick:d4 cheap:d4 quick_delta:d4 cheap_delta:d4",
+    TRADES
+    + ", m AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS run, {AGG} FROM trades WHERE {c}" for n, c in THREE.items())
+    + f"""),
+l AS (UNPIVOT (SELECT run, total_trades::DOUBLE AS total_trades, win_rate::DOUBLE AS win_rate,
+    total_pnl::DOUBLE AS total_pnl, avg_pnl::DOUBLE AS avg_pnl, profit_factor::DOUBLE AS profit_factor,
+    avg_holding::DOUBLE AS avg_holding FROM m)
+  ON total_trades, win_rate, total_pnl, avg_pnl, profit_factor, avg_holding INTO NAME metric VALUE v)
+SELECT metric, {CHANGES} FROM l GROUP BY 1""",
+)
+def a7_three(spark, sf):
+    t = bar_trades(spark, sf)
+    return mt.compare_runs({n: t.filter(c) for n, c in THREE.items()})
+
+
 @query(
     "a8_signal_quality",
     "signal n:i win_rate:d",

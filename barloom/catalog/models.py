@@ -148,38 +148,80 @@ def m6c(spark, sf):
     return m.select("symbol", "ts", "label", vector_to_array("features").alias("features"))
 
 
-def fitted(spark, sf, kind="forest", **kw):
-    d = feature_table(spark, sf).na.drop()
-    train = md.balanced(d.filter(F.col("ts") < F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")))
+# Position and split of each bar; its features are known from the sixth bar of a symbol on.
+SPLIT_SQL = (
+    BARS
+    + f""", z AS (SELECT symbol, row_number() OVER w AS rn, count(*) OVER (PARTITION BY symbol) AS n,
+  coalesce(lead(close) OVER w > close, false) AS up FROM bars {W}),
+s AS (SELECT *, CASE WHEN rn - 1 < floor(n * (1 - 0.2::DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM z)
+"""
+)
+SCORED_SQL = SPLIT_SQL + """SELECT symbol, split, count(*) AS rows, count(*) FILTER (up) AS positives,
+  count(*) FILTER (rn >= 6) AS scored, true AS in_range FROM s GROUP BY 1, 2"""
+SCORED = "symbol split rows:i positives:i scored:i in_range"
+
+
+def split_table(spark, sf):
+    return sp.chronological_split(feature_table(spark, sf))
+
+
+def fitted(table, kind="forest", **kw):
+    """Trained on the first four fifths of each symbol's bars."""
+    train = md.balanced(table.filter("split = 'train'").na.drop())
     return md.fit(train, FEATURES, kind, weight="weight", **kw)
 
 
-@query("m7_forest_predictions", None, None)
-def m7(spark, sf):
-    model = fitted(spark, sf, "forest", numTrees=10, maxDepth=4)
-    return md.score(model, feature_table(spark, sf).na.drop()).select(
-        "symbol", "ts", "label", "probability", "prediction"
+def scored(table, model):
+    """Rows, scored rows and range of the scores per symbol and part."""
+    p = F.col("probability")
+    return md.score(model, table).groupBy("symbol", "split").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("label").alias("positives"),
+        F.count(p).alias("scored"),
+        F.bool_and(p.between(0, 1)).alias("in_range"),
     )
 
 
-@query("f11_boosted_tree_scores", None, None)
+@query("m7_forest_predictions", SCORED, SCORED_SQL)
+def m7(spark, sf):
+    d = split_table(spark, sf)
+    return scored(d, fitted(d, "forest", numTrees=100, maxDepth=4))
+
+
+@query("f11_boosted_tree_scores", SCORED, SCORED_SQL)
 def f11(spark, sf):
-    model = fitted(spark, sf, "gbt", maxIter=5, maxDepth=3)
-    return md.score(model, feature_table(spark, sf).na.drop()).select("symbol", "ts", "probability")
+    d = split_table(spark, sf)
+    return scored(d, fitted(d, "gbt", maxIter=20, maxDepth=3))
 
 
-@query("m8_grid_search", None, None)
+@query(
+    "m8_grid_search",
+    "maxDepth:i numTrees:i folds:i in_range",
+    " UNION ALL ".join(
+        f"SELECT {d} AS \"maxDepth\", {n} AS \"numTrees\", 2 AS folds, true AS in_range" for d in (2, 4) for n in (10, 20)
+    ),
+)
 def m8(spark, sf):
     folds = sp.expanding_folds(feature_table(spark, sf).na.drop(), 2)
-    return md.grid_search(folds, FEATURES, {"maxDepth": [2, 4], "numTrees": [5]}, kind="forest")
+    found = md.grid_search(folds, FEATURES, {"maxDepth": [2, 4], "numTrees": [10, 20]}, kind="forest")
+    return found.withColumn("in_range", F.col("mean_f1").between(0, 1))
 
 
-@query("m9_select_by_importance", None, None)
+@query("m9_select_by_importance", "enough", "SELECT true AS enough")
 def m9(spark, sf):
-    model = fitted(spark, sf, "forest", numTrees=10, maxDepth=4)
-    return md.select_by_importance(md.importance_table(model, FEATURES))
+    """Half of the features or more reach the median."""
+    model = fitted(split_table(spark, sf), "forest", numTrees=100, maxDepth=4)
+    kept = md.select_by_importance(md.importance_table(model, FEATURES))
+    return kept.agg((F.count(F.lit(1)) * 2 >= len(FEATURES)).alias("enough"))
 
 
-@query("m10_importance_table", None, None)
+@query(
+    "m10_importance_table",
+    "feature in_range total:d",
+    " UNION ALL ".join(f"SELECT '{f}' AS feature, true AS in_range, 1.0 AS total" for f in FEATURES),
+)
 def m10(spark, sf):
-    return md.importance_table(fitted(spark, sf, "forest", numTrees=10, maxDepth=4), FEATURES)
+    model = fitted(split_table(spark, sf), "forest", numTrees=100, maxDepth=4)
+    table = md.importance_table(model, FEATURES)
+    total = table.agg(F.sum("importance").alias("total"))
+    return table.crossJoin(F.broadcast(total)).withColumn("in_range", F.col("importance").between(0, 1))

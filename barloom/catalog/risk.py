@@ -189,7 +189,7 @@ def x6(spark, sf):
         F.when(long, "long").otherwise("short").alias("position_type"),
         F.when(long, 20.0).otherwise(200.0).alias("stop_price"),
     )
-    return rk.trailing_stops(px)
+    return rk.trailing_stops(px, pct=0.01)
 
 
 EQUITY = BARS + """, eq AS (SELECT symbol AS portfolio, ts, 10000 + close * 50 AS value FROM bars),
@@ -268,6 +268,17 @@ def x10(spark, sf):
     return rk.recent_violations(violations(spark, sf), F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"))
 
 
+@query(
+    "x10_recent_violations_part_hours",
+    "violation_type ts value:d severity",
+    VIOL + "SELECT * FROM v WHERE ts >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 90 MINUTE",
+)
+def x10_part(spark, sf):
+    return rk.recent_violations(
+        violations(spark, sf), F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"), hours=1.5
+    )
+
+
 @query(
     "x10_purge_violations",
     "violation_type critical:i warnings:i",

@@ -223,18 +223,22 @@ e AS (SELECT symbol, rows, (high_violations > 0)::INT + (low_violations > 0)::IN
 
 @query(
     "v12_quality_report",
-    "symbol rows:i avg_missing_pct:d n_errors:i outliers:i outlier_pct:d quality_score:d is_valid",
+    "symbol rows:i avg_missing_pct:d n_errors:i n_warnings:i outliers:i outlier_pct:d quality_score:d is_valid",
     CONSISTENCY_SQL
     + f""", z AS (SELECT symbol, {' OR '.join(
         f'abs({c} - avg({c}) OVER (PARTITION BY symbol)) / stddev_pop({c}) OVER (PARTITION BY symbol) > 3.0'
         for c in ALL)} AS odd FROM broken),
-o AS (SELECT symbol, count(*) FILTER (odd) AS outliers FROM z GROUP BY 1)
-SELECT symbol, rows, 0.0 AS avg_missing_pct, n_errors, outliers, outliers * 100.0 / rows AS outlier_pct,
+o AS (SELECT symbol, count(*) FILTER (odd) AS outliers FROM z GROUP BY 1),
+wc AS (SELECT symbol, {', '.join(f'max(c_{c}) AS m_{c}' for c in PX)} FROM (SELECT symbol, {', '.join(
+    f'count(*) OVER (PARTITION BY symbol, {c}) AS c_{c}' for c in PX)} FROM broken) GROUP BY 1),
+wn AS (SELECT a.symbol, (rows < 1000)::INT + (zero * 100.0 / rows > 5)::INT
+  + {' + '.join(f'(m_{c} * 100.0 / rows > 10)::INT' for c in PX)} AS n_warnings FROM a JOIN wc USING (symbol))
+SELECT symbol, rows, n_warnings, 0.0 AS avg_missing_pct, n_errors, outliers, outliers * 100.0 / rows AS outlier_pct,
   greatest(100 - least(n_errors * 10, 40) - least(outliers * 100.0 / rows, 20), 0) AS quality_score,
-  n_errors = 0 AS is_valid FROM e JOIN o USING (symbol)""",
+  n_errors = 0 AS is_valid FROM e JOIN o USING (symbol) JOIN wn USING (symbol)""",
 )
 def v12(spark, sf):
-    return va.quality_report(broken(spark, sf))
+    return va.quality_report(broken(spark, sf)).withColumn("n_warnings", F.size("warnings"))
 
 
 @query(

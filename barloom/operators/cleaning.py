@@ -19,17 +19,24 @@ GRID_CHUNK = 4096
 
 
 def keep_first(
-    df: DataFrame, *, keys: Sequence[str] = ("symbol",), ts="ts", ingest: str | None = None
+    df: DataFrame,
+    *,
+    keys: Sequence[str] = ("symbol",),
+    ts="ts",
+    ingest: str | Sequence[str] | None = None,
 ) -> DataFrame:
-    """One row per (key, time): the earliest ingested. Aggregates map-side, so a flood of copies
-    of one bar never meets in one task."""
-    if ingest is None:
-        return df.dropDuplicates([*keys, ts])
+    """One row per (key, time): the earliest ingested, that is the least by the ``ingest`` column or
+    columns, which only a table without other columns can do without. Aggregates map-side, so a
+    flood of copies of one bar never meets in one task."""
     rest = [c for c in df.columns if c not in (*keys, ts)]
-    return (
-        df.groupBy(*keys, ts)
-        .agg(*[(F.min(c) if c == ingest else F.min_by(c, ingest)).alias(c) for c in rest])
-        .select(*df.columns)
+    if not rest:
+        return df.distinct()
+    if not ingest:
+        raise ValueError("name the column that tells which of the duplicates came first")
+    by = [ingest] if isinstance(ingest, str) else list(ingest)
+    row = F.struct(*by, *[c for c in rest if c not in by])
+    return df.groupBy(*keys, ts).agg(F.min(row).alias("_first")).select(
+        *[F.col(c) if c in (*keys, ts) else F.col(f"_first.{c}").alias(c) for c in df.columns]
     )
 
 
@@ -330,13 +337,14 @@ def preprocess(
     ts="ts",
     ingest=None,
 ) -> DataFrame:
-    """Fill, deduplicate, close gaps, tame outliers, repair: the whole cleaning chain.
+    """Fill, deduplicate, close gaps, tame outliers, repair: the whole cleaning chain. Without an
+    ``ingest`` column the least of duplicate bars by its values stays.
 
     Each stage reads its input more than once, so stages hand over through the shared folder
     instead of multiplying the plan.
     """
     out = fill_missing(df, fill, keys=keys, ts=ts, ties=[ingest] if ingest else ())
-    out = keep_first(out, keys=keys, ts=ts, ingest=ingest)
+    out = keep_first(out, keys=keys, ts=ts, ingest=ingest or list(OHLCV))
     if ingest:
         out = out.drop(ingest)
     out = durable(fill_time_gaps(durable(out), every_us, limit, keys=keys, ts=ts))

@@ -15,8 +15,9 @@ from barloom.functions.scalars import correlation, div
 from barloom.operators.windows import max_drawdown
 from barloom.plans.ordered import null_safe_join, running
 from barloom.plans.quantiles import exact_quantiles
+from barloom.session import durable
 
-SCORE_BINS = 65_536
+SCORE_BINS = 1024
 
 
 def count_if(cond: Column) -> Column:
@@ -185,17 +186,22 @@ def _score_counts(df, label, score, by):
     return counts, keys
 
 
-def _score_bucket():
-    """Bucket of a probability; values beyond 0 and 1 share the outer buckets."""
-    return F.floor(F.least(F.greatest(F.col("_s"), F.lit(0.0)), F.lit(1.0)) * SCORE_BINS)
+def _bucketed(counts: DataFrame) -> tuple[DataFrame, Column]:
+    """Distinct scores and the bucket of each: borders are quantiles of the distinct scores, so the
+    buckets are even wherever the scores crowd and whatever their range. The counts are written
+    once, as they are read three times; ``SCORE_BINS`` numbers come to the driver."""
+    counts = durable(counts)
+    shares = [i / SCORE_BINS for i in range(1, SCORE_BINS)]
+    borders = counts.agg(F.percentile_approx("_s", shares, 10 * SCORE_BINS)).first()[0] or []
+    edges = F.lit(sorted(set(borders))) if borders else F.array().cast("array<double>")
+    return counts, F.size(F.filter(edges, lambda b: b < F.col("_s"))).cast("long")
 
 
 def roc_auc(df, label="label", score="probability", by: Sequence[str] = ()) -> DataFrame:
     """Rank-sum form: pairs ranked right, ties count half. Null when a class is missing."""
     counts, keys = _score_counts(df, label, score, by)
-    below = running(
-        counts, {"_below": ("sum", F.col("_neg"))}, keys=keys, order="_s", bucket=_score_bucket()
-    )
+    counts, bucket = _bucketed(counts)
+    below = running(counts, {"_below": ("sum", F.col("_neg"))}, keys=keys, order="_s", bucket=bucket)
     won = F.col("_pos") * (F.col("_below") - F.col("_neg") / 2.0)
     agg = below.groupBy(*keys).agg(
         F.sum(won).alias("_won"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n")
@@ -206,12 +212,13 @@ def roc_auc(df, label="label", score="probability", by: Sequence[str] = ()) -> D
 def average_precision(df, label="label", score="probability", by: Sequence[str] = ()) -> DataFrame:
     """Precision at each distinct score, weighted by the recall it adds."""
     counts, keys = _score_counts(df, label, score, by)
+    counts, bucket = _bucketed(counts)
     cum = running(
         counts,
         {"_tp": ("sum", F.col("_pos"), "back"), "_fp": ("sum", F.col("_neg"), "back")},
         keys=keys,
         order="_s",
-        bucket=_score_bucket(),
+        bucket=bucket,
     )
     gain = F.col("_pos") * F.col("_tp") / (F.col("_tp") + F.col("_fp"))
     agg = cum.groupBy(*keys).agg(F.sum(gain).alias("_g"), F.sum("_pos").alias("_p"))

@@ -65,17 +65,24 @@ def classifier(kind="gbt", label="label", weight: str | None = None, seed=42, **
 
 
 def fit(train: DataFrame, columns: Sequence[str], kind="gbt", label="label", weight=None, **params) -> PipelineModel:
-    """Assembler and classifier as one pipeline, so raw tables can be scored."""
-    vec = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip")
-    return Pipeline(stages=[vec, classifier(kind, label, weight, **params)]).fit(train)
+    """Assembler and classifier as one pipeline, so raw tables can be scored. Rows with a missing
+    feature or label are not learnt from."""
+    whole = train.na.drop(subset=[*columns, label])
+    vec = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep")
+    return Pipeline(stages=[vec, classifier(kind, label, weight, **params)]).fit(whole)
 
 
 def score(model, df: DataFrame, out="probability") -> DataFrame:
-    """Probability of the positive class for every row."""
-    raw = df.drop("probability", "prediction", "rawPrediction")
-    scored = model.transform(raw)
-    p = vector_to_array("probability")[1]
-    return scored.withColumn("_p", p).drop("features", "rawPrediction", "probability").withColumnRenamed("_p", out)
+    """Probability of the positive class and prediction for every row; both are null where a feature
+    is missing. A ``weight`` column is not carried on."""
+    raw = df.drop("features", "probability", "prediction", "rawPrediction", "weight")
+    known = F.lit(True)
+    for c in model.stages[0].getInputCols():
+        known &= F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    scored = model.transform(raw.withColumn("_known", known))
+    p = F.when(F.col("_known"), vector_to_array("probability")[1])
+    scored = scored.withColumns({"_p": p, "prediction": F.when(F.col("_known"), F.col("prediction"))})
+    return scored.drop("features", "rawPrediction", "probability", "_known").withColumnRenamed("_p", out)
 
 
 def importance_table(model: PipelineModel, columns: Sequence[str]) -> DataFrame:

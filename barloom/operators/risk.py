@@ -147,7 +147,7 @@ def triggers(price="current_price", kind="position_type", stop="stop_price", pro
 
 
 def trailing_stops(
-    prices: DataFrame, *, keys=("position_id",), ts="ts", price="price", kind="position_type", start="stop_price", pct=0.01, width=None
+    prices: DataFrame, *, keys=("position_id",), ts="ts", price="price", kind="position_type", start="stop_price", pct=0.005, width=None
 ) -> DataFrame:
     """Stop after each price: the initial stop, moved only in the position's favour. The levels
     are running extremes, so no state walks the rows."""
@@ -196,7 +196,10 @@ def risk_metrics(positions, equity, *, by=("portfolio",), ts="ts", value="value"
 
 
 def recent_violations(violations: DataFrame, as_of: Column, hours: float = 24, ts="ts") -> DataFrame:
-    return violations.filter(F.col(ts) >= as_of - F.make_dt_interval(F.lit(0), F.lit(int(hours))))
+    """Violations of the last ``hours``, which may be a fraction."""
+    seconds = F.lit(round(hours * 3600, 6)).cast("decimal(18,6)")
+    zero = F.lit(0)
+    return violations.filter(F.col(ts) >= as_of - F.make_dt_interval(zero, zero, zero, seconds))
 
 
 def purge_violations(violations: DataFrame, as_of: Column, days: int = 7, ts="ts") -> DataFrame:

@@ -197,8 +197,9 @@ def _with_count(before: str, n: str, after: str = "") -> Column:
     return F.concat(F.lit(before), F.col(n).cast("string"), F.lit(after))
 
 
-def consistency(df, *, keys=("symbol",), ts="ts", max_move=MAX_MOVE) -> DataFrame:
-    """``is_valid`` with error texts: price logic, moves, volume, time."""
+def consistency(df, *, keys=("symbol",), ts="ts", max_move=MAX_MOVE, ingest=None) -> DataFrame:
+    """``is_valid`` with error texts: price logic, moves, volume, time; with an ``ingest`` column also
+    whether rows came in the order of time."""
     base = df.groupBy(*keys).agg(*_ohlc_aggs(), *_volume_aggs())
     parts = [
         base,
@@ -206,9 +207,13 @@ def consistency(df, *, keys=("symbol",), ts="ts", max_move=MAX_MOVE) -> DataFram
         duplicate_times(df, keys=keys, ts=ts),
         large_gaps(df, keys=keys, ts=ts),
     ]
+    if ingest:
+        parts.append(chronological_order(df, keys=keys, ts=ts, ingest=ingest))
     out = _joined(parts, keys)
+    disorder = (F.col("out_of_order") > 0) if ingest else F.lit(False)
     # The texts of the findings.
     errors = _messages(
+        (disorder, F.lit("Timestamps are not in chronological order")),
         (
             F.col("high_violations") > 0,
             _with_count("Found ", "high_violations", " rows where high < max(open, close)"),
@@ -252,8 +257,41 @@ def consistency(df, *, keys=("symbol",), ts="ts", max_move=MAX_MOVE) -> DataFram
     return out.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0)
 
 
-def quality_report(df, *, keys=("symbol",), ts="ts", method="zscore", max_move=MAX_MOVE) -> DataFrame:
-    """Quality score: 100 less missing (max 30), errors (max 40) and outlier (max 20) points."""
+def quality_warnings(df, *, keys=("symbol",), least_rows=1000, repeated=10.0, zero_volume=5.0) -> DataFrame:
+    """Warning texts: few rows, one value repeated often in a price column, much zero volume."""
+    base = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), count_if(F.col("volume") == 0).alias("_zero")
+    )
+    often = repeated_share(df, keys=keys).groupBy(*keys).pivot("column", list(PRICES)).agg(
+        F.first("repeated_pct")
+    )
+    often = often.select(*keys, *[F.col(c).alias(f"_rep_{c}") for c in PRICES])
+    out = _joined([base, often], keys)
+    zero = F.col("_zero") / F.col("_rows") * 100
+
+    def percent(before: str, value: Column) -> Column:
+        return F.concat(F.lit(before), F.format_string("%.1f", value), F.lit("%"))
+
+    # The texts of the findings.
+    texts = _messages(
+        (F.col("_rows") < least_rows, _with_count("Limited data points: ", "_rows", " rows")),
+        *[
+            (
+                F.col(f"_rep_{c}") > repeated,
+                percent(f"High proportion of repeated values in {c}: ", F.col(f"_rep_{c}")),
+            )
+            for c in PRICES
+        ],
+        (zero > zero_volume, percent("High proportion of zero volume: ", zero)),
+    )
+    return out.select(*keys, texts.alias("warnings"))
+
+
+def quality_report(
+    df, *, keys=("symbol",), ts="ts", method="zscore", max_move=MAX_MOVE, ingest=None
+) -> DataFrame:
+    """Quality score: 100 less missing (max 30), errors (max 40) and outlier (max 20) points; error
+    and warning texts."""
     cols = [c for c in df.columns if c not in keys]
     share = [count_if(F.col(c).isNull()) / F.count(F.lit(1)) * 100 for c in df.columns]
     missing = df.groupBy(*keys).agg(
@@ -262,7 +300,8 @@ def quality_report(df, *, keys=("symbol",), ts="ts", method="zscore", max_move=M
     odd = outlier_rows(df, method=method, keys=keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("outliers")
     )
-    out = _joined([consistency(df, keys=keys, ts=ts, max_move=max_move), missing, odd], keys)
+    checks = consistency(df, keys=keys, ts=ts, max_move=max_move, ingest=ingest)
+    out = _joined([checks, missing, odd, quality_warnings(df, keys=keys)], keys)
     out = out.withColumn("outliers", F.coalesce("outliers", F.lit(0)))
     n_err = F.size("errors")
     odd_pct = F.col("outliers") / F.col("rows") * 100
@@ -282,6 +321,7 @@ def quality_report(df, *, keys=("symbol",), ts="ts", method="zscore", max_move=M
         F.greatest(score, F.lit(0.0)).alias("quality_score"),
         "is_valid",
         "errors",
+        "warnings",
     )
 
 

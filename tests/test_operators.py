@@ -2,10 +2,14 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.operators import cleaning as cl
 from barloom.operators import metrics as mt
+from barloom.operators import models as md
 from barloom.operators import risk as rk
 from barloom.operators import signals as sg
 from barloom.operators import splits as sp
@@ -106,3 +110,45 @@ def test_null_keys_keep_their_rows(spark):
 
     got = with_position(df).orderBy("symbol", "ts").collect()
     assert [r._rn for r in got] == [1, 2, 3, 4, 5, 1]
+
+
+def test_auc_of_crowded_and_wide_scores(spark):
+    rng = np.random.default_rng(4)
+    for scores in (10.0 ** -rng.uniform(4, 9, 3000), rng.normal(50, 30, 3000).round(1), np.full(3000, 7.0)):
+        label = (rng.random(3000) < 0.3).astype(int)
+        df = spark.createDataFrame(pd.DataFrame({"label": label, "probability": scores}))
+        pos, neg = scores[label == 1], scores[label == 0]
+        want = ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / (len(pos) * len(neg))
+        assert mt.roc_auc(df).first().roc_auc == pytest.approx(want)
+        order = np.unique(scores)[::-1]
+        tp = np.array([(pos >= s).sum() for s in order])
+        fp = np.array([(neg >= s).sum() for s in order])
+        gain = np.diff(tp, prepend=0) / len(pos) * tp / (tp + fp)
+        assert mt.average_precision(df).first().average_precision == pytest.approx(gain.sum())
+
+
+def test_every_row_is_scored(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"a": rng.normal(size=300), "b": rng.normal(size=300)})
+    pdf["label"] = (pdf.a + pdf.b > 0).astype(int)
+    df = spark.createDataFrame(pdf)
+    model = md.fit(md.balanced(df), ["a", "b"], "forest", weight="weight", numTrees=10, maxDepth=3)
+    holes = df.withColumns({"a": F.when(F.col("a") < 1, F.col("a")), "b": F.when(F.col("b") > -1, F.col("b")).otherwise(float("nan"))})
+    out = md.score(model, holes.withColumn("weight", F.lit(1.0))).toPandas()
+    whole = (pdf.a < 1) & (pdf.b > -1)
+    assert len(out) == 300 and out.probability.notna().sum() == whole.sum() == out.prediction.notna().sum()
+    assert "weight" not in out
+
+
+def test_violations_of_half_an_hour(spark):
+    now = dt.datetime(2024, 1, 1, 12, 0)
+    df = spark.createDataFrame([(m, now - dt.timedelta(minutes=m)) for m in (10, 29, 31, 75, 95)], "m int, ts timestamp")
+    got = lambda h: sorted(r.m for r in rk.recent_violations(df, F.lit(now), h).collect())
+    assert got(0.5) == [10, 29] and got(1.5) == [10, 29, 31, 75]
+
+
+def test_first_of_duplicates_needs_an_order(spark):
+    df = spark.createDataFrame([("A", 1, 2.0, 5), ("A", 1, 1.0, 4), ("B", 1, None, 1)], "symbol string, ts int, close double, n int")
+    with pytest.raises(ValueError, match="first"):
+        cl.keep_first(df)
+    assert sorted((r.symbol, r.close) for r in cl.keep_first(df, ingest="n").collect()) == [("A", 1.0), ("B", None)]

@@ -7,7 +7,7 @@ from tests.oracle_check import connect
 from tests.test_blocks import NAMES, assert_same
 
 OTHERS = [n for n, (_, sql) in load().items() if sql is not None and n not in NAMES]
-ROWS_ONLY = ["c16_preprocess", "f11_boosted_tree_scores", "m8_grid_search", "z3_late_rows"]
+ROWS_ONLY = [n for n, (_, sql) in load().items() if sql is None]
 
 
 @pytest.fixture(scope="module")
