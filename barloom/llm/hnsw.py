@@ -35,7 +35,8 @@ STEP = 16
 SHARDS = 8
 SHARD_ROWS = 65_536
 CHUNK_ROWS = 8_192
-BEAM = 96
+#: First beam; audits widen it.
+BEAM = 32
 BUILD_BEAM = 48
 AUDIT = 512
 RECALL = 0.99
@@ -52,9 +53,12 @@ def layer_sizes(n: int) -> list[int]:
 
 def beam_search(x, links, q, start, ef: int, within: float = 2.0, expand: int = 4):
     """For each row of ``q``: ids (-1: none) and similarities of the best found, best first. Kept are
-    ``ef`` of them, and everything of similarity ``within`` or more."""
+    ``ef`` of them, and everything of similarity ``within`` or more. Rows that are done leave the
+    batch, so one in a dense cluster does not widen the work of the others."""
+    n = len(links)
     rows = np.arange(len(q))[:, None]
-    seen = np.zeros((len(q), len(links)), dtype=bool)
+    seen = np.zeros((len(q), n), dtype=bool)
+    last = np.zeros(len(q) * n, dtype=np.int32)
     ids = np.sort(start, axis=1)
     ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
     sims = np.where(ids >= 0, np.einsum("qd,qed->qe", q, x[ids]), -np.inf).astype(np.float32)
@@ -62,35 +66,59 @@ def beam_search(x, links, q, start, ef: int, within: float = 2.0, expand: int =
     order = np.argsort(-sims, axis=1, kind="stable")
     ids, sims = ids[rows, order], sims[rows, order]
     done = ids < 0
+    live = np.arange(len(q))  # which query each row of the state belongs to
+    ready: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while True:
+        over = done.all(axis=1)
+        if over.all() or over.mean() > 0.3:
+            ready.append((live[over], ids[over], sims[over]))
+            live, ids, sims, done = live[~over], ids[~over], sims[~over], done[~over]
+            if not len(live):
+                return _together(ready, len(q))
+            rows = np.arange(len(live))[:, None]
         pick = np.argsort(done, axis=1, kind="stable")[:, :expand]
         open_ = ~done[rows, pick]
-        if not open_.any():
-            return ids, sims
         done[rows, pick] = True
         near = links[ids[rows, pick]]
         ok = open_[:, :, None] & (near >= 0)
         who = np.broadcast_to(rows[:, :, None], near.shape)[ok]
         got = near[ok]
-        new = ~seen[who, got]
-        key = np.unique(who[new].astype(np.int64) * len(links) + got[new])
-        who, got = key // len(links), key % len(links)
-        seen[who, got] = True
-        if not len(key):
+        new = ~seen[live[who], got]
+        who, got = who[new], got[new]
+        if not len(who):
             continue
-        s = np.einsum("ij,ij->i", q[who], x[got])
-        edge = np.searchsorted(who, np.arange(len(q) + 1))
+        # Of a node met twice in one step the last mention stays.
+        spot = live[who] * n + got
+        turn = np.arange(len(spot), dtype=np.int32)
+        last[spot] = turn
+        once = last[spot] == turn
+        who, got = who[once], got[once]
+        seen[live[who], got] = True
+        s = np.einsum("ij,ij->i", q[live[who]], x[got])
+        edge = np.searchsorted(who, np.arange(len(live) + 1))
         most = int(np.diff(edge).max())
-        more_ids = np.full((len(q), most), -1, dtype=ids.dtype)
-        more_sims = np.full((len(q), most), -np.inf, dtype=np.float32)
-        at = np.arange(len(key)) - edge[who]
+        more_ids = np.full((len(live), most), -1, dtype=ids.dtype)
+        more_sims = np.full((len(live), most), -np.inf, dtype=np.float32)
+        at = np.arange(len(who)) - edge[who]
         more_ids[who, at], more_sims[who, at] = got, s
         ids = np.concatenate((ids, more_ids), axis=1)
         sims = np.concatenate((sims, more_sims), axis=1)
         done = np.concatenate((done, more_ids < 0), axis=1)
-        keep = max(ef, int((sims >= within).sum(axis=1).max()) + ef // 2)
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
+        keep = np.maximum(ef, (sims >= within).sum(axis=1) + ef // 2)  # of each row
+        order = np.argsort(-sims, axis=1, kind="stable")[:, : keep.max()]
         ids, sims, done = ids[rows, order], sims[rows, order], done[rows, order]
+        beyond = np.arange(ids.shape[1]) >= keep[:, None]
+        ids[beyond], sims[beyond], done[beyond] = -1, -np.inf, True
+
+
+def _together(parts, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Finished rows in the order of the queries, padded to one width."""
+    width = max(p[1].shape[1] for p in parts)
+    ids = np.full((n, width), -1, dtype=parts[0][1].dtype)
+    sims = np.full((n, width), -np.inf, dtype=np.float32)
+    for at, i, s in parts:
+        ids[at, : i.shape[1]], sims[at, : s.shape[1]] = i, s
+    return ids, sims
 
 
 def choose(x, own, cand, sims, most: int):
