@@ -15,8 +15,10 @@ import base64
 import codecs
 import hashlib
 import json
+import os
 from functools import lru_cache
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,11 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Matches taken from a text at once, so that a very long text is not held as one list.
-CHUNK = 200_000
+CHUNK = 50_000
+#: Pieces encoded in one call; the library's results are some hundred bytes a piece.
+CALL = 4096
 
 
 @lru_cache(maxsize=1)
@@ -107,25 +111,29 @@ class Encoder:
     """Encodes texts by one model; lives in a Python worker."""
 
     def __init__(self, model: str, pattern: str):
+        # One thread: Spark spreads the work, and every thread of the library keeps memory of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_str(model)
         self.split = regex.compile(pattern)
-        vocab = json.loads(model)["model"]["vocab"]
+        vocab = self.library.get_vocab()
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             self.width[i] = len(token)
         self.known: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode pieces not seen yet, all in one call of the library."""
+        """Encode pieces not seen yet, some thousand in one call of the library."""
         new = list(pieces.difference(self.known))
         if not new:
             return
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
             new = list(pieces)
-        found = self.library.encode_batch(new, add_special_tokens=False)
-        for piece, e in zip(new, found):
-            self.known[piece] = np.array(e.ids, dtype="<u4").tobytes()
+        for i in range(0, len(new), CALL):
+            part = new[i : i + CALL]
+            for piece, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                ids = e.ids
+                self.known[piece] = pack("<%dI" % len(ids), *ids)
 
     def pack(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -224,11 +232,11 @@ def _ddl(fields: str) -> str:
 def decode(df: DataFrame, path: str, ids: str = "tokens.ids", into: str = "decoded") -> DataFrame:
     """Add the bytes that packed ids stand for. Null ids give empty bytes."""
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(library_model(path).encode())
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(path))
     ident = hashlib.sha256(shared.value).hexdigest()
 
     def run(packed: pa.Array) -> pa.Array:
-        words = per_worker(("decoder", ident), lambda: token_bytes(shared.value.decode()))
+        words = per_worker(("decoder", ident), lambda: token_bytes(shared.value))
         out = [
             b"".join(map(words.__getitem__, np.frombuffer(p, dtype="<u4").tolist()))
             for p in packed.to_pylist()
@@ -239,8 +247,14 @@ def decode(df: DataFrame, path: str, ids: str = "tokens.ids", into: str = "decod
     return df.withColumn(into, F.arrow_udf(in_slices(run), "binary")(packed))
 
 
-def token_bytes(model: str) -> dict[int, bytes]:
-    return {i: to_bytes(t) for t, i in json.loads(model)["model"]["vocab"].items()}
+@lru_cache(maxsize=4)
+def vocabulary(path: str) -> bytes:
+    """The tokens of a rank file in characters that stand for bytes, as JSON."""
+    return json.dumps({to_characters(t): r for t, r in read_ranks(path).items()}).encode()
+
+
+def token_bytes(tokens: bytes) -> dict[int, bytes]:
+    return {i: to_bytes(t) for t, i in json.loads(tokens).items()}
 
 
 def pieces_of_text(words: dict[int, bytes], ids) -> list[str]:
@@ -259,11 +273,11 @@ def decode_pieces(
 ) -> DataFrame:
     """Add the text as one string per token (see ``pieces_of_text``)."""
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(library_model(path).encode())
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(path))
     ident = hashlib.sha256(shared.value).hexdigest()
 
     def run(packed: pa.Array) -> pa.Array:
-        words = per_worker(("decoder", ident), lambda: token_bytes(shared.value.decode()))
+        words = per_worker(("decoder", ident), lambda: token_bytes(shared.value))
         rows = (np.frombuffer(p, dtype="<u4").tolist() for p in packed.to_pylist())
         return pa.array([pieces_of_text(words, r) for r in rows], pa.list_(pa.string()))
 
