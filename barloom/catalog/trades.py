@@ -209,6 +209,7 @@ def t9(spark, sf):
         rule,
         entry,
         candidate=F.col("signal") == 1,
+        entry_params=("min_volume",),
     )
 
 

@@ -432,12 +432,16 @@ def sweep_trades(
     ts="ts",
     atr: str | None = "atr",
     candidate: Column | None = None,
+    entry_params: Sequence[str] = (),
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Accepted trades of every configuration.
 
     Bars are laid out once. ``candidate`` is a condition every configuration implies; only rows
     passing it meet the grid, where ``entry`` decides per configuration. ``rule`` and ``entry``
-    may use grid columns.
+    may use grid columns. Columns named in ``entry_params`` are used by ``entry`` alone:
+    configurations that differ in nothing else share one resolved exit. ``columns`` are the trade
+    columns to carry on (all, if not given); row numbers are always kept.
     """
     horizon = reach(rule, grid, horizon)
     laid = over_series(bars, entry_path(horizon, atr, ts), keys=keys, order=ts)
@@ -445,14 +449,37 @@ def sweep_trades(
         laid = laid.filter(candidate)
     if grid.limit(GRID_LIMIT + 1).count() > GRID_LIMIT:
         raise ValueError(f"a grid has at most {GRID_LIMIT} rows: sweep it in parts")
-    both = laid.crossJoin(F.broadcast(grid)).filter(entry)
-    trades = resolve_exits(both, rule, keys=keys, ts=ts, keep=["config_id"])
-    return select_trades(trades, keys=["config_id", *keys])
+    # One row per distinct exit configuration, with the configurations that share it.
+    alike = [c for c in grid.columns if c not in ("config_id", "scenario", *entry_params)]
+    shared = grid.groupBy(*alike).agg(
+        F.collect_list(F.struct("config_id", *entry_params)).alias("_configs")
+    )
+    bar = [c for c in laid.columns if c not in ("_path", "_entry_rn")]
+    both = laid.withColumn("_bar", F.struct(*bar)).crossJoin(F.broadcast(shared))
+    exits = F.struct(*alike).alias("_exit") if alike else F.struct(F.lit(0)).alias("_exit")
+    trades = resolve_exits(
+        both.withColumn("_exit", exits), rule, keys=keys, ts=ts, keep=["_bar", "_exit", "_configs"]
+    )
+    names = [c for c in trades.columns if c not in ("_bar", "_exit", "_configs")]
+    if columns is not None:
+        names = [c for c in names if c in (*keys, *columns, "entry_rn", "exit_rn")]
+    rows = trades.select(
+        "_bar.*",
+        *(["_exit.*"] if alike else []),
+        F.struct(*names).alias("_t"),
+        F.explode("_configs").alias("_c"),
+    ).select("*", "_c.*")
+    accepted = rows.filter(entry).select("config_id", "_t.*")
+    return select_trades(accepted, keys=["config_id", *keys])
+
+
+# What trade metrics read of a trade.
+METRIC_COLUMNS = ("pnl_pct", "pnl_r", "win", "candles_held")
 
 
 def sweep(bars, grid, rule, entry, *, min_trades: int = 0, no_loss=float("inf"), **kw) -> DataFrame:
     """One metrics row per configuration with at least ``min_trades`` trades."""
-    trades = sweep_trades(bars, grid, rule, entry, **kw)
+    trades = sweep_trades(bars, grid, rule, entry, columns=METRIC_COLUMNS, **kw)
     m = trade_metrics(trades, ["config_id"], no_loss=no_loss)
     m = m.filter(F.col("total_trades") >= min_trades)
     return null_safe_join(grid, m, ["config_id"], "inner")

@@ -80,7 +80,7 @@ def sweep(spark, sf):
     rule = tr.trailing_rule(*[F.col(n) for n in names], max_hold=15)
     on = F.col("signal") == 1
     return tr.sweep(
-        signal_bars(spark, sf), grid, rule, on & (F.col("volume") >= F.col("min_volume")), candidate=on
+        signal_bars(spark, sf), grid, rule, on & (F.col("volume") >= F.col("min_volume")), candidate=on, entry_params=("min_volume",)
     )
 
 
