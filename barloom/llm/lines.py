@@ -187,3 +187,26 @@ def _cut(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
         out,
         pa.struct([("text", pa.string()), ("total", pa.int32()), ("removed", pa.int32()), ("runs", pa.string())]),
     )
+
+
+def dedup_sql(table: str = "documents", min_words: int = MIN_WORDS) -> str:
+    """The removed runs in plain SQL: every window is compared by its lines. Ids must be unique."""
+    return rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM {table}),
+l AS (SELECT doc_id, i, ls[i] AS line, len(regexp_extract_all(ls[i], '\S+')) AS w
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l),
+p AS (SELECT a.doc_id, a.i AS s, b.i AS e FROM c a JOIN c b
+      ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.w >= {min_words}),
+win AS (SELECT doc_id, s, min(e) AS e FROM p GROUP BY 1, 2 UNION SELECT doc_id, max(s), e FROM p GROUP BY doc_id, e),
+named AS (SELECT win.*, array_to_string(ls[s:e], chr(10)) AS content FROM win JOIN d USING (doc_id)),
+later AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM later),
+runs AS (SELECT doc_id, min(i) - 1 AS a, max(i) AS b FROM (
+      SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM gone) GROUP BY doc_id, g),
+told AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_runs
+      FROM runs GROUP BY 1),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS text FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY 1)
+SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       coalesce(removed_runs, '') AS removed_runs, sha256(coalesce(kept.text, '')) AS text_sha256
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)"""

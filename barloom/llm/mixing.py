@@ -175,3 +175,31 @@ def mix(
             F.ceil((n + 1) * frame / F.col("__mix_k")).alias("deadline"),
         ).alias(into),
     )
+
+
+def mix_sql(table: str = "documents", frame: int = FRAME, block_rows: int = BLOCK_ROWS, seed: int = 17) -> str:
+    """The mix of tempered weights (temperature 2) in plain SQL: one frame by recursion, then
+    arithmetic. It holds while every share is above one slot of the frame."""
+    return f"""
+WITH RECURSIVE c AS (SELECT coalesce(source, chr(0) || 'null') AS s, sqrt(count(*)) AS w FROM {table} GROUP BY 1),
+e AS (SELECT s, w / sum(w) OVER () * {frame} AS x FROM c),
+f AS (SELECT s, CAST(floor(x) AS BIGINT) AS k, row_number() OVER (ORDER BY floor(x) - x, s) AS r,
+      {frame} - sum(floor(x)) OVER () AS rest FROM e),
+sh AS (SELECT s, k + CASE WHEN r <= rest THEN 1 ELSE 0 END AS k, row_number() OVER (ORDER BY s) AS i FROM f),
+ks AS (SELECT list(k ORDER BY i) AS k FROM sh),
+edf AS (
+  SELECT 0 AS slot, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS b, [CAST(0 AS BIGINT) FOR x IN k] AS done, k FROM ks
+  UNION ALL
+  SELECT slot + 1, pick, done[pick], [done[j] + CASE WHEN j = pick THEN 1 ELSE 0 END FOR j IN range(1, len(k) + 1)], k
+  FROM (SELECT *, list_min([CASE WHEN done[j] < k[j] AND done[j] * {frame} // k[j] <= slot
+          THEN ((done[j] + 1) * {frame} + k[j] - 1) // k[j] * 100000 + j ELSE 1000000000000 END
+          FOR j IN range(1, len(k) + 1)]) % 100000 AS pick FROM edf)
+  WHERE slot < {frame}),
+plan AS (SELECT sh.s, sh.k, edf.b, edf.slot - 1 AS ofs FROM edf JOIN sh USING (i)),
+d AS (SELECT doc_id, source, coalesce(source, chr(0) || 'null') AS s,
+        row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{seed}'), doc_id) - 1 AS seq
+      FROM {table}),
+b AS (SELECT d.*, seq // {block_rows} AS block, sh.k FROM d JOIN sh USING (s))
+SELECT b.doc_id, b.source, b.block, b.seq % {block_rows} AS row, b.block // b.k * {frame} + p.ofs AS slot,
+       b.block * {frame} // b.k AS release, ((b.block + 1) * {frame} + b.k - 1) // b.k AS deadline
+FROM b JOIN plan p ON p.s = b.s AND p.b = b.block % b.k"""

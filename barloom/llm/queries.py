@@ -77,7 +77,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("op6_line_dedup")
+@register("op6_line_dedup", lines.dedup_sql())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated runs of lines in every document, and a digest of what stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -98,7 +98,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("op7_mixing")
+@register("op7_mixing", mixing.mix_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block, slot and window of every document in the mix of sources by tempered weights."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -114,7 +114,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("op5_secret_scan")
+@register("op5_secret_scan", secret_scan.scan_sql())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; candidates that one source alone holds are added to the base spans."""
     def n(kind: int):

@@ -195,3 +195,38 @@ def scan(
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
     )
+
+
+def scan_sql(table: str = "documents", live_owners: int = 1) -> str:
+    """The registered result in plain SQL. Ids must be unique."""
+    patterns = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, MIXED)))
+
+    def kind(n: int, name: str) -> str:
+        p = patterns[name].replace("'", "''")
+        value = f"regexp_extract_all(t, '{p}', 2)" if name == "assign" else f"regexp_extract_all(t, '{p}')"
+        ok = {
+            "assign": f"length(v) >= {ASSIGN_LEAST}",
+            "mixed": "regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')",
+        }.get(name, "true")
+        return f"""SELECT doc_id, o, {n} AS k, a, a + length(m) AS b, v FROM (
+  SELECT doc_id, o, ms[j] AS m, vs[j] AS v, list_sum([length(g) FOR g IN gs[1:j]])
+    + coalesce(list_sum([length(x) FOR x IN ms[1:j - 1]]), 0) AS a
+  FROM (SELECT doc_id, o, ms, vs, gs, unnest(range(1, len(ms) + 1)) AS j FROM (
+    SELECT doc_id, o, regexp_extract_all(t, '{p}') AS ms, {value} AS vs, string_split_regex(t, '{p}') AS gs FROM d)))
+WHERE {ok}"""
+
+    parts = " UNION ALL ".join(kind(n, name) for n, name in enumerate(KINDS))
+    named = "CASE k " + " ".join(f"WHEN {n} THEN '{name}'" for n, name in enumerate(KINDS)) + " END"
+    text = f"{named} || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS o FROM {table}),
+s AS ({parts}),
+h AS (SELECT v, count(DISTINCT o) AS owners FROM s GROUP BY 1),
+x AS (SELECT s.*, owners, {text} AS told FROM s JOIN h USING (v)),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
+  count(*) FILTER (k = 2) AS n_hex, string_agg(told, ',' ORDER BY a, k) FILTER (k < 3) AS base,
+  string_agg(told, ',' ORDER BY a, k) FILTER (k < 3 OR owners <= {live_owners}) AS spans,
+  count(*) FILTER (owners <= {live_owners}) AS n_live, count(*) FILTER (owners > {live_owners}) AS n_copied FROM x GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+  coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN g USING (doc_id)"""

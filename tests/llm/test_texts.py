@@ -279,14 +279,17 @@ def test_secrets_odd_rows(docs, no_docs):
 # -- chat --------------------------------------------------------------------------------------
 
 
-def test_chat_against_sql(spark, sf_dir):
-    fn, sql = QUERIES["op8_chat_rotation"]
+@pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
+def test_queries_against_sql(spark, sf_dir, name):
+    fn, sql = QUERIES[name]
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
-    key = ["conv_id", "speaker", "segment"]
-    want = con.execute(sql).df().sort_values(key).reset_index(drop=True)
+    for t in ("conversations", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.execute(sql).df()
+    key = ["conv_id", "speaker", "segment"] if "conv_id" in want else ["doc_id"]
+    want = want.sort_values(key).reset_index(drop=True)
     got = fn(spark, sf_dir).toPandas().sort_values(key).reset_index(drop=True)
-    assert len(want) == len(got) and (want == got[want.columns]).all().all()
+    assert set(want) == set(got) and len(want) == len(got) and (want == got[want.columns]).all().all()
 
 
 def test_chat_odd_rows(spark):
