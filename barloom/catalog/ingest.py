@@ -44,10 +44,7 @@ def s1(spark, sf):
         F.col("volume").alias("Vol"),
     )
     out.write.mode("overwrite").csv(path, header=True, sep=";")
-    sep, enc, names = files.detect_layout(spark, path)
-    raw = spark.read.csv(path, header=True, sep=sep, encoding=enc)
-    df = files.parse_times(files.require_columns(files.map_columns(raw)))
-    return df.withColumnRenamed("Symbol", "symbol")
+    return files.read_bar_csv(spark, path, symbol_column="Symbol")
 
 
 @query(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +13,9 @@ from pyspark.sql import types as T
 
 from barloom.schema import COLUMN_ALIASES, OHLCV
 
-# Separators and encodings tried, in this order; fewest columns of a bar file.
+# Separators and encodings tried, in this order (Latin-1 takes any byte); fewest columns of a bar file.
 SEPARATORS = (",", ";", "\t")
-ENCODINGS = ("UTF-8", "ISO-8859-1", "windows-1252")
+ENCODINGS = ("UTF-8", "ISO-8859-1")
 MIN_COLUMNS = 5
 
 
@@ -21,18 +23,47 @@ class BarFileError(ValueError):
     pass
 
 
-def detect_layout(spark: SparkSession, path: str) -> tuple[str, str, list[str]]:
-    """Separator, encoding and header names, from the first line only."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        raise BarFileError(f"empty file: {path}")
-    header = first[0][0].lstrip("﻿")
-    encoding = ENCODINGS[1] if "�" in header else ENCODINGS[0]
+@dataclass(frozen=True)
+class Layout:
+    """How some files are written, and which."""
+
+    separator: str
+    encoding: str
+    names: tuple[str, ...]
+    files: tuple[str, ...]
+
+
+def detect_layouts(spark: SparkSession, path: str) -> list[Layout]:
+    """Layouts of all files below ``path``: separator and header names from each file's first line,
+    encoding from its whole body (bytes that are not UTF-8 make it Latin-1, which takes any byte).
+    Files are scanned once by Spark; their paths, which the reader needs, come to the driver."""
+    broken = ~F.is_valid_utf8("value")
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("id"),
+    )
+    found = lines.groupBy("file").agg(
+        F.min_by("value", F.struct("at", "id")).alias("header"), F.bool_or(broken).alias("latin")
+    )
+    alike = found.groupBy("header", "latin").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    out = []
+    for r in alike.orderBy(F.col("files")[0]).collect():
+        separator, names = _columns(r.header, r.files[0])
+        out.append(Layout(separator, ENCODINGS[1] if r.latin else ENCODINGS[0], names, tuple(r.files)))
+    if not out:
+        raise BarFileError(f"nothing to read: {path}")
+    return out
+
+
+def _columns(header: str, file: str) -> tuple[str, tuple[str, ...]]:
+    header = header.lstrip("\ufeff")
     for sep in SEPARATORS:
-        names = [h.strip().strip('"') for h in header.split(sep)]
+        names = tuple(h.strip().strip('"') for h in header.split(sep))
         if len(names) >= MIN_COLUMNS:
-            return sep, encoding, names
-    raise BarFileError(f"no known separator in the header of {path}")
+            return sep, names
+    raise BarFileError(f"no known separator in the header of {file}")
 
 
 def map_columns(df: DataFrame) -> DataFrame:
@@ -61,16 +92,34 @@ def parse_times(df: DataFrame, column: str = "datetime", out: str = "ts") -> Dat
 
 
 def read_bar_csv(
-    spark: SparkSession, path: str, *, symbol: str | None = None, ingest: bool = False
+    spark: SparkSession,
+    path: str,
+    *,
+    symbol: str | None = None,
+    symbol_column: str | None = None,
+    ingest: bool = False,
 ) -> DataFrame:
-    """Bars from delimited files of one header. All columns are read as text and cast, so no
-    second pass infers types. The symbol is given, or taken from the file name up to ``_``."""
-    sep, encoding, names = detect_layout(spark, path)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.csv(path, schema=schema, header=True, sep=sep, encoding=encoding)
+    """Bars from delimited files, each read by its own layout; a header that lacks a bar column
+    raises. All columns are read as text and cast, so no second pass infers types. The symbol is
+    given, or comes from a column, or from the file name up to ``_``."""
+    parts = [
+        _read_layout(spark, layout, symbol, symbol_column, ingest)
+        for layout in detect_layouts(spark, path)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _read_layout(spark, layout: Layout, symbol, symbol_column, ingest: bool) -> DataFrame:
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in layout.names])
+    raw = spark.read.csv(
+        list(layout.files), schema=schema, header=True, sep=layout.separator, encoding=layout.encoding
+    )
     df = require_columns(map_columns(raw))
     base = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    name = F.lit(symbol) if symbol else F.element_at(F.split(base, "[_.]"), 1)
+    if symbol_column:
+        name = F.col(symbol_column)
+    else:
+        name = F.lit(symbol) if symbol else F.element_at(F.split(base, "[_.]"), 1)
     cols = [name.alias("symbol"), "datetime"]
     cols += [F.trim(F.col(c)).try_cast("double").alias(c) for c in OHLCV]
     if ingest:
@@ -89,7 +138,9 @@ def load_bars(
     for n in names:
         try:
             df = read_bar_csv(spark, f"{folder}/{n}", symbol=symbol)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
         return between(df, start, end).orderBy("ts")
     raise BarFileError(f"no file for {symbol} {timeframe}; tried {names}")

@@ -152,3 +152,17 @@ def test_first_of_duplicates_needs_an_order(spark):
     with pytest.raises(ValueError, match="first"):
         cl.keep_first(df)
     assert sorted((r.symbol, r.close) for r in cl.keep_first(df, ingest="n").collect()) == [("A", 1.0), ("B", None)]
+
+
+def test_files_of_one_folder_keep_their_own_layout(spark, tmp_path):
+    (tmp_path / "A_5min.csv").write_text("Date;Open;High;Low;Close;Volume\n2024-01-01 09:15:00;1;2;0.5;1.5;10\n")
+    (tmp_path / "B_5min.csv").write_text("timestamp,o,h,l,c,vol\n2024-01-01 09:20:00,3,4,2.5,3.5,20\n")
+    (tmp_path / "C_5min.csv").write_bytes(
+        "datetime\topen\thigh\tlow\tclose\tvolume\tnote\n2024-01-01 09:25:00\t5\t6\t4\t5.5\t30\tcafé\n".encode("latin-1")
+    )
+    rows = files.read_bar_csv(spark, str(tmp_path)).orderBy("symbol").collect()
+    assert [(r.symbol, r.close, r.volume) for r in rows] == [("A", 1.5, 10.0), ("B", 3.5, 20.0), ("C", 5.5, 30.0)]
+    assert {x.encoding for x in files.detect_layouts(spark, str(tmp_path))} == {"UTF-8", "ISO-8859-1"}
+    (tmp_path / "D_5min.csv").write_text("nothing here\n1\n")
+    with pytest.raises(files.BarFileError, match="D_5min"):
+        files.read_bar_csv(spark, str(tmp_path))
