@@ -29,9 +29,16 @@ def written_stream(spark, df, name, parts=3):
     """A derived table written in time order as a few files and read back as a stream."""
     folder = shared_folder(spark, name)
     data = df.withColumn("ts", F.col("ts").cast("timestamp"))
-    days = F.floor(F.dayofmonth("ts") * parts / 32).cast("int")
+    second = F.unix_timestamp("ts")
+    first, last = data.agg(F.min(second), F.max(second)).first()
+    if first is None:
+        data.write.mode("append").parquet(f"{folder}/in")
+        return file_stream(spark, f"{folder}/in", data.schema), folder
+    # Equal spans of time, whatever period the table covers; one file each, as files of a span
+    # would arrive in any order.
+    span = F.floor((second - first) * parts / (last - first + 1))
     for i in range(parts):
-        data.filter(days == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        data.filter(span == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return file_stream(spark, f"{folder}/in", data.schema), folder
 
 

@@ -16,7 +16,8 @@ def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None,
 
 
 def run_to_table(stream: DataFrame, folder: str) -> list[dict]:
-    """Process everything available into parquet files; returns the progress reports. Output is
+    """Process everything available into parquet files; returns the progress report of every batch,
+    gathered while the query runs, since a query itself keeps only its latest ones. Output is
     exactly-once through the checkpoint, and restarts continue from it."""
     q = (
         stream.writeStream.format("parquet")
@@ -25,8 +26,17 @@ def run_to_table(stream: DataFrame, folder: str) -> list[dict]:
         .trigger(availableNow=True)
         .start()
     )
-    q.awaitTermination()
-    return [json.loads(p.json) if hasattr(p, "json") else dict(p) for p in q.recentProgress]
+    reports: dict[int, dict] = {}
+
+    def gather() -> None:
+        for p in q.recentProgress:
+            r = json.loads(p.json) if hasattr(p, "json") else dict(p)
+            reports[r["batchId"]] = r
+
+    while not q.awaitTermination(0.2):
+        gather()
+    gather()
+    return [reports[k] for k in sorted(reports)]
 
 
 def run_batches(stream: DataFrame, folder: str, sink) -> None:
