@@ -289,6 +289,7 @@ def smooth(df: DataFrame, fr: Frame, outs: Mapping[str, Smooth]) -> DataFrame:
     keys = ", ".join(f"`{k}`" for k in (*fr.keys, "_blk", "_sub"))
     in_sub = f"OVER (PARTITION BY {keys} ORDER BY `_rn` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     level, late, exact, final, temporary = {}, {}, {}, {}, []
+    begun: dict[str, int] = {}
     for out, s in outs.items():
         if s.alpha >= 1:
             known = f"CASE WHEN `_rn` > {s.lead} THEN `{s.source}` END"
@@ -331,18 +332,22 @@ def smooth(df: DataFrame, fr: Frame, outs: Mapping[str, Smooth]) -> DataFrame:
             + (f" + coalesce({carry} * `_c_{k}_{out}`, 0D)" if carry else "")
             for k in terms
         }
-        level[f"_v_{out}"] = F.expr(f"first_value({x}, true) {so_far}")
-        level[f"_w_{out}"] = F.expr(f"min(CASE WHEN {x} IS NOT NULL THEN `_rn` END) {so_far}")
-        temporary += [f"_n_{out}", f"_d_{out}", f"_v_{out}", f"_w_{out}"]
+        temporary += [f"_n_{out}", f"_d_{out}"]
         if carry:
             temporary += [f"_c_n_{out}", f"_c_d_{out}"]
+        if not s.adjusted and x not in begun:  # the first known value and its row, once per source
+            k = begun[x] = len(begun)
+            level[f"_v_{k}"] = F.expr(f"first_value({x}, true) {so_far}")
+            level[f"_w_{k}"] = F.expr(f"min(CASE WHEN {x} IS NOT NULL THEN `_rn` END) {so_far}")
+            temporary += [f"_v_{k}", f"_w_{k}"]
         if s.adjusted:
             y = f"({sums['n']}) / nullif({sums['d']}, 0D)"
         else:
-            rest = f"{1.0 - s.alpha!r}D * exp((`_rn` - `_w_{out}`) * -{rate!r}D)"
+            k = begun[x]
+            rest = f"{1.0 - s.alpha!r}D * exp((`_rn` - `_w_{k}`) * -{rate!r}D)"
             y = (
-                f"CASE WHEN `_rn` = `_w_{out}` THEN `_v_{out}` ELSE"
-                f" ({s.alpha!r}D * ({sums['n']}) + {rest} * `_v_{out}`)"
+                f"CASE WHEN `_rn` = `_w_{k}` THEN `_v_{k}` ELSE"
+                f" ({s.alpha!r}D * ({sums['n']}) + {rest} * `_v_{k}`)"
                 f" / nullif({s.alpha!r}D * ({sums['d']}) + {rest}, 0D) END"
             )
         if direct:
