@@ -34,7 +34,7 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Matches taken from a text at once, so that a very long text is not held as one list.
 CHUNK = 50_000
 #: Pieces encoded in one call; the library's results are some hundred bytes a piece.
