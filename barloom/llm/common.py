@@ -16,11 +16,19 @@ from barloom.session import set_checkpoint_folder
 _WORKER: dict[Any, Any] = {}
 
 
+#: Objects that one stage uses side by side; a worker drops those of other stages.
+_TOGETHER = {"encoder": "bpe", "decoder": "bpe"}
+
+
 def per_worker(key: Any, make: Callable[[], Any]) -> Any:
-    """One object per Python worker and key; a newer key of the same kind replaces the older."""
+    """One object per Python worker and key; a newer key of the same kind replaces the older, and
+    what an earlier stage left in the worker goes."""
     kind, ident = key
     held = _WORKER.get(kind)
     if held is None or held[0] != ident:
+        stage = _TOGETHER.get(kind, kind)
+        for other in [k for k in _WORKER if _TOGETHER.get(k, k) != stage]:
+            del _WORKER[other]
         held = _WORKER[kind] = (ident, make())
     return held[1]
 

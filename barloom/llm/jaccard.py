@@ -40,7 +40,7 @@ RECALL = 0.9995
 #: Texts of one block; a cell holds two.
 BLOCK = 256
 _WORD = re.compile(r"\w+")
-_KNOWN = 300_000
+_KNOWN = 150_000
 
 
 class WordHashes(dict):
