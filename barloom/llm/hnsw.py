@@ -6,9 +6,11 @@ diverse choice of the nearest ones found from the layer above. Every vector then
 the beam always expands whatever lies within the threshold, so a dense cluster is followed to its
 end. Links are checked by the exact cosine and sent as a spanning forest.
 
-A bounded audit compares some vectors with all rows; while fewer of their true links lie within one
-component than asked, the beam is doubled and the shards are asked again. Components are then
-verified: all pairs of a component, cut into cells of two blocks, are compared exactly, which gives
+A bounded audit compares vectors of found components of every size class, lone ones too, with all
+rows. Recall is the mean over audited vectors of the share of their true links that lie within their
+component, for vectors with few, some and many links apart, so a dense cluster does not outweigh
+pairs. While one class has less than asked, the beam is doubled and the shards are asked again.
+Components are then verified: all pairs of a component, cut into cells of two blocks, are compared exactly, which gives
 the number of links. A cell sends counts, never pairs.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import bounds, groups
@@ -36,10 +38,13 @@ SHARDS = 8
 SHARD_ROWS = 65_536
 CHUNK_ROWS = 8_192
 #: First beam; audits widen it.
-BEAM = 32
+BEAM = 96
 BUILD_BEAM = 48
+#: Audited vectors of each size class of found components.
 AUDIT = 512
 RECALL = 0.99
+#: Least sizes of the classes of components: lone vectors, small groups, larger ones, clusters.
+CLASSES = (1, 2, 4, 32)
 BLOCK = 512
 
 
@@ -323,24 +328,55 @@ def _verify(batches, dim: int, threshold: float):
         )
 
 
-def _true_links(probe: DataFrame, rows: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """All links of a bounded number of vectors, by comparing with every row."""
-    got = probe.toArrow()
-    mine, qids = matrix(got.column("_v"), dim), got.column("_id").to_numpy()
-    q = unit(mine)
+def _true_links(probe: pa.Table, rows: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """For each of a bounded number of vectors: its links by comparing with every row, and how many of
+    them lie in its component ``_r``. A task sends sums, never pairs."""
+    mine, qids = matrix(probe.column("_v"), dim), probe.column("_id").to_numpy()
+    mine_r, q = probe.column("_r").to_numpy(), unit(mine)
 
     def run(batches):
+        n, got = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
         for b in batches:
-            raw, ids = matrix(b.column("_v"), dim), b.column("_id").to_numpy()
-            if not len(raw) or not len(q):
-                continue
-            i, j = np.nonzero((q @ unit(raw).T >= threshold - 1e-9) & (qids[:, None] != ids[None, :]))
-            ok = cosine(mine[i], raw[j]) >= threshold if len(i) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[i[ok]]), pa.array(ids[j[ok]])], names=["a", "b"]
-            )
-
-    return rows.select("_id", "_v").mapInArrow(run, "a bigint, b bigint")
+            all_raw, all_ids, all_r = matrix(b.column("_v"), dim), b.column("_id").to_numpy(), b.column("_r").to_numpy()
+            for at in range(0, len(all_raw), 1024):
+                raw, ids, r = (v[at : at + 1024] for v in (all_raw, all_ids, all_r))
+                near = q @ unit(raw).T
+                linked = near >= threshold + 1e-9
+                i, j = np.nonzero(np.abs(near - threshold) < 1e-9)  # too near to call: exact sums decide
+                if len(i):
+                    linked[i, j] = cosine(mine[i], raw[j]) >= threshold
+                linked &= qids[:, None] != ids[None, :]
+                n += linked.sum(axis=1)
+                got += (linked & (mine_r[:, None] == r[None, :])).sum(axis=1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(got[at])], names=["at", "n", "got"])
+
+    sums = rows.select("_id", "_r", "_v").mapInArrow(run, "at bigint, n bigint, got bigint")
+    return sums.groupBy("at").agg(F.sum("n").alias("n"), F.sum("got").alias("got"))
+
+
+def _class(size: Column) -> Column:
+    """Index of the size class."""
+    return sum((size >= least).cast("int") for least in CLASSES[1:])
+
+
+def _audit(placed: DataFrame, dim: int, threshold: float, audit: int) -> dict[int, float]:
+    """Recall of the vectors whose true group is of each size class (by its least number of links).
+    Vectors are drawn from each class of found components and stand for all of theirs."""
+    drawn = [
+        placed.where(F.col("_cl") == c).orderBy(F.xxhash64("_id", F.lit(17)), "_id").limit(audit)
+        for c in range(len(CLASSES))
+    ]
+    of_class = {r["_cl"]: r["count"] for r in placed.groupBy("_cl").count().collect()}
+    probe = pa.concat_tables([d.select("_id", "_r", "_v", "_cl").toArrow() for d in drawn])  # at most 4 * audit
+    took = probe.column("_cl").to_numpy()
+    weight = {c: n / max(1, int((took == c).sum())) for c, n in of_class.items()}
+    total, held = np.zeros(len(CLASSES)), np.zeros(len(CLASSES))
+    for r in _true_links(probe, placed, dim, threshold).collect():
+        c = int(np.searchsorted(CLASSES, r.n + 1, side="right")) - 1
+        total[c] += weight[took[r.at]]
+        held[c] += weight[took[r.at]] * r.got / r.n
+    return {CLASSES[c]: float(held[c] / total[c]) for c in np.flatnonzero(total)}
 
 
 def near_duplicates(
@@ -356,7 +392,8 @@ def near_duplicates(
     recall: float = RECALL,
     block: int = BLOCK,
 ) -> tuple[DataFrame, list[dict]]:
-    """``key, n_links, component_id, kept`` per row, and the audits: beam and recall of each pass."""
+    """``key, n_links, component_id, kept`` per row, and the audits: beam, recall of each size class of each
+    pass, and the least of them."""
     dim = dimension(df, vector)
     rows = df.withColumn("_id", F.col(key).cast("bigint"))
     rows = rows.withColumn("_ok", usable(vector, dim) & F.col("_id").isNotNull() if dim else F.lit(False))
@@ -390,8 +427,6 @@ def near_duplicates(
             "_sh": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))),
         }
     )
-    probe = durable(classes.orderBy(F.xxhash64("_id", F.lit(17)), "_id").limit(audit).select("_id", "_v"))
-    truth = durable(_true_links(probe, classes, dim, threshold))
     audits: list[dict] = []
     while True:
         found = durable(
@@ -400,20 +435,19 @@ def near_duplicates(
             .applyInArrow(_ask_shard(dim, beam, threshold), "u bigint, v bigint")
         )
         member = durable(components(found).select(F.col("node").alias("_id"), F.col("root").alias("_r")))
-        at_a = member.select(F.col("_id").alias("a"), F.col("_r").alias("ra"))
-        at_b = member.select(F.col("_id").alias("b"), F.col("_r").alias("rb"))
-        seen = (
-            truth.join(at_a, "a", "left")
-            .join(at_b, "b", "left")
-            .agg(F.count("*").alias("n"), F.count(F.when(F.col("ra") == F.col("rb"), 1)).alias("got"))
-            .first()
+        sizes = member.groupBy("_r").agg(F.count("*").alias("_c"))
+        sized = durable(member.join(sizes, "_r"))
+        placed = durable(
+            classes.join(sized, "_id", "left").select(
+                "_id", "_v", F.coalesce("_r", "_id").alias("_r"), _class(F.coalesce("_c", F.lit(1))).alias("_cl")
+            )
         )
-        audits.append({"beam": beam, "recall": seen.got / seen.n if seen.n else 1.0})
+        by_size = _audit(placed, dim, threshold, audit)
+        audits.append({"beam": beam, "recall": min(by_size.values(), default=1.0), "by_size": by_size})
         if audits[-1]["recall"] >= recall or beam >= max(n, 1):
             break
         beam *= 2
-    sizes = member.groupBy("_r").agg(F.count("*").alias("_c"))
-    inside = member.join(sizes, "_r").join(classes.select("_id", "_w", "_v"), "_id")
+    inside = sized.join(classes.select("_id", "_w", "_v"), "_id")
     links = (
         in_cells(inside, "_r", "_id", "_c", block)
         .select("_cell", "_id", "_block", "_same", "_w", "_v")

@@ -79,6 +79,31 @@ def test_vector_dedup_clusters(spark, block):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == plain(*whole(df))
 
 
+def test_small_groups_beside_a_large_cluster(spark, monkeypatch):
+    """A first beam that finds one large cluster but no pair is widened."""
+    rng = np.random.default_rng(4)
+    hot = rng.normal(size=16) + 0.02 * rng.normal(size=(400, 16))
+    pairs = np.repeat(rng.normal(size=(60, 16)), 2, axis=0)
+    pairs += 0.05 * rng.normal(size=pairs.shape)
+    x = np.concatenate([hot, pairs, rng.normal(size=(600, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    true_ask, n_hot = hnsw._ask_shard, len(hot)
+
+    def ask_shard(dim, ef, *more):
+        ask = true_ask(dim, ef, *more)
+
+        def narrow(key, graph, asked):
+            t = ask(key, graph, asked)
+            return t.filter(np.asarray(t["u"]) < n_hot) if ef == 8 else t
+
+        return narrow
+
+    monkeypatch.setattr(hnsw, "_ask_shard", ask_shard)
+    got, audits = hnsw.near_duplicates(df, shards=2, beam=8)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == plain(*whole(df))
+    assert [a["beam"] for a in audits] == [8, 16]
+
+
 def test_vector_dedup_whole_table(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     got = QUERIES["op9_embedding_dedup"][0](spark, SF).collect()
