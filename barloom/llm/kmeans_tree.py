@@ -3,9 +3,10 @@
 The tree is fitted on a bounded sample (``SAMPLE`` vectors with the least hash, a parameter) and has a
 bounded number of nodes, so it can be broadcast; every vector is then filed under its leaf. A query
 walks the tree with a priority queue that holds the branches it passed by, nearest first, which gives
-its leaves in the order in which they are worth a visit. How many leaves are visited is calibrated:
-for ``AUDIT`` queries the true neighbours are found by comparing with all rows, and the visits widen
-until those leaves hold the wanted share of them.
+its leaves in the order in which they are worth a visit. How many leaves are visited is calibrated
+for queries of sparse, usual and crowded leaves apart: for ``AUDIT`` of each the true neighbours are
+found by comparing with all rows, and the visits widen until those leaves hold the wanted share of
+them. Whatever the calibration says, a query goes on until its leaves hold enough other rows.
 
 Leaves are cut into parts of bounded size by a hash, so a leaf with a third of all vectors is many
 tasks. A part meets the queries that visit its leaf in one group and sends their nearest only.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -62,12 +64,11 @@ class Tree:
         c = self.centre[kids]
         return 0.5 * (c * c).sum(axis=1)
 
-    def visits(self, x: np.ndarray, limit: int) -> list[int]:
+    def walk(self, x: np.ndarray):
         """Leaves for one query, best first: take the nearest waiting branch, go down to its leaf
         and keep the branches passed by in the queue."""
         waiting = [(0.0, 0)]
-        out: list[int] = []
-        while waiting and len(out) < limit:
+        while waiting:
             _, node = heapq.heappop(waiting)
             while self.count[node]:
                 kids = np.arange(self.first[node], self.first[node] + self.count[node])
@@ -77,7 +78,20 @@ class Tree:
                     if k != kids[best]:
                         heapq.heappush(waiting, (float(g), int(k)))
                 node = int(kids[best])
-            out.append(node)
+            yield node
+
+    def visits(self, x: np.ndarray, limit: int) -> list[int]:
+        """The first leaves of ``walk``."""
+        return list(islice(self.walk(x), limit))
+
+    def enough(self, x: np.ndarray, limit: int, held: dict[int, int], rows: int) -> list[int]:
+        """The first leaves of ``walk``, and more until they hold as many rows as asked."""
+        out: list[int] = []
+        for leaf in self.walk(x):
+            out.append(leaf)
+            rows -= held.get(leaf, 0)
+            if len(out) >= limit and rows <= 0:
+                break
         return out
 
     @property
@@ -202,20 +216,36 @@ def search(
         return pa.array(shared.value.leaf_of(unit(x)) if len(x) else [], pa.int64())
 
     filed = durable(own.withColumn("_leaf", F.arrow_udf(leaf, "bigint")("_v")))
-    queries = filed.where("_q").select("_id", "_v")
-    probe = durable(queries.orderBy(F.xxhash64("_id", F.lit(5)), "_id").limit(audit))
-    truth = brute_force(filed, probe, k, dim)
-    # Leaves of the true neighbours: at most audit * k rows.
+    # A leaf has at least one node of the tree, so there are at most as many as the tree has nodes.
+    held = {r["_leaf"]: r["count"] for r in filed.groupBy("_leaf").count().collect()}
+    group = groups_of(held)
+    sizes = spark.sparkContext.broadcast((held, group))
+    copies = filed.groupBy("_id").agg(F.count("*").alias("_m")).where("_m > 1")
+    queries = filed.where("_q").select("_id", "_v", "_leaf")
+    drawn = None
+    for g in sorted(set(group.values())):
+        own_leaves = spark.createDataFrame([(leaf,) for leaf, x in group.items() if x == g], "_leaf bigint")
+        part = queries.join(F.broadcast(own_leaves), "_leaf", "left_semi").orderBy(F.xxhash64("_id", F.lit(5)), "_id").limit(audit)
+        drawn = part if drawn is None else drawn.unionByName(part)
+    if drawn is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double"), {}
+    probe = durable(drawn)
+    truth = brute_force(filed, probe.select("_id", "_v"), k, dim)
+    # Leaves of the true neighbours: at most audit * k rows of each group.
     where = truth.join(
         filed.select(F.col("_id").alias("vec_id"), "_leaf").distinct(), "vec_id"
     ).select("query_id", "_leaf").collect()
-    visits = calibrate(tree, probe.collect(), where, target)
+    visits = calibrate(tree, probe.collect(), where, target, group)
 
     def route(batches):
-        tree = shared.value
+        tree, (held, group) = shared.value, sizes.value
         for b in batches:
             x = unit(matrix(b.column("_v"), dim))
-            ways = [tree.visits(row, visits["visits"]) for row in x]
+            least = b.column("_m").to_numpy() + k  # a query's own rows do not count
+            ways = [
+                tree.enough(row, visits["visits"][group[leaf]], held, n)
+                for row, leaf, n in zip(x, b.column("_leaf").to_pylist(), least)
+            ]
             n = np.array([len(w) for w in ways], dtype=np.int64)
             at = pa.array(np.repeat(np.arange(len(ways)), n))
             yield pa.RecordBatch.from_arrays(
@@ -225,7 +255,8 @@ def search(
                 names=["_id", "_v", "_leaf"],
             )
 
-    asked = queries.mapInArrow(route, "_id bigint, _v array<double>, _leaf bigint")
+    asked = queries.join(copies, "_id", "left").select("_id", "_v", "_leaf", F.coalesce("_m", F.lit(1)).alias("_m"))
+    asked = asked.mapInArrow(route, "_id bigint, _v array<double>, _leaf bigint")
     parts = filed.groupBy("_leaf").agg(F.ceil(F.count("*") / F.lit(part_rows)).cast("int").alias("_n"))
     rows = filed.join(parts, "_leaf").withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(9)), "_n").cast("int"))
     asked = asked.join(parts, "_leaf").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
@@ -248,18 +279,26 @@ def search(
     return best(found, k).select("query_id", "rank", "vec_id", "score"), visits
 
 
-def calibrate(tree: Tree, probe, where, target: float) -> dict:
-    """Fewest visits whose leaves hold the target share of the audited queries' neighbours."""
+def groups_of(held: dict[int, int]) -> dict[int, int]:
+    """Group of each leaf by its rows against the mean of all leaves: 0 sparse (under half), 1 usual,
+    2 crowded (over twice)."""
+    mean = sum(held.values()) / max(1, len(held))
+    return {leaf: (n >= mean / 2) + (n > 2 * mean) for leaf, n in held.items()}
+
+
+def calibrate(tree: Tree, probe, where, target: float, group: dict[int, int]) -> dict:
+    """For each group of leaves the fewest visits whose leaves hold the target share of the neighbours
+    of the audited queries that lie there; all leaves for a group without neighbours."""
     leaves: dict[int, list[int]] = {}
     for r in where:
         leaves.setdefault(r.query_id, []).append(r["_leaf"])
-    ranks = []
+    ranks: dict[int, list[int]] = {g: [] for g in group.values()}
     for r in probe:
         order = {leaf: i for i, leaf in enumerate(tree.visits(unit(np.array([r["_v"]]))[0], tree.leaves))}
-        ranks += [order[leaf] for leaf in leaves.get(r["_id"], [])]
-    if not ranks:
-        return {"leaves": tree.leaves, "visits": tree.leaves, "recall": 1.0}
-    ranks = np.sort(ranks)
-    need = int(np.ceil(target * len(ranks))) - 1
-    visits = int(ranks[need]) + 1
-    return {"leaves": tree.leaves, "visits": visits, "recall": float((ranks < visits).mean())}
+        ranks[group[r["_leaf"]]] += [order[leaf] for leaf in leaves.get(r["_id"], [])]
+    visits, recall = {}, {}
+    for g, of in ranks.items():
+        of = np.sort(of)
+        visits[g] = int(of[int(np.ceil(target * len(of))) - 1]) + 1 if len(of) else tree.leaves
+        recall[g] = float((of < visits[g]).mean()) if len(of) else 1.0
+    return {"leaves": tree.leaves, "visits": visits, "recall": min(recall.values(), default=1.0)}

@@ -56,6 +56,18 @@ def test_nearest_odd_rows(odd):
     assert kmeans_tree.search(odd.where("vec_id = 3"), F.lit(True))[0].count() == 0
 
 
+def test_every_query_gets_its_neighbours(spark):
+    """Far vectors in leaves of their own beside tight clusters that one visit answers."""
+    rng = np.random.default_rng(6)
+    tight = np.repeat(rng.normal(size=(40, 16)), 40, axis=0)
+    tight += 1e-3 * rng.normal(size=tight.shape)
+    x = np.concatenate([tight, rng.normal(size=(9, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = kmeans_tree.search(df, (F.col("vec_id") % 5 == 0) | (F.col("vec_id") >= len(tight)))[0].toPandas()
+    asked = {i for i in range(len(x)) if i % 5 == 0 or i >= len(tight)}
+    assert got.groupby("query_id").size().to_dict() == {i: 5 for i in asked}
+
+
 def plain(ids, x, threshold=0.9):
     near = x @ x.T >= threshold
     np.fill_diagonal(near, False)
