@@ -45,13 +45,16 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put the documents into the order of the mix; the written files follow it."""
+    """Put the documents into the order of the mix; the written files follow it, by name."""
     mixed = mixing.mix(docs, into="_mix")
     return mixed.orderBy("_mix.slot", "_mix.row").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with a digest of the bytes that decoding them gives."""
+    """Token ids of every text, with a digest of the bytes that decoding them gives, in the order of
+    the mix. Files are read in any order, so the position is derived again, by the same seed. Rows are
+    sorted before they are encoded: the sort's sampling would encode twice."""
+    docs = mixing.mix(docs, into="_mix").orderBy("_mix.slot", "_mix.row")
     done = bpe.decode(bpe.encode(docs, RANKS, into="_tokens"), RANKS, ids="_tokens.ids", into="_decoded")
     return done.select(
         "doc_id",
@@ -60,6 +63,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.col("_tokens.ids").alias("token_ids"),
         F.sha2("_tokens.ids", 256).alias("ids_sha256"),
         F.sha2("_decoded", 256).alias("decoded_sha256"),
+        F.col("_mix.slot").alias("mix_slot"),
+        F.col("_mix.row").alias("mix_row"),
     )
 
 

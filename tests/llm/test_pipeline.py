@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from barloom.llm import bpe
+from barloom.llm import bpe, mixing
 from barloom.llm.queries import RANKS
 from tests.llm.test_texts import by_definition, plain_groups
 
@@ -45,6 +45,23 @@ def test_stages_follow_the_plain_versions(spark, tmp_path):
         rows = got
 
 
+def test_rows_keep_the_order_of_the_mix_over_several_files(spark, tmp_path):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        cp.mix_sources(spark, docs, sf).write.parquet(str(tmp_path / "mixed"))
+        assert len(list((tmp_path / "mixed").glob("*.parquet"))) > 1
+        got = cp.tokenize(spark, spark.read.parquet(str(tmp_path / "mixed")), sf).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = mixing.mix(docs).select("doc_id", "mix.slot", "mix.row").orderBy("slot", "row").collect()
+    assert [r.doc_id for r in got] == [r.doc_id for r in want]
+    assert [(r.mix_slot, r.mix_row) for r in got] == [(r.slot, r.row) for r in want]
+
+
 @pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
 def test_stages_take_odd_and_empty_tables(spark, docs, no_docs, name):
     stage = dict(cp.STAGES)[name]
