@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, hnsw, jaccard, kmeans_tree, lines, mixing, prefix_counts, quality, secret_scan
+from barloom.llm import (
+    bpe,
+    chat,
+    hnsw,
+    jaccard,
+    kmeans_tree,
+    lattice,
+    lines,
+    mixing,
+    prefix_counts,
+    quality,
+    secret_scan,
+    spelling,
+    turn_trie,
+)
 from barloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +32,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {}
 #: Where the vocabulary files lie.
 RANKS = os.environ.get("BYTE_BPE_RANKS") or public_tokenizers.path("byte_bpe_50k.tiktoken")
 LIBRARY_FILE = os.environ.get("BYTE_BPE_JSON") or public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def register(name: str, sql: str | None = None):
@@ -145,3 +160,34 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector at a cosine of 0.9."""
     found, _ = hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found
+
+
+#: Documents that the word counts and weights of the language model are not learnt from.
+UNSEEN = "coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 7 = 2, false)"
+
+
+@register("op11_lattice_score")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text by the subword lattice, beside an add-one word model."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lattice.score_texts(docs, PIECES, ~F.expr(UNSEEN)).select(
+        "doc_id",
+        (~F.col("learnt")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
+@register("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words one edit apart and the common form each one leads to."""
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op13_turn_trie")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return turn_trie.prefix_trie(table(spark, sf_dir, "conversations"))
