@@ -42,7 +42,7 @@ PRIOR = 1000.0
 #: Rounds of expected counts.
 ROUNDS = 2
 #: Tokens after which a block is closed. One text is never cut.
-BLOCK = 1 << 20
+BLOCK = 1 << 22
 #: Longer words go through the lattice one by one.
 WIDE = 64
 #: Cells of one code-point matrix.
