@@ -92,9 +92,6 @@ GAPPY = f"""WITH RECURSIVE {GRID_CTES}, n AS (SELECT symbol, ts, CASE WHEN rn >
   FROM (SELECT *, row_number() OVER w AS rn FROM gappy {W}))"""
 
 
-# Most half hours have no bar: what the histories must bridge.
-MISSING = 2000
-
 
 def gappy_bars(spark, sf):
     late = columns_step(lambda f: {"close": F.when(f.rn > 2, F.col("close"))})
@@ -132,7 +129,7 @@ def recur_known(name: str, src: str, outs: dict[str, tuple[str, float, bool]]) -
     + " FROM n JOIN e USING (symbol, rn)",
 )
 def r1_gappy(spark, sf):
-    return over_series(gappy_bars(spark, sf), re_.ema("close", (2, 3, 9, 50), gap=MISSING))
+    return over_series(gappy_bars(spark, sf), re_.ema("close", (2, 3, 9, 50)))
 
 
 @query(
@@ -145,7 +142,7 @@ def r1_gappy(spark, sf):
   FROM n JOIN e USING (symbol, rn)""",
 )
 def r2_gappy(spark, sf):
-    return over_series(gappy_bars(spark, sf), re_.ema("close", (12, 26), adjusted=True, gap=MISSING))
+    return over_series(gappy_bars(spark, sf), re_.ema("close", (12, 26), adjusted=True))
 
 
 @query(
@@ -161,7 +158,7 @@ u AS (SELECT *, CASE WHEN diff IS NOT NULL THEN greatest(diff, 0) END AS up,
   JOIN n USING (symbol, rn)""",
 )
 def r5_gappy(spark, sf):
-    return over_series(gappy_bars(spark, sf), re_.rsi((14,), gap=MISSING))
+    return over_series(gappy_bars(spark, sf), re_.rsi((14,)))
 
 
 @query(

@@ -2,8 +2,8 @@
 
 Contract: averages start from the first value (``seed="first"``) or from the mean of the first n
 values (``seed="sma"``, null before). Wilder smoothing is the same recurrence with weight 1/n. A
-missing value keeps the average, and later values count for more by the gap (``plans.series.smooth``);
-``gap`` is how many missing rows a block's history has to bridge.
+missing value keeps the average, and later values count for more by the gap, however many rows are
+missing (``plans.series.smooth_gappy``).
 """
 
 from __future__ import annotations
@@ -14,15 +14,13 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import div, flag
 from barloom.operators.windows import true_range
-from barloom.plans.series import Smooth, Step, ema_history, ema_step, smooth, span_alpha, wilder_alpha
+from barloom.plans.series import Phase, Smooth, Step, ema_history, ema_step, recursive_step, span_alpha, wilder_alpha
 
 
-def ema(col="close", periods: Sequence[int] = (21,), *, seed="first", adjusted=False, prefix="ema", gap=0) -> Step:
+def ema(col="close", periods: Sequence[int] = (21,), *, seed="first", adjusted=False, prefix="ema") -> Step:
     return ema_step(
         {
-            f"{prefix}_{n}": Smooth(
-                col, span_alpha(n), adjusted=adjusted, sma_seed=n if seed == "sma" else 0, gap=gap
-            )
+            f"{prefix}_{n}": Smooth(col, span_alpha(n), adjusted=adjusted, sma_seed=n if seed == "sma" else 0)
             for n in periods
         }
     )
@@ -32,59 +30,57 @@ def ema_back(n: int) -> int:
     return ema_history(span_alpha(n))
 
 
-def wilder(col: str, n: int = 14, out: str | None = None, lead: int = 0, gap: int = 0) -> Step:
-    return ema_step({out or f"{col}_rma_{n}": Smooth(col, wilder_alpha(n), lead=lead, gap=gap)})
+def wilder(col: str, n: int = 14, out: str | None = None, lead: int = 0) -> Step:
+    return ema_step({out or f"{col}_rma_{n}": Smooth(col, wilder_alpha(n), lead=lead)})
 
 
 def macd(fast=12, slow=26, signal=9, *, adjusted=False, col="close") -> Step:
     """Line, signal line, histogram and which side the line is on."""
+    lines = {
+        "_mf": Smooth(col, span_alpha(fast), adjusted=adjusted),
+        "_ms": Smooth(col, span_alpha(slow), adjusted=adjusted),
+    }
 
-    def build(df, f):
-        df = smooth(
-            df,
-            f,
-            {
-                "_mf": Smooth(col, span_alpha(fast), adjusted=adjusted),
-                "_ms": Smooth(col, span_alpha(slow), adjusted=adjusted),
-            },
-        )
-        df = df.withColumn("macd", F.col("_mf") - F.col("_ms"))
-        df = smooth(df, f, {"macd_signal": Smooth("macd", span_alpha(signal), adjusted=adjusted)})
-        hist = F.col("macd") - F.col("macd_signal")
+    def line(df, f):
+        return df.withColumn("macd", F.col("_mf") - F.col("_ms")).drop("_mf", "_ms")
+
+    def sides(df, f):
         return df.withColumns(
             {
-                "macd_hist": hist,
+                "macd_hist": F.col("macd") - F.col("macd_signal"),
                 "macd_bullish": flag(F.col("macd") > F.col("macd_signal")),
                 "macd_bearish": flag(F.col("macd") < F.col("macd_signal")),
             }
-        ).drop("_mf", "_ms")
+        )
 
-    back = ema_back(max(fast, slow)) + ema_back(signal)
-    return Step(build, back, 0, "macd")
+    signal_line = {"macd_signal": Smooth("macd", span_alpha(signal), adjusted=adjusted)}
+    return recursive_step([Phase(outs=lines), Phase(line), Phase(outs=signal_line), Phase(sides)], [col], "macd")
 
 
-def rsi(periods: Sequence[int] = (14,), gap: int = 0) -> Step:
+def rsi(periods: Sequence[int] = (14,)) -> Step:
     """Relative strength from Wilder averages of gains and losses."""
 
-    def build(df, f):
+    def moves(df, f):
         diff = F.col("close") - f.lag("close")
         known = diff.isNotNull()
-        df = df.withColumns(
+        return df.withColumns(
             {
                 "_up": F.when(known, F.greatest(diff, F.lit(0.0))),
                 "_dn": F.when(known, F.greatest(-diff, F.lit(0.0))),
             }
         )
-        outs = {}
-        for n in periods:
-            outs[f"_g{n}"] = Smooth("_up", wilder_alpha(n), lead=1)
-            outs[f"_l{n}"] = Smooth("_dn", wilder_alpha(n), lead=1)
-        df = smooth(df, f, outs)
+
+    outs = {}
+    for n in periods:
+        outs[f"_g{n}"] = Smooth("_up", wilder_alpha(n), lead=1, skip=1)
+        outs[f"_l{n}"] = Smooth("_dn", wilder_alpha(n), lead=1, skip=1)
+
+    def ratio(df, f):
         return df.withColumns(
             {f"rsi_{n}": div(F.col(f"_g{n}"), F.col(f"_g{n}") + F.col(f"_l{n}")) * 100 for n in periods}
         ).drop("_up", "_dn", *outs)
 
-    return Step(build, 1 + ema_history(wilder_alpha(max(periods))) + 2 * gap, 0, "rsi")
+    return recursive_step([Phase(moves, back=1), Phase(outs=outs), Phase(ratio)], ["close"], "rsi")
 
 
 def rsi_momentum(col="rsi_14", n: int = 3, back: int | None = None) -> Step:
@@ -101,29 +97,34 @@ def rsi_momentum(col="rsi_14", n: int = 3, back: int | None = None) -> Step:
 def atr(n: int = 14, out="atr") -> Step:
     """Average true range, and as percent of the close."""
 
-    def build(df, f):
-        df = df.withColumn("true_range", true_range(f))
-        df = smooth(df, f, {out: Smooth("true_range", wilder_alpha(n), lead=1)})
+    def ranges(df, f):
+        return df.withColumn("true_range", true_range(f))
+
+    def percent(df, f):
         return df.withColumn(f"{out}_pct", div(F.col(out), F.col("close")) * 100)
 
-    return Step(build, 1 + ema_history(wilder_alpha(n)), 0, "atr")
+    outs = {out: Smooth("true_range", wilder_alpha(n), lead=1, skip=1)}
+    return recursive_step(
+        [Phase(ranges, back=1), Phase(outs=outs), Phase(percent)], ["high", "low", "close"], "atr"
+    )
 
 
 def adx(n: int = 14) -> Step:
     """Directional movement: +DI, -DI and their smoothed contrast."""
+    a = wilder_alpha(n)
 
-    def build(df, f):
+    def moves(df, f):
         up = F.col("high") - f.lag("high")
         down = f.lag("low") - F.col("low")
-        df = df.withColumns(
+        return df.withColumns(
             {
                 "_pdm": F.when((up > down) & (up > 0), up).when((up + down).isNotNull(), 0.0),
                 "_mdm": F.when((down > up) & (down > 0), down).when((up + down).isNotNull(), 0.0),
                 "_tr": true_range(f),
             }
         )
-        a = wilder_alpha(n)
-        df = smooth(df, f, {f"{x}s": Smooth(x, a, lead=1) for x in ("_pdm", "_mdm", "_tr")})
+
+    def contrast(df, f):
         df = df.withColumns(
             {
                 "plus_di": div(F.col("_pdms"), F.col("_trs")) * 100,
@@ -132,12 +133,22 @@ def adx(n: int = 14) -> Step:
         )
         total = F.col("plus_di") + F.col("minus_di")
         dx = F.coalesce(div(F.abs(F.col("plus_di") - F.col("minus_di")), total) * 100, F.lit(0.0))
-        df = df.withColumn("_dx", F.when(f.rn > 1, dx))
-        df = smooth(df, f, {"adx": Smooth("_dx", a, lead=1)})
-        df = df.withColumn("adx_change", F.col("adx") - f.lag("adx"))
-        return df.drop("_pdm", "_mdm", "_tr", "_pdms", "_mdms", "_trs", "_dx")
-
-    return Step(build, 2 + 2 * ema_history(wilder_alpha(n)), 0, "adx")
+        return df.withColumn("_dx", F.when(f.rn > 1, dx)).drop("_pdm", "_mdm", "_tr", "_pdms", "_mdms", "_trs")
+
+    def change(df, f):
+        return df.withColumn("adx_change", F.col("adx") - f.lag("adx")).drop("_dx")
+
+    return recursive_step(
+        [
+            Phase(moves, back=1),
+            Phase(outs={f"{x}s": Smooth(x, a, lead=1, skip=1) for x in ("_pdm", "_mdm", "_tr")}),
+            Phase(contrast),
+            Phase(outs={"adx": Smooth("_dx", a, lead=1)}),
+            Phase(change, back=1),
+        ],
+        ["high", "low", "close"],
+        "adx",
+    )
 
 
 def distance(average="ema_21", out="dist") -> Step:

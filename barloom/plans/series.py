@@ -18,7 +18,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barloom.plans.ordered import with_position
+from barloom.plans.ordered import null_safe_join, with_position
+from barloom.session import durable
 
 SUB_ROWS = 1024
 MIN_BLOCK = 8192
@@ -132,14 +133,27 @@ class Frame:
         return F.when(F.count(c).over(f) == n - start + 1, agg(c).over(f))
 
 
+@dataclass(frozen=True)
+class Phase:
+    """Part of a recursive step: columns of a bounded frame (``build``) or exponential averages (``outs``)."""
+
+    build: Callable[[DataFrame, Frame], DataFrame] | None = None
+    outs: Mapping[str, Smooth] | None = None
+    back: int = 0
+    ahead: int = 0
+
+
 @dataclass(frozen=True)
 class Step:
-    """One group of columns computed inside a layout."""
+    """One group of columns computed inside a layout. A step with exponential averages names its
+    ``phases`` and the columns it ``reads``, whose nulls decide how it is computed."""
 
     build: Callable[[DataFrame, Frame], DataFrame]
     back: int = 0
     ahead: int = 0
     name: str = field(default="step")
+    reads: tuple[str, ...] = ()
+    phases: tuple[Phase, ...] = ()
 
 
 def columns_step(make: Callable[[Frame], Mapping[str, Column]], back=0, ahead=0, name="step"):
@@ -147,6 +161,18 @@ def columns_step(make: Callable[[Frame], Mapping[str, Column]], back=0, ahead=0,
     return Step(lambda df, fr: df.withColumns(dict(make(fr))), back, ahead, name)
 
 
+def recursive_step(phases: Sequence[Phase], reads: Sequence[str], name: str) -> Step:
+    """Step of alternating frame columns and exponential averages."""
+
+    def build(df, fr):
+        for p in phases:
+            df = smooth(df, fr, p.outs) if p.outs else p.build(df, fr)
+        return df
+
+    back = sum(max((s.back for s in p.outs.values()), default=0) if p.outs else p.back for p in phases)
+    return Step(build, back, max((p.ahead for p in phases), default=0), name, tuple(reads), tuple(phases))
+
+
 def chain(*steps: Step, name="chain") -> Step:
     """Steps where each reads the columns of the ones before: their histories add up."""
 
@@ -155,7 +181,11 @@ def chain(*steps: Step, name="chain") -> Step:
             df = s.build(df, fr)
         return df
 
-    return Step(build, sum(s.back for s in steps), sum(s.ahead for s in steps), name)
+    phases: tuple[Phase, ...] = ()
+    if any(s.phases for s in steps):
+        phases = tuple(q for s in steps for q in (s.phases or (Phase(s.build, None, s.back, s.ahead),)))
+    reads = tuple(dict.fromkeys(c for s in steps for c in s.reads))
+    return Step(build, sum(s.back for s in steps), sum(s.ahead for s in steps), name, reads, phases)
 
 
 def lay_out(
@@ -195,19 +225,49 @@ def over_series(
     width: int | str | None = None,
     block_rows: int | None = None,
     position: str | None = None,
+    gaps: bool | None = None,
 ) -> DataFrame:
     """Apply steps inside one layout; ``position`` keeps the row number under that name.
 
     Steps may read columns of earlier steps as long as their own ``back`` covers the whole
     chain of rows behind them (``chain`` adds histories up).
+
+    Exponential averages share the layout where the columns they read hold no nulls; a count tells
+    (none is made where the schema rules nulls out). Over nulls a bounded history cannot tell how an
+    average stands, so there they run on states handed from block to block (``smooth_gappy``), and the
+    steps go one after another. ``gaps`` states whether there are nulls, in place of the count.
     """
-    back = max([s.back for s in steps], default=0)
-    ahead = max([s.ahead for s in steps], default=0)
     had_rn = "_rn" in df.columns
+    recursive = [s for s in steps if s.phases]
+    if recursive and (_has_gaps(df, recursive) if gaps is None else gaps):
+        if not had_rn:
+            df = with_position(df, keys=keys, order=order, ties=ties, width=width)
+        for i, (together, group) in enumerate(_grouped(df, steps)):
+            if not together:
+                df = _in_frames(df, group, keys, order, block_rows)
+                continue
+            # A round reads its input twice, for states and rows: later groups start from a written table.
+            df = durable(df) if i > 1 else df
+            for frames, outs in _rounds(group):
+                df = _in_frames(df, frames, keys, order, block_rows)
+                if outs:
+                    df = smooth_gappy(df, outs, keys=keys, order=order, block_rows=block_rows)
+        laid = df
+    else:
+        laid = _in_frames(df, steps, keys, order, block_rows, ties, width)
+    if position:
+        laid = laid.withColumn(position, F.col("_rn"))
+    return laid if had_rn else laid.drop("_rn")
+
+
+def _in_frames(df, steps, keys, order, block_rows, ties=(), width=None) -> DataFrame:
+    """Steps in one layout; the row number stays."""
+    if not steps and "_rn" in df.columns:
+        return df
     laid, frame = lay_out(
         df,
-        back=back,
-        ahead=ahead,
+        back=max([s.back for s in steps], default=0),
+        ahead=max([s.ahead for s in steps], default=0),
         keys=keys,
         order=order,
         ties=ties,
@@ -216,11 +276,49 @@ def over_series(
     )
     for s in steps:
         laid = s.build(laid, frame)
-    laid = laid.filter("_own")
-    if position:
-        laid = laid.withColumn(position, F.col("_rn"))
-    drop = ["_blk", "_own", "_sub"] + ([] if had_rn else ["_rn"])
-    return laid.drop(*drop)
+    return laid.filter("_own").drop("_blk", "_own", "_sub")
+
+
+def _grouped(df: DataFrame, steps: Sequence[Step]) -> list[tuple[bool, list[Step]]]:
+    """Steps in order, as runs of recursive ones that do not read each other's columns, and the rest."""
+    out: list[tuple[bool, list[Step]]] = []
+    have = set(df.columns)
+    for s in steps:
+        together = bool(s.phases)
+        if not out or out[-1][0] != together or (together and not set(s.reads) <= have):
+            out.append((together, []))
+        out[-1][1].append(s)
+    return out
+
+
+def _rounds(steps: Sequence[Step]) -> list[tuple[list[Step], dict[str, Smooth]]]:
+    """Phases of several recursive steps side by side: frame columns, then averages, and again."""
+    rounds: list[tuple[list[Step], dict[str, Smooth]]] = []
+    for s in steps:
+        at, closed = 0, False
+        for p in s.phases:
+            at, closed = (at + 1, False) if closed else (at, closed)
+            while len(rounds) <= at:
+                rounds.append(([], {}))
+            if p.outs:
+                rounds[at][1].update(p.outs)
+                closed = True
+            else:
+                rounds[at][0].append(Step(p.build, p.back, p.ahead))
+    return rounds
+
+
+def _has_gaps(df: DataFrame, steps: Sequence[Step]) -> bool:
+    """Does a column that recursive steps read hold nulls? Columns of earlier steps may."""
+    reads = {c for s in steps for c in s.reads}
+    if not reads <= set(df.columns):
+        return True
+    open_to = sorted(c for c in reads if df.schema[c].nullable)
+    if not open_to:
+        return False
+    known = [F.count(c) for c in open_to]
+    n, *found = df.agg(F.count(F.lit(1)), *known).first()
+    return any(k < n for k in found)
 
 
 # ---------------------------------------------------------------- exponential smoothing
@@ -245,124 +343,227 @@ def wilder_alpha(n: int) -> float:
 
 @dataclass(frozen=True)
 class Smooth:
-    """One exponential average: source column, weight, leading nulls, seeding, missing rows bridged."""
+    """One exponential average: source column, weight, leading nulls, seeding by a mean, and rows at a
+    halo's start whose source looks back beyond it (``skip``)."""
 
     source: str
     alpha: float
     lead: int = 0
     adjusted: bool = False
     sma_seed: int = 0
-    gap: int = 0
+    skip: int = 0
 
     @property
     def back(self) -> int:
-        return ema_history(self.alpha) + self.sma_seed + 2 * self.gap
+        return ema_history(self.alpha) + self.sma_seed
+
+    @property
+    def rate(self) -> float:
+        return decay_rate(self.alpha) if self.alpha < 1 else 1e4  # a weight of 1 forgets at once
 
+    def kept(self, rows: Column) -> Column:
+        """What a weight falls to in so many rows."""
+        return F.pow(F.lit(1.0 - self.alpha), rows)
 
-def smooth(df: DataFrame, fr: Frame, outs: Mapping[str, Smooth]) -> DataFrame:
-    """Exponential averages as quotients of scaled running sums.
 
-    The average of a row is the weighted mean of the known values up to it. A value's weight falls
-    by ``d = 1 - alpha`` per row, rows without a value included; the first known value weighs 1, later
-    ones ``alpha`` (``adjusted``: all weigh 1). Without nulls this is ``y[t] = d*y[t-1] + a*x[t]``. A
-    null keeps the last average, and nothing is known before the first known value.
-
-    Sums unroll to ``d^e * sum(x * d^-e)``. Slow decays fit one running sum over the block. Fast ones
-    would overflow, so they run per sub-block of ``SUB_ROWS`` and add the end of the sub-block before
-    it; anything older weighs < exp(-70). The fastest forget within some dozen rows, which are added
-    up one by one. A block starts at its halo, whose first known row stands for all history (weight
-    below 1e-17). That needs known rows in the halo: ``gap`` is the longest run of missing rows it
-    bridges; after longer ones the average may start anew at a block's border.
+def _decayed_sum(fr: Frame, name: str, term: str, s: Smooth) -> tuple[dict, dict, str]:
+    """Columns, later columns and expression of ``sum(term * d^(rows since))`` up to each row.
+
+    The sum unrolls to ``d^e * sum(term * d^-e)``. Slow decays fit one running sum over the block. Fast
+    ones would overflow, so they run per sub-block of ``SUB_ROWS`` and add the end of the sub-block
+    before it; anything older weighs < exp(-70). The fastest forget within some dozen rows, which are
+    added up one by one.
     """
-    seeds = {o: s for o, s in outs.items() if s.sma_seed and s.alpha < 1}
-    so_far = fr.over_rows(None, 0)
-    if seeds:
-        df = df.withColumns({f"_x_{o}": fr.roll(F.avg, s.source, s.sma_seed) for o, s in seeds.items()})
-        at = {
-            f"_f_{o}": F.expr(
-                f"min(CASE WHEN `_rn` > {s.lead} AND `_x_{o}` IS NOT NULL THEN `_rn` END) {so_far}"
-            )
-            for o, s in seeds.items()
-        }
-        df = df.withColumns(at)
     base = f"greatest(0, `_blk` * {fr.block_rows} - {fr.back})"
+    rate, alpha = s.rate, s.alpha
+    direct = rate * fr.span <= SAFE_EXP
+    if not direct and rate * SUB_ROWS > 690:
+        parts = [
+            f"coalesce(lag({term}, {i}) OVER ({fr.over}), 0D) * {(1.0 - alpha) ** i!r}D"
+            for i in range(math.ceil(TAIL / rate), 0, -1)
+        ]
+        return {name: F.expr(" + ".join([*parts, f"coalesce({term}, 0D)"]))}, {}, f"`{name}`"
     keys = ", ".join(f"`{k}`" for k in (*fr.keys, "_blk", "_sub"))
     in_sub = f"OVER (PARTITION BY {keys} ORDER BY `_rn` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    level, late, exact, final, temporary = {}, {}, {}, {}, []
-    begun: dict[str, int] = {}
+    e = f"(`_rn` - {base})" if direct else f"((`_rn` - 1) % {SUB_ROWS})"
+    over = fr.over_rows(None, 0) if direct else in_sub
+    level = {name: F.expr(f"exp({e} * -{rate!r}D) * sum(({term}) * exp({e} * {rate!r}D)) {over}")}
+    if direct:
+        return level, {}, f"coalesce(`{name}`, 0D)"
+    if rate * SUB_ROWS < 36:
+        raise ValueError("pass a smaller block_rows for this mix of smoothing lengths")
+    end = f"CASE WHEN `_rn` % {SUB_ROWS} = 0 THEN coalesce(`{name}`, 0D) END"
+    late = {f"{name}_c": F.expr(f"last_value({end}, true) {fr.over_rows(None, -1)}")}
+    carried = f"coalesce(exp(({e} + 1) * -{rate!r}D) * `{name}_c`, 0D)"
+    return level, late, f"(coalesce(`{name}`, 0D) + {carried})"
+
+
+def smooth(df: DataFrame, fr: Frame, outs: Mapping[str, Smooth]) -> DataFrame:
+    """Exponential averages ``y[t] = d*y[t-1] + a*x[t]`` of sources without nulls after ``lead`` rows.
+
+    One decayed sum per average; what the weights add up to is known from the row number alone. A
+    block starts at its halo, whose first row stands for all history (weight below 1e-17).
+    """
+    so_far = fr.over_rows(None, 0)
+    base = f"greatest(0, `_blk` * {fr.block_rows} - {fr.back})"
+    seeds = {
+        f"_x_{o}": fr.roll(F.avg, s.source, s.sma_seed) for o, s in outs.items() if s.sma_seed and s.alpha < 1
+    }
+    df = df.withColumns(seeds) if seeds else df
+    level, late, final, temporary = {}, {}, {}, [*seeds]
+    begun: dict[str, str] = {}
     for out, s in outs.items():
+        first = f"(greatest({base} + {s.skip}, {s.lead}L) + {max(s.sma_seed, 1)})"
         if s.alpha >= 1:
-            known = f"CASE WHEN `_rn` > {s.lead} THEN `{s.source}` END"
-            final[out] = F.expr(f"last_value({known}, true) {so_far}")
+            final[out] = F.expr(f"CASE WHEN `_rn` > {s.lead} THEN `{s.source}` END")
             continue
-        rate = decay_rate(s.alpha)
-        if s.sma_seed:
-            x = f"CASE WHEN `_rn` = `_f_{out}` THEN `_x_{out}` WHEN `_rn` > `_f_{out}` THEN `{s.source}` END"
-        elif s.lead:
-            x = f"CASE WHEN `_rn` > {s.lead} THEN `{s.source}` END"
-        else:
+        start = f"`_x_{out}`" if s.sma_seed else f"`{s.source}`"
+        x = f"CASE WHEN `_rn` = {first} THEN {start} WHEN `_rn` > {first} THEN `{s.source}` END"
+        if not (s.lead or s.skip or s.sma_seed):
             x = f"`{s.source}`"
-        one = f"CASE WHEN {x} IS NOT NULL THEN 1D END"
-        terms = {"n": x, "d": one}
-        direct = rate * fr.span <= SAFE_EXP
-        if direct or rate * SUB_ROWS <= 690:
-            e = f"(`_rn` - {base})" if direct else f"((`_rn` - 1) % {SUB_ROWS})"
-            over = so_far if direct else in_sub
-            for k, t in terms.items():
-                level[f"_{k}_{out}"] = F.expr(
-                    f"exp({e} * -{rate!r}D) * sum(({t}) * exp({e} * {rate!r}D)) {over}"
-                )
-                if not direct:
-                    if rate * SUB_ROWS < 36:
-                        raise ValueError("pass a smaller block_rows for this mix of smoothing lengths")
-                    end = f"CASE WHEN `_rn` % {SUB_ROWS} = 0 THEN coalesce(`_{k}_{out}`, 0D) END"
-                    late[f"_c_{k}_{out}"] = F.expr(f"last_value({end}, true) {fr.over_rows(None, -1)}")
-            carry = None if direct else f"exp(({e} + 1) * -{rate!r}D)"
-        else:
-            reach = math.ceil(TAIL / rate)
-            for k, t in terms.items():
-                parts = [
-                    f"coalesce(lag({t}, {i}) OVER ({fr.over}), 0D) * {math.exp(-rate * i)!r}D"
-                    for i in range(1, reach + 1)
-                ]
-                level[f"_{k}_{out}"] = F.expr(" + ".join([f"coalesce({t}, 0D)", *parts]))
-            carry = None
-        sums = {
-            k: f"coalesce(`_{k}_{out}`, 0D)"
-            + (f" + coalesce({carry} * `_c_{k}_{out}`, 0D)" if carry else "")
-            for k in terms
-        }
-        temporary += [f"_n_{out}", f"_d_{out}"]
-        if carry:
-            temporary += [f"_c_n_{out}", f"_c_d_{out}"]
-        if not s.adjusted and x not in begun:  # the first known value and its row, once per source
-            k = begun[x] = len(begun)
-            level[f"_v_{k}"] = F.expr(f"first_value({x}, true) {so_far}")
-            level[f"_w_{k}"] = F.expr(f"min(CASE WHEN {x} IS NOT NULL THEN `_rn` END) {so_far}")
-            temporary += [f"_v_{k}", f"_w_{k}"]
+        columns, later, total = _decayed_sum(fr, f"_n_{out}", x, s)
+        level.update(columns)
+        late.update(later)
+        temporary += [*columns, *later]
+        ahead = f"exp((`_rn` - {first} + 1) * -{s.rate!r}D)"
         if s.adjusted:
-            y = f"({sums['n']}) / nullif({sums['d']}, 0D)"
+            y = f"{total} * {s.alpha!r}D / (1D - {ahead})"
         else:
-            k = begun[x]
-            rest = f"{1.0 - s.alpha!r}D * exp((`_rn` - `_w_{k}`) * -{rate!r}D)"
-            y = (
-                f"CASE WHEN `_rn` = `_w_{k}` THEN `_v_{k}` ELSE"
-                f" ({s.alpha!r}D * ({sums['n']}) + {rest} * `_v_{k}`)"
-                f" / nullif({s.alpha!r}D * ({sums['d']}) + {rest}, 0D) END"
-            )
-        if direct:
-            final[out] = F.expr(y)
-        else:  # exact where a value is known; other rows keep the last one
-            exact[f"_y_{out}"] = F.expr(f"CASE WHEN {x} IS NOT NULL THEN {y} END")
-            final[out] = F.expr(f"last_value(`_y_{out}`, true) {so_far}")
-            temporary.append(f"_y_{out}")
-    for stage in (level, late, exact):
+            if x not in begun:
+                begun[x] = f"_v_{len(begun)}"
+                level[begun[x]] = F.expr(f"first_value({x}, true) {so_far}")
+                temporary.append(begun[x])
+            v = f"`{begun[x]}`"
+            y = f"CASE WHEN `_rn` = {first} THEN {v} ELSE {s.alpha!r}D * {total} + {ahead} * {v} END"
+        final[out] = F.expr(f"CASE WHEN `_rn` >= {first} THEN {y} END")
+    for stage in (level, late):
         df = df.withColumns(stage) if stage else df
-    drop = [*temporary, *[f"_x_{o}" for o in seeds], *[f"_f_{o}" for o in seeds]]
-    return df.withColumns(final).drop(*drop)
+    return df.withColumns(final).drop(*temporary)
+
+
+def smooth_gappy(
+    df: DataFrame,
+    outs: Mapping[str, Smooth],
+    *,
+    keys: Sequence[str] = ("symbol",),
+    order: str = "ts",
+    block_rows: int | None = None,
+) -> DataFrame:
+    """Exponential averages over sources with nulls, for rows that have their position (``_rn``).
+
+    The average of a row is the weighted mean of the known values up to it. A value's weight falls
+    by ``d = 1 - alpha`` per row, rows without a value included; the first known value weighs 1, later
+    ones ``alpha`` (``adjusted``: all weigh 1). A null keeps the last average, however long the run, and
+    nothing is known before the first known value.
+
+    A block of rows reduces to the state at its last known row: position, weighted sum and weight.
+    Two states in a row make one (the earlier one decays by the rows between); a block starts from the
+    state of all before it. States are one row per block, and only so many of the last ones count as
+    a decay of 1e-17 takes.
+    """
+    keys = list(keys)
+    size = block_rows or MIN_BLOCK
+    seeded = {o: s for o, s in outs.items() if s.sma_seed and s.alpha < 1}
+    if seeded:
+        means = columns_step(
+            lambda f: {f"_x_{o}": f.roll(F.avg, s.source, s.sma_seed) for o, s in seeded.items()},
+            back=max(s.sma_seed for s in seeded.values()),
+        )
+        df = _in_frames(df, [means], keys, order, block_rows)
+        at = [
+            F.min(F.when(F.col(f"_x_{o}").isNotNull() & (F.col("_rn") > s.lead), F.col("_rn"))).alias(f"_f_{o}")
+            for o, s in seeded.items()
+        ]
+        df = null_safe_join(df, df.groupBy(*keys).agg(*at), keys)
+    rows, fr = lay_out(df, back=0, ahead=0, keys=keys, order=order, block_rows=size)
+    level, late, sums, known = {}, {}, {}, {}
+    for o, s in outs.items():
+        x = f"`{s.source}`"
+        if o in seeded:
+            x = f"CASE WHEN `_rn` = `_f_{o}` THEN `_x_{o}` WHEN `_rn` > `_f_{o}` THEN {x} END"
+        elif s.lead:
+            x = f"CASE WHEN `_rn` > {s.lead} THEN {x} END"
+        known[o] = F.expr(x).cast("double")
+        for part, term in (("n", x), ("d", f"CASE WHEN {x} IS NOT NULL THEN 1D END")):
+            columns, later, total = _decayed_sum(fr, f"_{part}_{o}", term, s)
+            level.update(columns)
+            late.update(later)
+            sums[part, o] = F.expr(total)
+    for stage in (level, late):
+        rows = rows.withColumns(stage) if stage else rows
+    rows = rows.withColumns(
+        {f"_k_{o}": F.when(known[o].isNotNull(), _state("_rn", sums["n", o], sums["d", o], known[o])) for o in outs}
+    ).drop(*level, *late)
+
+    states = rows.groupBy(*keys, "_blk").agg(
+        *[F.max(f"_k_{o}").alias(f"_e_{o}") for o in outs],
+        *[F.min(F.when(F.col(f"_k_{o}").isNotNull(), _first(F.col(f"_k_{o}")))).alias(f"_w_{o}") for o in outs],
+    )
+    by_block = Window.partitionBy(*keys).orderBy("_blk")
+    ends, starts, firsts = {}, {}, {}
+    for o, s in outs.items():
+        e = F.col(f"_e_{o}")
+        last = math.ceil(ema_history(s.alpha) / size) + 1
+        among = Window.partitionBy(*keys, e.isNull()).orderBy("_blk").rowsBetween(-last, 0)
+        ends[f"_e_{o}"] = F.when(e.isNotNull(), F.struct(F.collect_list(e).over(among).alias("l"), e.alias("e")))
+        firsts[f"_w_{o}"] = F.min(f"_w_{o}").over(Window.partitionBy(*keys))
+        starts[f"_a_{o}"] = F.last(_together(F.col(f"_e_{o}"), s), True).over(
+            by_block.rowsBetween(Window.unboundedPreceding, -1)
+        )
+    states = states.withColumns(ends).withColumns(starts | firsts)
+    states = states.select(*keys, "_blk", *starts, *firsts)
+    rows = null_safe_join(rows, states, [*keys, "_blk"])
+
+    exact, final = {}, {}
+    for o, s in outs.items():
+        k, a, w = F.col(f"_k_{o}"), F.col(f"_a_{o}"), F.col(f"_w_{o}")
+        decay = s.kept(k["rn"] - a["rn"])
+        n = k["n"] + F.coalesce(a["n"] * decay, F.lit(0.0))
+        d = k["d"] + F.coalesce(a["d"] * decay, F.lit(0.0))
+        exact[f"_y_{o}"] = _average(s, k["rn"], n, d, w)
+        final[o] = F.coalesce(
+            F.expr(f"last_value(`_y_{o}`, true) {fr.over_rows(None, 0)}"), _average(s, a["rn"], a["n"], a["d"], w)
+        )
+    temporary = [f"_{p}_{o}" for p in "kawy" for o in outs] + [f"_{p}_{o}" for p in "xf" for o in seeded]
+    return rows.withColumns(exact).withColumns(final).drop(*temporary, "_blk", "_own", "_sub")
+
+
+def _state(rn: str, n: Column, d: Column, x: Column) -> Column:
+    return F.struct(F.col(rn).alias("rn"), n.alias("n"), d.alias("d"), x.alias("x"))
+
+
+def _first(known: Column) -> Column:
+    return F.struct(known["rn"].alias("rn"), known["x"].alias("x"))
+
+
+def _together(known: Column, s: Smooth) -> Column:
+    """State at the end of a block (``e``) with those before it (``l``, its own included)."""
+
+    def total(part: str) -> Column:
+        return F.aggregate(
+            known["l"],
+            F.lit(0.0),
+            lambda sum_, k: sum_ + k[part] * s.kept(known["e"]["rn"] - k["rn"]),
+        )
+
+    return F.when(
+        known.isNotNull(),
+        F.struct(known["e"]["rn"].alias("rn"), total("n").alias("n"), total("d").alias("d")),
+    )
+
+
+def _average(s: Smooth, rn: Column, n: Column, d: Column, first: Column) -> Column:
+    """Average at a known row from its weighted sum and weight; the first known row weighs 1."""
+    if s.adjusted:
+        return n / d
+    rest = s.kept(rn - first["rn"] + 1)
+    return F.when(rn == first["rn"], first["x"]).otherwise(
+        (s.alpha * n + rest * first["x"]) / (s.alpha * d + rest)
+    )
 
 
 def ema_step(outs: Mapping[str, Smooth], name="ema", back: int = 0) -> Step:
     """Step computing exponential averages; ``back`` is the history of the sources."""
-    need = max(s.back for s in outs.values())
-    return Step(lambda df, fr: smooth(df, fr, outs), need + back, 0, name)
+    reads = dict.fromkeys(s.source for s in outs.values())
+    found = recursive_step([Phase(outs=outs)], tuple(reads), name)
+    return Step(found.build, found.back + back, 0, name, found.reads, found.phases)

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.plans.ordered import bucket_of, fit_width, last_known, running, with_position
+from barloom.operators import recursive as re_
 from barloom.plans.series import Smooth, columns_step, ema_step, over_series, span_alpha
 
 
@@ -105,7 +106,7 @@ def test_smoothing_matches_recurrence(walk, block):
         assert o["sma"].values[:8].size == 0 or np.isnan(o["sma"].values[:8].astype(float)).all()
 
 
-@pytest.mark.parametrize("block", [3000, None])
+@pytest.mark.parametrize("block", [150, 3000, None])
 def test_smoothing_over_nulls(spark, walk, block):
     pdf, _ = walk
     rng = np.random.default_rng(8)
@@ -114,8 +115,8 @@ def test_smoothing_over_nulls(spark, walk, block):
     hole |= (pdf.groupby("symbol").cumcount() % 600).between(590, 605)
     pdf["x"] = pdf["x"].where(~hole)
     spans = {"e2": 2, "e3": 3, "e9": 9, "e50": 50, "e200": 200}
-    outs = {n: Smooth("x", span_alpha(k), gap=600) for n, k in spans.items()}
-    outs["adj"] = Smooth("x", span_alpha(12), adjusted=True, gap=600)
+    outs = {n: Smooth("x", span_alpha(k)) for n, k in spans.items()}
+    outs["adj"] = Smooth("x", span_alpha(12), adjusted=True)
     df = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
     out = over_series(df, ema_step(outs), block_rows=block).toPandas().sort_values(["symbol", "ts"])
     for sym, g in pdf.groupby("symbol"):
@@ -133,6 +134,100 @@ def test_smoothing_over_nulls(spark, walk, block):
         np.testing.assert_allclose(o["adj"].astype(float), g["x"].ewm(span=12).mean(), rtol=1e-9)
 
 
+def recurrence(x, alpha, adjusted=False):
+    """Weighted mean of the known values, row by row."""
+    num = den = 0.0
+    out = []
+    for v in x:
+        num, den = num * (1 - alpha), den * (1 - alpha)
+        if not np.isnan(v):
+            num, den = num + (alpha if den and not adjusted else 1.0) * v, den + (alpha if den and not adjusted else 1.0)
+        # Sums of a long run fade together; their quotient must not.
+        if 0 < den < 1e-200:
+            num, den = num * 1e200, den * 1e200
+        out.append(num / den if den else np.nan)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("block", [700, None])
+def test_runs_of_nulls_over_many_blocks(spark, block):
+    """3,000 rows missing in 9,000: every indicator equals its row-by-row form, whatever the blocks."""
+    n = 9000
+    rng = np.random.default_rng(5)
+    close = 100 + rng.normal(0, 1, n).cumsum()
+    high, low = close + rng.random(n), close - rng.random(n)
+    gone = np.zeros(n, dtype=bool)
+    gone[:3] = gone[3000:6000] = gone[6005:6900] = True
+    bars = pd.DataFrame({"symbol": "A", "ts": pd.date_range("2024-01-01", periods=n, freq="5min")})
+    for c, v in (("close", close), ("high", high), ("low", low)):
+        bars[c] = np.where(gone, np.nan, v)
+    df = spark.createDataFrame(bars)
+    df = df.select("symbol", "ts", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("close", "high", "low")])
+    got = over_series(
+        df,
+        re_.ema("close", (3, 21, 200)),
+        re_.ema("close", (12,), adjusted=True, prefix="adj"),
+        re_.ema("close", (9,), seed="sma", prefix="sma"),
+        re_.macd(),
+        re_.rsi((14,)),
+        re_.rsi_momentum(),
+        re_.atr(),
+        re_.adx(),
+        re_.distance("ema_21"),
+        block_rows=block,
+        position="at",
+    ).toPandas()
+    got = got.sort_values("ts").reset_index(drop=True).astype({c: float for c in got.columns[2:]})
+    assert (got["at"].values == np.arange(1, n + 1)).all()
+
+    def same(name, want):
+        np.testing.assert_allclose(got[name], want, rtol=1e-8, atol=1e-9, err_msg=name)
+
+    x = bars["close"].values
+    for k in (3, 21, 200):
+        same(f"ema_{k}", recurrence(x, span_alpha(k)))
+    same("adj_12", recurrence(x, span_alpha(12), adjusted=True))
+    first = 3 + 8  # nine known rows from the fourth on
+    seeded = x.copy()
+    seeded[:first], seeded[first] = np.nan, x[3 : first + 1].mean()
+    same("sma_9", recurrence(seeded, span_alpha(9)))
+    line = recurrence(x, span_alpha(12)) - recurrence(x, span_alpha(26))
+    same("macd", line)
+    same("macd_signal", recurrence(line, span_alpha(9)))
+    diff = np.append(np.nan, np.diff(x))
+    gain, loss = np.where(np.isnan(diff), np.nan, np.maximum(diff, 0)), np.where(np.isnan(diff), np.nan, np.maximum(-diff, 0))
+    a, b = recurrence(gain, 1 / 14), recurrence(loss, 1 / 14)
+    rsi = 100 * a / (a + b)
+    same("rsi_14", rsi)
+    same("rsi_momentum", rsi - np.append([np.nan] * 3, rsi[:-3]))
+    before = np.append(np.nan, x[:-1])
+    h, lo = bars["high"].values, bars["low"].values
+    spread = np.vstack([h - lo, np.abs(h - before), np.abs(lo - before)])
+    tr = np.where(np.isnan(spread).all(axis=0), np.nan, np.nanmax(np.where(np.isnan(spread), -1, spread), axis=0))
+    tr[np.isnan(before)] = np.nan
+    atr = recurrence(tr, 1 / 14)
+    same("atr", atr)
+    up, down = np.append(np.nan, np.diff(h)), np.append(np.nan, -np.diff(lo))
+    known = ~np.isnan(up + down)
+    p = np.where(known, np.where((up > down) & (up > 0), up, 0.0), np.nan)
+    m = np.where(known, np.where((down > up) & (down > 0), down, 0.0), np.nan)
+    plus, minus = 100 * recurrence(p, 1 / 14) / atr, 100 * recurrence(m, 1 / 14) / atr
+    same("plus_di", plus)
+    dx = np.nan_to_num(100 * np.abs(plus - minus) / (plus + minus))
+    dx[0] = np.nan
+    same("adx", recurrence(dx, 1 / 14))
+    same("dist", x - recurrence(x, span_alpha(21)))
+
+
+def test_a_stated_or_proven_absence_of_nulls_is_not_counted(spark, walk):
+    _, df = walk
+    step = ema_step({"e": Smooth("x", span_alpha(8))})
+    asked = over_series(df, step).orderBy("symbol", "ts").collect()
+    for gaps in (False, True):
+        told = over_series(df, step, gaps=gaps).orderBy("symbol", "ts").collect()
+        np.testing.assert_allclose([r.e for r in told], [r.e for r in asked], rtol=1e-11)
+
+
 def test_one_null_keeps_a_constant(spark):
     rows = [("A", dt.datetime(2024, 1, 1, 0, i), None if i in (0, 1, 5) else 10.0) for i in range(9)]
     df = spark.createDataFrame(rows, "symbol string, ts timestamp, x double")
