@@ -121,6 +121,9 @@ class Encoder:
             self.width[i] = len(token)
         self.known: dict[str, bytes] = {}
 
+    def token_bytes(self) -> dict[int, bytes]:
+        return {i: to_bytes(t) for t, i in self.library.get_vocab().items()}
+
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces not seen yet, some thousand in one call of the library."""
         new = list(pieces.difference(self.known))
@@ -184,10 +187,12 @@ def encode(
     pattern: str = PATTERN,
     into: str = "tokens",
     offsets: bool = False,
+    decoded: bool = False,
 ) -> DataFrame:
     """Add a struct column ``into``: ``ids`` (packed little-endian unsigned 32-bit integers),
     ``n`` (tokens), ``n_split`` (tokens that begin or end inside a character) and, on request,
-    ``starts`` and ``ends`` (characters, packed the same way). Other columns stay.
+    ``starts`` and ``ends`` (characters, packed the same way) and ``decoded`` (the bytes that the ids
+    give back, by the same worker). Other columns stay.
 
     The model (a few MB, bounded by the vocabulary) is broadcast; the path is read on the driver.
     """
@@ -198,6 +203,8 @@ def encode(
     fields = "ids binary, n bigint, n_split bigint"
     if offsets:
         fields += ", starts binary, ends binary"
+    if decoded:
+        fields += ", decoded binary"
 
     def run(texts: pa.Array) -> pa.Array:
         enc = per_worker(("encoder", ident), lambda: Encoder(shared.value.decode(), pattern))
@@ -220,6 +227,9 @@ def encode(
         }
         if offsets:
             columns |= {"starts": pa.array(starts, pa.binary()), "ends": pa.array(ends, pa.binary())}
+        if decoded:
+            words = per_worker(("decoder", ident), enc.token_bytes)
+            columns["decoded"] = pa.array([join_tokens(words, ids) for ids in packed], pa.binary())
         return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 
     return df.withColumn(into, F.arrow_udf(in_slices(run), f"struct<{_ddl(fields)}>")(text_of(text)))
@@ -237,11 +247,7 @@ def decode(df: DataFrame, path: str, ids: str = "tokens.ids", into: str = "decod
 
     def run(packed: pa.Array) -> pa.Array:
         words = per_worker(("decoder", ident), lambda: token_bytes(shared.value))
-        out = [
-            b"".join(map(words.__getitem__, np.frombuffer(p, dtype="<u4").tolist()))
-            for p in packed.to_pylist()
-        ]
-        return pa.array(out, pa.binary())
+        return pa.array([join_tokens(words, p) for p in packed.to_pylist()], pa.binary())
 
     packed = F.coalesce(F.col(ids), F.lit(b"").cast("binary"))
     return df.withColumn(into, F.arrow_udf(in_slices(run), "binary")(packed))
@@ -253,6 +259,11 @@ def vocabulary(path: str) -> bytes:
     return json.dumps({to_characters(t): r for t, r in read_ranks(path).items()}).encode()
 
 
+def join_tokens(words: dict[int, bytes], packed: bytes) -> bytes:
+    """The bytes that packed ids stand for."""
+    return b"".join(map(words.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
+
+
 def token_bytes(tokens: bytes) -> dict[int, bytes]:
     return {i: to_bytes(t) for t, i in json.loads(tokens).items()}
 

@@ -9,12 +9,13 @@ numbered by buckets of the turn number, whose counts combine on the map side.
 Defined cases: turns are ordered by turn number (nulls last), then speaker, then text; a null role is
 the speaker ``unknown``; a null text is empty; a null conversation id is a conversation of its own; a
 conversation with system turns only has no participant and gives no row; repeated rows are repeated
-turns; control marks inside a text are broken by a space. Other columns are not read.
+turns; control marks inside a text or a name are broken by a
+space, and line ends inside a name become one. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT_TURNS = 512
@@ -23,9 +24,14 @@ SYSTEM = "system"
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+def escaped(value: str | Column) -> Column:
+    """A string in which nothing reads as a control mark."""
+    return F.replace(F.col(value) if isinstance(value, str) else value, F.lit("<|im_"), F.lit("<| im_"))
+
+
 def turns(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """Messages with their position in the conversation, from 0."""
-    body = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
+    body = escaped(F.coalesce(F.col(text), F.lit("")))
     rows = df.select(
         F.col(conv).alias("c"),
         F.col(turn).alias("t"),
@@ -66,7 +72,7 @@ def rotate(
     name = (
         F.when(mine, F.lit("assistant"))
         .when(F.col("who") == SYSTEM, F.lit(SYSTEM))
-        .otherwise(F.concat(F.lit("user name="), "who"))
+        .otherwise(F.concat(F.lit("user name="), F.regexp_replace(escaped("who"), "[\\r\\n]+", " ")))
     )
     rows = said.join(people, said["c"].eqNullSafe(people["pc"])).select(
         "c",
@@ -116,7 +122,7 @@ m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST
 p AS (SELECT DISTINCT conv_id, who AS me FROM t WHERE who <> 'system'),
 r AS (SELECT m.conv_id, p.me, m.pos // {SEGMENT_TURNS} AS seg, m.pos, m.who = p.me AS mine,
              '{START}' || CASE WHEN m.who = p.me THEN 'assistant' WHEN m.who = 'system' THEN 'system'
-                          ELSE 'user name=' || m.who END || chr(10) AS head, m.body || '{END}' AS tail
+                          ELSE 'user name=' || regexp_replace(replace(m.who, '<|im_', '<| im_'), '[\\r\\n]+', ' ', 'g') END || chr(10) AS head, m.body || '{END}' AS tail
       FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
 s AS (SELECT *, sum(length(head) + length(tail) + 1) OVER (PARTITION BY conv_id, me, seg ORDER BY pos) AS stop FROM r),
 g AS (SELECT conv_id, me AS speaker, seg, count(*) AS n_turns, max(stop) AS size,

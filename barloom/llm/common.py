@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -27,12 +29,32 @@ def per_worker(key: Any, make: Callable[[], Any]) -> Any:
     held = _WORKER.get(kind)
     if held is None or held[0] != ident:
         stage = _TOGETHER.get(kind, kind)
-        for other in [k for k in _WORKER if _TOGETHER.get(k, k) != stage]:
+        others = [k for k in _WORKER if _TOGETHER.get(k, k) != stage]
+        for other in others:
             del _WORKER[other]
+        if others:
+            give_back()
         held = _WORKER[kind] = (ident, make())
     return held[1]
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker outlives its stage, and shares its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

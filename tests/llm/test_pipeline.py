@@ -70,3 +70,22 @@ def test_stages_take_odd_and_empty_tables(spark, docs, no_docs, name):
     out = stage(spark, own, sf).collect()
     assert out and {r.doc_id for r in out} <= {r.doc_id for r in own.collect()}
     assert stage(spark, no_docs, sf).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES[:-1]])
+def test_stages_keep_columns_with_names_like_their_own(spark, docs, name):
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for c in ("_score", "_lines", "_mix", "_row", "_k", "_d"):
+        own = own.withColumn(c, cp.F.lit("x"))
+    out = dict(cp.STAGES)[name](spark, own, "/root/testdata/sf0.001")
+    assert out.columns == own.columns
+    assert all(r[c] == "x" for r in out.collect() for c in ("_score", "_lines", "_mix", "_row", "_k", "_d"))
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "en", "s", 1), (2, b, "en", "s", 1), (2, a, "en", "s", 1), (3, b, "en", "t", 1), (3, b, "en", "s", 1)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    for order in (rows, rows[::-1]):
+        out = cp.keep_one_of_each_group(spark, spark.createDataFrame(order, schema), "/root/testdata/sf0.001")
+        assert sorted((r.doc_id, r.text, r.source) for r in out.collect()) == [(1, a, "s"), (2, b, "s")]
