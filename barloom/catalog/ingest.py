@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from barloom.catalog.base import BARS, bars, bars_sql, day_bars, DAY_BARS, query
 from barloom.catalog.base import W
 from barloom.operators.metrics import hourly_rate
 from barloom.plans.series import columns_step, over_series
+from barloom.session import set_checkpoint_folder
 from barloom.sources import files
 from barloom.sources.ticks import last_tick, ticks_to_bars
 
@@ -18,13 +18,12 @@ OHLCV_COLS = "symbol ts open:d high:d low:d close:d volume:d"
 
 
 def shared_folder(spark, name: str) -> str:
-    """Scratch place for write-then-read queries: under the checkpoint folder the cluster names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not base:
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp") + f"/{name}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Scratch place for write-then-read queries, in the folder that checkpoints use: an error on a
+    cluster that names none."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        set_checkpoint_folder(spark)
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 @query(

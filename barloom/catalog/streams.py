@@ -13,9 +13,10 @@ from barloom.catalog.signals import SMOOTH, scored
 from barloom.catalog.validation import BROKEN_CTE, broken
 from barloom.catalog.windows import TR, lag
 from barloom.operators import signals as sg
+from barloom.session import durable
 from barloom.streaming import bars as sb
 from barloom.streaming import state as ss
-from barloom.streaming.replay import file_stream, replay, run_batches
+from barloom.streaming.replay import file_stream, replay, run_batches, run_to_table
 
 
 def event_ticks(spark, sf):
@@ -25,21 +26,26 @@ def event_ticks(spark, sf):
     return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
-def written_stream(spark, df, name, parts=3):
-    """A derived table written in time order as a few files and read back as a stream."""
+def in_spans(spark, df, name, build, parts=3, sink=None):
+    """Replay a derived table: equal spans of its time arrive one after another, each as many files
+    in any order and taken as a micro-batch, on one checkpoint. Returns the output (or the folder,
+    where ``sink`` takes the batches) and all progress reports."""
     folder = shared_folder(spark, name)
-    data = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    data = durable(df.withColumn("ts", F.col("ts").cast("timestamp")))
     second = F.unix_timestamp("ts")
     first, last = data.agg(F.min(second), F.max(second)).first()
-    if first is None:
-        data.write.mode("append").parquet(f"{folder}/in")
-        return file_stream(spark, f"{folder}/in", data.schema), folder
-    # Equal spans of time, whatever period the table covers; one file each, as files of a span
-    # would arrive in any order.
-    span = F.floor((second - first) * parts / (last - first + 1))
-    for i in range(parts):
-        data.filter(span == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return file_stream(spark, f"{folder}/in", data.schema), folder
+    span = F.lit(0) if first is None else F.floor((second - first) * parts / (last - first + 1))
+    stream, reports = None, []
+    for i in range(1 if first is None else parts):
+        data.filter(span == i).write.parquet(f"{folder}/in/part={i}")
+        stream = stream or build(file_stream(spark, f"{folder}/in", data.schema, files=ALL))
+        if sink is None:
+            reports += run_to_table(stream, f"{folder}/run")
+        else:
+            run_batches(stream, f"{folder}/run", lambda rows, k: sink(folder, rows, k))
+    if sink is not None:
+        return folder, reports
+    return spark.read.schema(stream.schema).parquet(f"{folder}/run/out"), reports
 
 
 def wall(df, *cols):
@@ -47,6 +53,11 @@ def wall(df, *cols):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
 
 
+#: Files of one micro-batch: all there are.
+ALL = 1_000_000
+#: Rows of a result that the watermark of ten minutes has passed.
+PASSED = "WITH RECURSIVE told AS ({}) SELECT * FROM told WHERE ts <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM told)"
+
 CLOSED = ", mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events) "
 
 
@@ -79,31 +90,39 @@ def z1s(spark, sf):
     f"WITH {REPEATS_CTE} SELECT DISTINCT symbol, ts FROM rep",
 )
 def z2(spark, sf):
-    s, folder = written_stream(spark, bars_with_repeats(spark, sf).select("symbol", "ts"), "z2", parts=1)
-    return wall(replay(sb.stream_dedup(s), f"{folder}/run"), "ts")
+    rows = bars_with_repeats(spark, sf).select("symbol", "ts")
+    return wall(in_spans(spark, rows, "z2", sb.stream_dedup)[0], "ts")
 
 
-@query("z3_late_rows", None, None)
+@query(
+    "z3_late_rows",
+    "symbol kept_ticks:i late_ticks:i late_value:d",
+    """WITH mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events),
+k AS (SELECT event_type AS symbol, count(*) AS kept_ticks FROM events, mark
+  WHERE day(ts) >= 15 AND time_bucket(INTERVAL '1 hour', ts) + INTERVAL 1 HOUR <= wm GROUP BY 1),
+l AS (SELECT event_type AS symbol, count(*) AS late_ticks, sum(value) AS late_value FROM events WHERE day(ts) < 15 GROUP BY 1)
+SELECT * FROM k FULL JOIN l USING (symbol)""",
+)
 def z3(spark, sf):
-    """Kept and dropped rows when the first half of the time line arrives last. Late rows are
-    judged by the watermark of the batch before, hence two batches ahead of them."""
+    """Ticks in bars and ticks that came too late, which are kept in a table of their own: the first
+    half of the time line arrives last."""
     t = table(spark, sf, "events").select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value"
     )
     folder = shared_folder(spark, "z3")
-    day = F.dayofmonth("ts")
-    for part in (day >= 20, day.between(15, 19), day < 15):
-        t.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    from barloom.streaming.replay import run_to_table
-
-    progress = run_to_table(sb.stream_bars(file_stream(spark, f"{folder}/in", t.schema)), f"{folder}/run")
-    kept = spark.read.parquet(f"{folder}/run/out").agg(F.sum("volume").alias("kept_ticks"))
-    return kept.withColumn("late_groups", F.lit(sb.dropped_late_rows(progress)))
-
-
-@query(
-    "z4_online_indicators",
-    "symbol ts ema:d rsi:d atr:d",
+    late = sb.late_sink(f"{folder}/late", "1 hour")
+    for i, part in enumerate((F.dayofmonth("ts") >= 15, F.dayofmonth("ts") < 15)):
+        t.filter(part).write.parquet(f"{folder}/in/part={i}")
+        stream = file_stream(spark, f"{folder}/in", t.schema, files=ALL)
+        run_to_table(sb.stream_bars(stream), f"{folder}/bars")
+        run_batches(stream, f"{folder}/side", late)
+    kept = spark.read.parquet(f"{folder}/bars/out").groupBy("symbol").agg(F.sum("volume").alias("kept_ticks"))
+    lost = spark.read.schema(t.schema).parquet(f"{folder}/late/rows")
+    lost = lost.groupBy("symbol").agg(F.count("*").alias("late_ticks"), F.sum("value").alias("late_value"))
+    return kept.join(lost, "symbol", "full")
+
+
+INDICATORS = (
     f"WITH RECURSIVE {BASE}, "
     + f"""d AS (SELECT *, greatest(close - {lag('close')}, 0) AS up, greatest({lag('close')} - close, 0) AS dn,
   {TR} AS tr FROM n {W}), """
@@ -111,30 +130,60 @@ def z3(spark, sf):
     + ", "
     + recur("g", "d", {"g": ("up", 1 / 14), "l": ("dn", 1 / 14), "atr": ("tr", 1 / 14)}, 1)
     + """ SELECT n.symbol, n.ts, ema, 100 * g / nullif(g + l, 0) AS rsi, atr
-  FROM n JOIN e USING (symbol, rn) LEFT JOIN g USING (symbol, rn)""",
+  FROM n JOIN e USING (symbol, rn) LEFT JOIN g USING (symbol, rn)"""
 )
-def z4(spark, sf):
-    s, folder = written_stream(spark, bars(spark, sf), "z4")
-    out = wall(replay(ss.online_indicators(s), f"{folder}/run"), "ts")
+
+
+def known(out):
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("rsi", "atr")})
 
 
-@query("z5_online_smoothed_signal", "symbol ts signal:i smoothed:i", SMOOTH)
+@query(
+    "z4_online_indicators",
+    "symbol ts ema:d rsi:d atr:d",
+    PASSED.format(INDICATORS),
+)
+def z4(spark, sf):
+    out, _ = in_spans(spark, bars(spark, sf), "z4", ss.online_indicators)
+    return known(wall(out, "ts"))
+
+
+@query(
+    "z4_ticks_to_indicators",
+    "symbol ts ema:d rsi:d atr:d",
+    "WITH RECURSIVE told AS (" + INDICATORS + """)
+SELECT * FROM told WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+)
+def z4_chain(spark, sf):
+    """One stream from ticks over bars to indicators."""
+    ticks = table(spark, sf, "events").select(
+        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value"
+    )
+
+    def build(rows):
+        return ss.online_indicators(sb.stream_bars_in_time(rows), ts="closed", delay=None)
+
+    out, _ = in_spans(spark, ticks, "z4c", build)
+    return known(wall(out.withColumn("ts", F.date_trunc("hour", "closed")), "ts"))
+
+
+@query("z5_online_smoothed_signal", "symbol ts signal:i smoothed:i", PASSED.format(SMOOTH))
 def z5(spark, sf):
     d = scored(spark, sf).withColumn("signal", sg.raw_signal()).select("symbol", "ts", "signal")
-    s, folder = written_stream(spark, d, "z5")
-    return wall(replay(ss.online_smoothed_signal(s), f"{folder}/run"), "ts")
+    return wall(in_spans(spark, d, "z5", ss.online_smoothed_signal)[0], "ts")
 
 
 @query(
     "z6_online_trailing_stops",
     "position_id ts trailing_stop:d4",
-    BARS
-    + """, px AS (SELECT symbol AS position_id, ts, close AS price, symbol IN ('click', 'view') AS lng FROM bars)
-SELECT position_id, ts, CASE WHEN lng
-  THEN greatest(max(floor(price * (1 - 0.01) * 10000 + 0.5) / 10000) OVER w, 20.0)
-  ELSE least(min(floor(price * (1 + 0.01) * 10000 + 0.5) / 10000) OVER w, 200.0) END AS trailing_stop
-FROM px WINDOW w AS (PARTITION BY position_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""",
+    PASSED.format(
+        BARS
+        + """, px AS (SELECT symbol AS position_id, ts, close AS price, symbol IN ('click', 'view') AS lng FROM bars)
+    SELECT position_id, ts, CASE WHEN lng
+      THEN greatest(max(floor(price * (1 - 0.01) * 10000 + 0.5) / 10000) OVER w, 20.0)
+      ELSE least(min(floor(price * (1 + 0.01) * 10000 + 0.5) / 10000) OVER w, 200.0) END AS trailing_stop
+    FROM px WINDOW w AS (PARTITION BY position_id ORDER BY ts ROWS UNBOUNDED PRECEDING)"""
+    ),
 )
 def z6(spark, sf):
     long = F.col("symbol").isin("click", "view")
@@ -145,8 +194,8 @@ def z6(spark, sf):
         F.when(long, "long").otherwise("short").alias("position_type"),
         F.when(long, 20.0).otherwise(200.0).alias("stop_price"),
     )
-    s, folder = written_stream(spark, px, "z6")
-    return wall(replay(ss.online_trailing_stops(s, pct=0.01), f"{folder}/run"), "ts")
+    out, _ = in_spans(spark, px, "z6", lambda rows: ss.online_trailing_stops(rows, pct=0.01))
+    return wall(out, "ts")
 
 
 @query(
@@ -178,11 +227,13 @@ def z7s(spark, sf):
 @query(
     "z8_online_drawdown",
     "portfolio ts drawdown:d limit_breached emergency",
-    EQUITY + "SELECT portfolio, ts, drawdown, drawdown > 0.10 AS limit_breached, drawdown > 0.15 AS emergency FROM dd",
+    PASSED.format(
+        EQUITY
+        + "SELECT portfolio, ts, drawdown, drawdown > 0.10 AS limit_breached, drawdown > 0.15 AS emergency FROM dd"
+    ),
 )
 def z8(spark, sf):
-    s, folder = written_stream(spark, equity(spark, sf), "z8")
-    return wall(replay(ss.online_drawdown(s), f"{folder}/run"), "ts")
+    return wall(in_spans(spark, equity(spark, sf), "z8", ss.online_drawdown)[0], "ts")
 
 
 @query(
@@ -193,11 +244,9 @@ def z8(spark, sf):
 SELECT * FROM c WHERE n_issues > 0""",
 )
 def z9(spark, sf):
-    s, folder = written_stream(spark, broken(spark, sf), "z9")
-
-    def sink(df, batch_id):
-        df.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+    def sink(folder, rows, batch_id):
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    run_batches(sb.bad_bars(s), f"{folder}/run", sink)
+    folder, _ = in_spans(spark, broken(spark, sf), "z9", sb.bad_bars, sink=sink)
     out = spark.read.parquet(f"{folder}/out")
     return wall(out.withColumn("n_issues", F.size("issues")), "ts")

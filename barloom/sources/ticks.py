@@ -20,11 +20,12 @@ def ticks_to_bars(
     order: Column | str | None = None,
     volume: Column | None = None,
     slide: str | None = None,
+    time: str | None = None,
 ) -> DataFrame:
     """Open, high, low, close and volume per key and window, combined map-side.
 
     ``order`` breaks ties of equal times (a struct of time and ingest number); volume counts
-    ticks unless an expression to sum is given.
+    ticks unless an expression to sum is given. ``time`` adds the window's event time under that name.
     """
     order = F.col(ts) if order is None else (F.col(order) if isinstance(order, str) else order)
     win = F.window(ts, every, slide) if slide else F.window(ts, every)
@@ -36,7 +37,8 @@ def ticks_to_bars(
         F.max_by(value, order).cast("double").alias("close"),
         vol.alias("volume"),
     )
-    return bars.select(*keys, F.col("_w.start").alias("ts"), *OHLCV)
+    event = [F.window_time("_w").alias(time)] if time else []
+    return bars.select(*keys, F.col("_w.start").alias("ts"), *OHLCV, *event)
 
 
 def last_tick(ticks, every="1 hour", *, value="value", ts="ts", keys=("symbol",)) -> DataFrame:

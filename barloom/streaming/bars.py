@@ -20,6 +20,35 @@ def stream_bars(
     )
 
 
+def stream_bars_in_time(
+    ticks: DataFrame, every="1 hour", *, delay="10 minutes", value="value", ts="ts", keys=("symbol",)
+) -> DataFrame:
+    """The same bars with their event time (``closed``, the last instant of the bar), for stateful
+    operators further down the same stream."""
+    return ticks_to_bars(ticks.withWatermark(ts, delay), every, value=value, ts=ts, keys=keys, time="closed")
+
+
+def late_sink(folder: str, every: str, *, delay="10 minutes", ts="ts"):
+    """Sink that keeps the rows which ``stream_bars`` leaves out as too late: those whose bar the
+    watermark of the batches before has passed. Rows go to ``folder/rows``; the latest time of each
+    batch lies beside them under its id, so a repeated batch tells the same."""
+
+    def sink(rows: DataFrame, batch_id: int) -> None:
+        spark, marks = rows.sparkSession, f"{folder}/marks"
+        latest = rows.agg(F.max(ts).alias("latest"))
+        if batch_id:
+            before = spark.read.schema("latest timestamp, batch int").parquet(marks)
+            mark = before.where(F.col("batch") < batch_id).agg(F.max("latest")).first()[0]
+            limit = F.lit(mark).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+            late = rows.where(F.window(ts, every)["end"] <= limit)
+        else:
+            late = rows.where(F.lit(False))
+        late.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        latest.write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+
+    return sink
+
+
 def stream_dedup(rows: DataFrame, *, keys=("symbol",), ts="ts", delay="10 minutes") -> DataFrame:
     """First row of each (key, time); state is dropped with the watermark."""
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark([*keys, ts])
