@@ -243,6 +243,24 @@ def l11(spark, sf):
     return over_series(bars(spark, sf), wi.atr_sma(14), la.triple_barrier(8, 2.0, 1.0))
 
 
+@query(
+    "l11_triple_barrier_far",
+    "symbol ts target_binary:i",
+    BARS
+    + NUMBERED
+    + f""", n AS (SELECT *, {rolled('avg', 'tr', 14)} AS atr FROM n0 {W}),
+h AS (SELECT a.symbol, a.rn, min(b.rn) FILTER (b.high >= a.close + a.atr * 6) AS up,
+  min(b.rn) FILTER (b.low <= a.close - a.atr * 1.5) AS dn
+  FROM n a JOIN n b ON b.symbol = a.symbol AND b.rn BETWEEN a.rn + 1 AND a.rn + 2000 GROUP BY 1, 2)
+SELECT n.symbol, n.ts, {case('up IS NOT NULL AND (dn IS NULL OR up <= dn)')} AS target_binary
+FROM n LEFT JOIN h USING (symbol, rn)""",
+)
+def l11_far(spark, sf):
+    """A horizon of 2,000 bars."""
+    rows = over_series(bars(spark, sf), wi.atr_sma(14))
+    return la.triple_barrier_far(rows, 2000, 6.0, 1.5, keep_tail=True)
+
+
 @query(
     "l12_swing_targets",
     "symbol ts target_long_1r:i target_short_1r:i target_long_2r:i target_short_2r:i",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from barloom.functions.scalars import correlation, div, flag
 from barloom.operators.metrics import breakdown, count_if
 from barloom.operators.windows import pct_change, true_range
-from barloom.plans.barriers import earlier, first_hit, path
+from barloom.plans.barriers import Touch, earlier, first_hit, first_touches, path
+from barloom.plans.ordered import null_safe_join, with_position
 from barloom.plans.series import Step, columns_step
 
 
@@ -207,6 +208,37 @@ def triple_barrier(
     return Step(build, 0, horizon, "triple_barrier")
 
 
+def triple_barrier_far(
+    df: DataFrame,
+    horizon: int,
+    profit: float = 1.5,
+    loss: float = 1.5,
+    atr="atr",
+    keep_tail: bool = False,
+    *,
+    keys: Sequence[str] = ("symbol",),
+    ts="ts",
+    step: int | None = None,
+) -> DataFrame:
+    """``triple_barrier`` for horizons of hundreds or thousands of bars, which no row can carry along."""
+    rows = with_position(df, keys=keys, order=ts).withColumns(
+        {"_top": F.col("close") + F.col(atr) * profit, "_bottom": F.col("close") - F.col(atr) * loss}
+    )
+    rows = first_touches(
+        rows,
+        {"_up": Touch("high", "_top", True), "_dn": Touch("low", "_bottom", False)},
+        horizon,
+        keys=keys,
+        order=ts,
+        step=step,
+    )
+    rows = rows.withColumn("target_binary", flag(earlier(F.col("_up"), F.col("_dn"), tie=True)))
+    if not keep_tail:
+        last = rows.groupBy(*keys).agg(F.max("_rn").alias("_last"))
+        rows = null_safe_join(rows, last, list(keys)).filter(F.col("_rn") <= F.col("_last") - horizon).drop("_last")
+    return rows.drop("_rn", "_top", "_bottom", "_up", "_dn")
+
+
 def swing_targets(
     rr: Sequence[float] = (1.0, 2.0), swing: int = 10, horizon: int = 20
 ) -> Step:
