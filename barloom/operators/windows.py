@@ -142,7 +142,7 @@ def stochastic(k: int = 14, d: int = 3, smooth_k: int = 1) -> Step:
     """%K and %D; ``smooth_k`` > 1 gives the slow form."""
 
     def build(df, f):
-        df = df.withColumn("stoch_k", _raw_k(f, k))
+        df = f.with_columns(df, {"stoch_k": _raw_k(f, k)})
         if smooth_k > 1:
             df = df.withColumn("stoch_k", f.roll(F.avg, "stoch_k", smooth_k))
         return df.withColumn("stoch_d", f.roll(F.avg, "stoch_k", d))
@@ -197,7 +197,7 @@ def swings(periods: Sequence[int] = (5, 10, 20), dist: Sequence[int] = (10,)) ->
         for n in periods:
             cols[f"swing_high_{n}"] = f.roll(F.max, "high", n)
             cols[f"swing_low_{n}"] = f.roll(F.min, "low", n)
-        df = df.withColumns(cols)
+        df = f.with_columns(df, cols)
         close = F.col("close")
         return df.withColumns(
             {

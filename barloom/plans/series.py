@@ -27,6 +27,8 @@ MIN_BLOCK = 8192
 SPAN = 15_000
 # A weight below exp(-39) = 1e-17 no longer changes a double.
 TAIL = 39.0
+# From this length on, the extreme of a frame is joined from two running ones.
+LONG_FRAME = 128
 # Largest exponent used in a scaled running sum; exp(600) is far from overflow.
 SAFE_EXP = 600.0
 
@@ -55,6 +57,8 @@ class Frame:
     block_rows: int
     back: int
     ahead: int
+    #: Columns that rolling extremes of long frames need beside the rows (see ``with_columns``).
+    aside: dict[str, Column] = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def w(self) -> WindowSpec:
@@ -113,6 +117,8 @@ class Frame:
 
     def roll(self, agg: Callable, c, n: int) -> Column:
         """Aggregate over the last n rows, null until all n are non-null."""
+        if isinstance(c, str) and agg in (F.min, F.max) and n >= LONG_FRAME:
+            return F.expr(f"CASE WHEN `_rn` - {self._last_gap(c)} >= {n} THEN {self._extreme(agg, c, n)} END")
         if isinstance(c, str) and agg in _SQL_NAME:
             value = f"{_SQL_NAME[agg]}(`{c}`) {self.over_rows(-(n - 1), 0)}"
             return F.expr(f"CASE WHEN `_rn` - {self._last_gap(c)} >= {n} THEN {value} END")
@@ -120,6 +126,27 @@ class Frame:
         f = self.rows(-(n - 1), 0)
         return F.when(F.count(c).over(f) == n, agg(c).over(f))
 
+    def _extreme(self, agg: Callable, c: str, n: int) -> str:
+        """Extreme of the last n rows at a cost that does not grow with n. Rows are cut every n: a frame
+        is the end of one piece and the beginning of the next, so the extreme so far of its last row
+        and the extreme from its first row on cover it. A sliding frame visits n rows for each."""
+        name, join = ("max", "greatest") if agg is F.max else ("min", "least")
+        tag = f"_{name}_{c}_{n}"
+        keys = ", ".join(f"`{k}`" for k in (*self.keys, "_blk"))
+        piece = f"OVER (PARTITION BY {keys}, floor((`_rn` - 1) / {n}) ORDER BY `_rn`"
+        to_row = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        self.aside[f"{tag}_so_far"] = F.expr(f"{name}(`{c}`) {piece} {to_row}")
+        self.aside[f"{tag}_to_end"] = F.expr(f"{name}(`{c}`) {piece} DESC {to_row}")
+        return f"{join}(lag(`{tag}_to_end`, {n - 1}) OVER ({self.over}), `{tag}_so_far`)"
+
+    def with_columns(self, df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
+        """Add columns, with what their long frames need; ``roll`` of a long extreme goes through here."""
+        if not self.aside:
+            return df.withColumns(dict(cols))
+        helpers = dict(self.aside)
+        self.aside.clear()
+        return df.withColumns(helpers).withColumns(dict(cols)).drop(*helpers)
+
     def roll_any(self, agg: Callable, c, n: int) -> Column:
         """Aggregate over up to the last n rows."""
         return agg(c).over(self.rows(-(n - 1), 0))
@@ -158,7 +185,7 @@ class Step:
 
 def columns_step(make: Callable[[Frame], Mapping[str, Column]], back=0, ahead=0, name="step"):
     """Step that adds the columns ``make(frame)`` returns."""
-    return Step(lambda df, fr: df.withColumns(dict(make(fr))), back, ahead, name)
+    return Step(lambda df, fr: fr.with_columns(df, make(fr)), back, ahead, name)
 
 
 def recursive_step(phases: Sequence[Phase], reads: Sequence[str], name: str) -> Step:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from barloom.plans.ordered import bucket_of, fit_width, last_known, running, with_position
 from barloom.operators import recursive as re_
+from barloom.operators import windows as wi
+from barloom.plans import series
 from barloom.plans.series import Smooth, columns_step, ema_step, over_series, span_alpha
 
 
@@ -134,6 +136,26 @@ def test_smoothing_over_nulls(spark, walk, block):
         np.testing.assert_allclose(o["adj"].astype(float), g["x"].ewm(span=12).mean(), rtol=1e-9)
 
 
+@pytest.mark.parametrize("block", [400, None])
+def test_long_extremes_equal_sliding_frames(spark, block, monkeypatch):
+    rng = np.random.default_rng(7)
+    n = 1500
+    rows = []
+    for s, m in (("A", n), ("B", 40)):
+        for i in range(m):
+            low = None if i in (0, 5, 700) else float(rng.normal())
+            rows.append((s, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), 0.1, (low or 0) + 1.0, low))
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, close double, high double, low double")
+
+    def run(limit):
+        monkeypatch.setattr(series, "LONG_FRAME", limit)
+        steps = [wi.stochastic(200), wi.williams_r(150), wi.swings((30, 180), (30,)), wi.near_extremes(64), wi.recent_range(500)]
+        out = over_series(df, *steps, block_rows=block)
+        return out.columns, sorted(map(str, out.collect()))
+
+    assert run(10) == run(100_000)
+
+
 def recurrence(x, alpha, adjusted=False):
     """Weighted mean of the known values, row by row."""
     num = den = 0.0
