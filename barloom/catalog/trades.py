@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.catalog.base import BARS, W, bars, bars_sql, query
+from barloom.catalog.recursive import recur
+from barloom.catalog.signals import scored
 from barloom.catalog.windows import TR, rolled
+from barloom.operators import recursive as re_
+from barloom.operators import signals as sg
 from barloom.operators import trades as tr
 from barloom.operators import windows as wi
-from barloom.plans.series import over_series
+from barloom.plans.series import columns_step, over_series
 
 COLS = (
     "symbol entry_time exit_time entry_price:d exit_price:d exit_reason pnl_pct:d pnl_points:d pnl_r:d4 "
@@ -23,8 +27,18 @@ def signal_bars(spark, sf):
     return d.withColumn("signal", F.coalesce(on, F.lit(False)).cast("int"))
 
 
-def trade_ctes(stop, target, *, be=None, start=None, trail=None, on_high=False, hold=20, eod=915, signal=SIGNAL_SQL):
-    """CTEs ending in ``trades`` (all candidates) and ``accepted``."""
+def trade_ctes(
+    stop, target, *, be=None, start=None, trail=None, on_high=False, hold=20, eod=915, signal=SIGNAL_SQL, trend=False
+):
+    """CTEs ending in ``trades`` (all candidates) and ``accepted``. ``trend`` adds the slope of the
+    50-row average and the recent range to what ``signal`` can use."""
+    slope = ""
+    if trend:
+        slope = recur("e50", "n0", {"ema_50": ("close", 2.0 / 51)}) + f""",
+n0t AS (SELECT n0.*, ema_50 - lag(ema_50, 5) OVER w AS slope,
+  {rolled('max', 'high', 20)} AS hi20, {rolled('min', 'low', 20)} AS lo20 FROM n0 JOIN e50 USING (symbol, rn) {W}),
+"""
+    source = "n0t" if trend else "n0"
     gain = "(CASE WHEN e > s0 THEN (h - e) / (e - s0) ELSE 0 END)"
     be_now = f"be OR {gain} >= {be}" if be is not None else "be"
     s1 = f"CASE WHEN NOT be AND {gain} >= {be} THEN e ELSE stop END" if be is not None else "stop"
@@ -41,7 +55,7 @@ def trade_ctes(stop, target, *, be=None, start=None, trail=None, on_high=False,
     return f"""WITH RECURSIVE {bars_sql()}, n0 AS (SELECT *, row_number() OVER w AS rn,
   hour(ts) * 60 + minute(ts) AS m, {TR} AS tr_, min(low) OVER (w ROWS 9 PRECEDING) AS swing_low_10
   FROM bars {W}),
-n AS (SELECT *, {rolled('avg', 'tr_', 14)} AS atr FROM n0 {W}),
+{slope}n AS (SELECT *, {rolled('avg', 'tr_', 14)} AS atr FROM {source} {W}),
 cand AS (SELECT symbol, rn AS c, ts AS entry_time, close AS e, {stop} AS s0, {target} AS tgt
   FROM n WHERE {signal}),
 walk AS (SELECT symbol, c, entry_time, e, s0, tgt, 0 AS k, s0 AS stop, e AS hi, false AS be, false AS tr,
@@ -243,3 +257,70 @@ def t10(spark, sf):
         F.col("signal") == 1,
         candidate=F.col("signal") == 1,
     )
+
+
+def _scenario(name, rr, *filters, swing=False):
+    flags = {f"{f}_filter": f in filters for f in ("ema", "volume", "candle", "structure")}
+    return name, {"swing": swing, "stop_atr": 2.0, "rr": rr, **flags}
+
+
+ALL_FILTERS = ("ema", "volume", "candle", "structure")
+#: The nine named configurations.
+NAMED = dict(
+    [
+        _scenario("baseline", 1.5, "ema"),
+        _scenario("volume", 1.5, "ema", "volume"),
+        _scenario("strong candle", 1.5, "ema", "candle"),
+        _scenario("structure", 1.5, "ema", "structure"),
+        _scenario("all filters", 1.5, *ALL_FILTERS),
+        _scenario("all filters, 1:2", 2.0, *ALL_FILTERS),
+        _scenario("all filters, 1:3", 3.0, *ALL_FILTERS),
+        _scenario("swing stop, 1:2, all filters", 2.0, *ALL_FILTERS, swing=True),
+        _scenario("swing stop, 1:3, all filters", 3.0, *ALL_FILTERS, swing=True),
+    ]
+)
+FILTERS_SQL = {
+    "ema_filter": "(rn <= 5 OR coalesce(slope > 0, false))",
+    "volume_filter": "volume / 3 >= 1.2",
+    "candle_filter": "close > open AND (close - open) / open * 100 >= 0.15 AND close >= (high + low) / 2",
+    "structure_filter": "(hi20 - lo20) / close * 100 >= 200",
+}
+BASE_SQL = (
+    "CASE WHEN high > low THEN (close - low) / (high - low) ELSE 0.5 END >= 0.4"
+    " AND 60 * (high - low) / high >= 10 AND m BETWEEN 600 AND 840 AND atr IS NOT NULL"
+)
+
+
+def _named_sql():
+    parts = []
+    for name, p in NAMED.items():
+        stop = "greatest(swing_low_10 - atr * 0.2, close - atr * 3.0)" if p["swing"] else f"close - atr * {p['stop_atr']}"
+        signal = " AND ".join([BASE_SQL, *[sql for f, sql in FILTERS_SQL.items() if p[f]]])
+        ctes = trade_ctes(stop, f"close + (close - ({stop})) * {p['rr']}", signal=signal, trend=True)
+        parts.append(f"SELECT '{name}' AS scenario, * FROM ({ctes}{ONE_CONFIG} SELECT * FROM one WHERE total_trades > 0)")
+    return " UNION ALL ".join(parts)
+
+
+@query("t10_named_scenarios", "scenario " + METRICS, _named_sql())
+def t10_named(spark, sf):
+    """All nine configurations: filters are grid columns that the entry reads, stops differ by kind."""
+    slope = columns_step(
+        lambda f: {"slope_ok": (f.rn <= 5) | F.coalesce(F.col("ema_50") > f.lag("ema_50", 5), F.lit(False))},
+        back=5 + re_.ema_back(50),
+    )
+    steps = (wi.atr_sma(14), wi.swings((10,), (10,)), wi.recent_range(), re_.ema("close", (50,)), slope)
+    rows = over_series(scored(spark, sf), *steps)
+    known = {"known": F.col("atr").isNotNull()}
+    base = sg.all_of({**sg.entry_conditions(min_prob=0.4, min_adx=10, window=(600, 840)), **known})
+    kinds = {
+        "ema_filter": F.col("slope_ok"),
+        "volume_filter": sg.all_of(sg.entry_conditions(min_volume=1.2)),
+        "candle_filter": sg.all_of(sg.entry_conditions(strong_green=True)),
+        "structure_filter": sg.all_of(sg.entry_conditions(min_range=200)),
+    }
+    entry = base
+    for name, holds in kinds.items():
+        entry = entry & (~F.col(name) | holds)
+    stop = F.when(F.col("swing"), tr.swing_stop()).otherwise(F.col("close") - F.col("atr") * F.col("stop_atr"))
+    rule = tr.ExitRule(stop=stop, target=F.col("close") + (F.col("close") - stop) * F.col("rr"))
+    return tr.sweep(rows, tr.named_grid(spark, NAMED), rule, entry, candidate=base, entry_params=tuple(kinds))
