@@ -27,11 +27,24 @@ def signal_bars(spark, sf):
     return d.withColumn("signal", F.coalesce(on, F.lit(False)).cast("int"))
 
 
+def slope_step():
+    """Is the 50-row average above where it was five rows before? The first five rows pass."""
+    return columns_step(
+        lambda f: {"slope_ok": (f.rn <= 5) | F.coalesce(F.col("ema_50") > f.lag("ema_50", 5), F.lit(False))},
+        back=5 + re_.ema_back(50),
+    )
+
+
 def trade_ctes(
-    stop, target, *, be=None, start=None, trail=None, on_high=False, hold=20, eod=915, signal=SIGNAL_SQL, trend=False
+    stop, target, *, be=None, start=None, trail=None, on_high=False, hold=20, eod=915, signal=SIGNAL_SQL, trend=False, grid=None
 ):
     """CTEs ending in ``trades`` (all candidates) and ``accepted``. ``trend`` adds the slope of the
-    50-row average and the recent range to what ``signal`` can use."""
+    50-row average and the recent range to what ``signal`` can use. ``grid`` is SQL of a table of
+    parameters with a ``cfg`` number: every candidate is walked for each, under ``symbol|cfg``."""
+    sym, more, w_more, meets, who = "w.symbol", "", "", "", "symbol"
+    if grid is not None:
+        sym, meets, who = "w.sym", f" CROSS JOIN ({grid}) g", "symbol || '|' || cfg"
+        more, w_more = ", sym, p_be, p_start, p_trail", ", w.sym, w.p_be, w.p_start, w.p_trail"
     slope = ""
     if trend:
         slope = recur("e50", "n0", {"ema_50": ("close", 2.0 / 51)}) + f""",
@@ -56,21 +69,21 @@ n0t AS (SELECT n0.*, ema_50 - lag(ema_50, 5) OVER w AS slope,
   hour(ts) * 60 + minute(ts) AS m, {TR} AS tr_, min(low) OVER (w ROWS 9 PRECEDING) AS swing_low_10
   FROM bars {W}),
 {slope}n AS (SELECT *, {rolled('avg', 'tr_', 14)} AS atr FROM {source} {W}),
-cand AS (SELECT symbol, rn AS c, ts AS entry_time, close AS e, {stop} AS s0, {target} AS tgt
-  FROM n WHERE {signal}),
-walk AS (SELECT symbol, c, entry_time, e, s0, tgt, 0 AS k, s0 AS stop, e AS hi, false AS be, false AS tr,
+cand AS (SELECT {who} AS symbol, rn AS c, ts AS entry_time, close AS e, {stop} AS s0, {target} AS tgt{more.replace('sym', 'symbol AS sym')}
+  FROM n{meets} WHERE {signal}),
+walk AS (SELECT symbol, c, entry_time, e, s0, tgt{more}, 0 AS k, s0 AS stop, e AS hi, false AS be, false AS tr,
     CAST(NULL AS VARCHAR) AS reason, e AS price, entry_time AS hit_ts FROM cand
   UNION ALL
-  SELECT symbol, c, entry_time, e, s0, tgt, k, s2, h, be2, tr2, reason,
+  SELECT symbol, c, entry_time, e, s0, tgt{more}, k, s2, h, be2, tr2, reason,
     CASE reason WHEN 'profit_target' THEN tgt WHEN 'stop_loss' THEN s2 ELSE bc END, bt
   FROM (SELECT *, CASE WHEN bh >= tgt THEN 'profit_target' WHEN bl <= s2 THEN 'stop_loss'
       WHEN k >= {hold} THEN 'max_holding' {late} END AS reason
     FROM (SELECT *, {s2} AS s2
       FROM (SELECT *, {s1} AS s1, {be_now} AS be2, {tr_now} AS tr2
-        FROM (SELECT w.symbol, w.c, w.entry_time, w.e, w.s0, w.tgt, w.k + 1 AS k, w.stop, w.hi, w.be, w.tr,
+        FROM (SELECT w.symbol, w.c, w.entry_time, w.e, w.s0, w.tgt{w_more}, w.k + 1 AS k, w.stop, w.hi, w.be, w.tr,
             greatest(w.hi, b.close) AS h, b.close AS bc, b.high AS bh, b.low AS bl, b.atr AS ba, b.m AS bm, b.ts AS bt
-          FROM walk w JOIN n b ON b.symbol = w.symbol AND b.rn = w.c + w.k + 1 WHERE w.reason IS NULL))))),
-trades AS (SELECT symbol, c AS entry_rn, c + k AS exit_rn, entry_time, hit_ts AS exit_time, e AS entry_price,
+          FROM walk w JOIN n b ON b.symbol = {sym} AND b.rn = w.c + w.k + 1 WHERE w.reason IS NULL))))),
+trades AS MATERIALIZED (SELECT symbol, c AS entry_rn, c + k AS exit_rn, entry_time, hit_ts AS exit_time, e AS entry_price,
     price AS exit_price, coalesce(reason, 'end_of_data') AS exit_reason,
     (price - e) / e * 100 AS pnl_pct, price - e AS pnl_points,
     CASE WHEN e > s0 THEN (price - e) / (e - s0) ELSE 0 END AS pnl_r,
@@ -78,8 +91,8 @@ trades AS (SELECT symbol, c AS entry_rn, c + k AS exit_rn, entry_time, hit_ts AS
     CASE WHEN price > e THEN 1 ELSE 0 END AS win, (stop - e) / e * 100 AS stop_loss_pct, hi AS highest_price,
     CASE WHEN e > s0 THEN (hi - e) / (e - s0) ELSE 0 END AS max_rr_reached
   FROM walk QUALIFY row_number() OVER (PARTITION BY symbol, c ORDER BY k DESC) = 1),
-nxt AS (SELECT a.symbol, a.entry_rn, min(b.entry_rn) AS nx FROM trades a
-  LEFT JOIN trades b ON b.symbol = a.symbol AND b.entry_rn > a.exit_rn GROUP BY 1, 2),
+nxt AS MATERIALIZED (SELECT a.symbol, a.entry_rn, b.entry_rn AS nx FROM trades a
+  ASOF LEFT JOIN trades b ON b.symbol = a.symbol AND a.exit_rn < b.entry_rn),
 pick AS (SELECT symbol, min(entry_rn) AS rn FROM trades GROUP BY 1
   UNION ALL SELECT p.symbol, x.nx FROM pick p JOIN nxt x ON x.symbol = p.symbol AND x.entry_rn = p.rn
   WHERE x.nx IS NOT NULL),
@@ -227,6 +240,53 @@ def t9(spark, sf):
     )
 
 
+#: All 648 combinations: stops, targets, break-even, start and distance of trailing, trend filter.
+FULL_GRID = {
+    "stop_atr": [1.0, 1.5, 2.0],
+    "target_atr": [1.5, 2.0, 2.5, 3.0],
+    "breakeven_rr": [0.5, 1.0, 1.5],
+    "trail_start_rr": [1.0, 1.5, 2.0],
+    "trail_atr": [0.5, 1.0, 1.5],
+    "trend_filter": [False, True],
+}
+
+
+def _full_sql():
+    names = ("p_stop", "p_target", "p_be", "p_start", "p_trail", "p_trend")
+    values = list(FULL_GRID.values())
+    tables = ", ".join(
+        f"(VALUES {', '.join(f'({i}, {v})' for i, v in enumerate(vs))}) v{k}(i{k}, {n})"
+        for k, (n, vs) in enumerate(zip(names, values))
+    )
+    number = "0"
+    for k, vs in enumerate(values):
+        number = f"({number}) * {len(vs)} + i{k}"
+    grid = f"SELECT {number} AS cfg, {', '.join(names)} FROM {tables}"
+    ctes = trade_ctes(
+        "close - atr * p_stop", "close + atr * p_target", be="p_be", start="p_start", trail="p_trail", hold=15,
+        signal=SIGNAL_SQL + " AND (NOT p_trend OR rn <= 5 OR coalesce(slope > 0, false))", trend=True, grid=grid,
+    )
+    by_config = ONE_CONFIG.replace("SELECT count(*)", "SELECT CAST(split_part(symbol, '|', 2) AS BIGINT) AS config_id, count(*)")
+    return ctes + by_config.replace("FROM accepted)", "FROM accepted GROUP BY 1)") + " SELECT * FROM one"
+
+
+@query("t9_full_grid", "config_id:i " + METRICS, _full_sql())
+def t9_full(spark, sf):
+    """All 648 configurations in one pass over the bars."""
+    rows = over_series(signal_bars(spark, sf), re_.ema("close", (50,)), slope_step())
+    names = [n for n in FULL_GRID if n != "trend_filter"]
+    rule = tr.trailing_rule(*[F.col(n) for n in names], max_hold=15)
+    on = F.col("signal") == 1
+    return tr.sweep(
+        rows,
+        tr.parameter_grid(spark, **FULL_GRID),
+        rule,
+        on & (~F.col("trend_filter") | F.col("slope_ok")),
+        candidate=on,
+        entry_params=("trend_filter",),
+    )
+
+
 SCENARIOS = {
     "base": {"stop_atr": 1.0, "target_atr": 1.5, "max_hold": 20},
     "wide": {"stop_atr": 2.0, "target_atr": 3.0, "max_hold": 20},
@@ -304,11 +364,7 @@ def _named_sql():
 @query("t10_named_scenarios", "scenario " + METRICS, _named_sql())
 def t10_named(spark, sf):
     """All nine configurations: filters are grid columns that the entry reads, stops differ by kind."""
-    slope = columns_step(
-        lambda f: {"slope_ok": (f.rn <= 5) | F.coalesce(F.col("ema_50") > f.lag("ema_50", 5), F.lit(False))},
-        back=5 + re_.ema_back(50),
-    )
-    steps = (wi.atr_sma(14), wi.swings((10,), (10,)), wi.recent_range(), re_.ema("close", (50,)), slope)
+    steps = (wi.atr_sma(14), wi.swings((10,), (10,)), wi.recent_range(), re_.ema("close", (50,)), slope_step())
     rows = over_series(scored(spark, sf), *steps)
     known = {"known": F.col("atr").isNotNull()}
     base = sg.all_of({**sg.entry_conditions(min_prob=0.4, min_adx=10, window=(600, 840)), **known})
