@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.catalog.base import BARS, W, bars, query
 from barloom.catalog.metrics import PRED, predictions
 from barloom.functions import scalars as sc
+from barloom.operators import metrics as mt
 from barloom.operators import models as md
 from barloom.operators import splits as sp
 from barloom.operators import windows as wi
@@ -157,8 +158,10 @@ s AS (SELECT *, CASE WHEN rn - 1 < floor(n * (1 - 0.2::DOUBLE)) THEN 'train' ELS
 """
 )
 SCORED_SQL = SPLIT_SQL + """SELECT symbol, split, count(*) AS rows, count(*) FILTER (up) AS positives,
-  count(*) FILTER (rn >= 6) AS scored, true AS in_range FROM s GROUP BY 1, 2"""
-SCORED = "symbol split rows:i positives:i scored:i in_range"
+  count(*) FILTER (rn >= 6) AS scored, true AS in_range, true AS learnt FROM s GROUP BY 1, 2"""
+SCORED = "symbol split rows:i positives:i scored:i in_range learnt"
+#: Least area under the curve on the rows learnt from; a model that scores at random has 0.5.
+AUC_FLOOR = 0.58
 
 
 def split_table(spark, sf):
@@ -172,14 +175,18 @@ def fitted(table, kind="forest", **kw):
 
 
 def scored(table, model):
-    """Rows, scored rows and range of the scores per symbol and part."""
+    """Rows, scored rows and range of the scores per symbol and part, and whether the model tells the
+    classes apart on what it learnt from."""
     p = F.col("probability")
-    return md.score(model, table).groupBy("symbol", "split").agg(
+    rows = md.score(model, table)
+    auc = mt.roc_auc(rows.filter("split = 'train' AND probability IS NOT NULL"))
+    digest = rows.groupBy("symbol", "split").agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum("label").alias("positives"),
         F.count(p).alias("scored"),
         F.bool_and(p.between(0, 1)).alias("in_range"),
     )
+    return digest.crossJoin(F.broadcast(auc)).withColumn("learnt", F.col("roc_auc") >= AUC_FLOOR)
 
 
 @query("m7_forest_predictions", SCORED, SCORED_SQL)
@@ -194,6 +201,19 @@ def f11(spark, sf):
     return scored(d, fitted(d, "gbt", maxIter=20, maxDepth=3))
 
 
+@query("m7_forest_rows")
+def m7_rows(spark, sf):
+    """Probability and prediction of every row."""
+    d = split_table(spark, sf)
+    return md.score(fitted(d, "forest", numTrees=100, maxDepth=4), d)
+
+
+@query("f11_boosted_tree_rows")
+def f11_rows(spark, sf):
+    d = split_table(spark, sf)
+    return md.score(fitted(d, "gbt", maxIter=20, maxDepth=3), d)
+
+
 @query(
     "m8_grid_search",
     "maxDepth:i numTrees:i folds:i in_range",
@@ -207,6 +227,20 @@ def m8(spark, sf):
     return found.withColumn("in_range", F.col("mean_f1").between(0, 1))
 
 
+@query("m8_grid_search_means")
+def m8_means(spark, sf):
+    """Mean scores over the folds of every combination."""
+    folds = sp.expanding_folds(feature_table(spark, sf).na.drop(), 2)
+    return md.grid_search(folds, FEATURES, {"maxDepth": [2, 4], "numTrees": [10, 20]}, kind="forest")
+
+
+@query("m9_chosen_features")
+def m9_chosen(spark, sf):
+    """The features at or above the median importance."""
+    model = fitted(split_table(spark, sf), "forest", numTrees=100, maxDepth=4)
+    return md.select_by_importance(md.importance_table(model, FEATURES))
+
+
 @query("m9_select_by_importance", "enough", "SELECT true AS enough")
 def m9(spark, sf):
     """Half of the features or more reach the median."""
