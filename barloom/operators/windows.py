@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import body, correlation, div, flag, green, red
-from barloom.plans.ordered import running
+from barloom.plans.ordered import bucket_of, running
 from barloom.plans.series import Step, chain, columns_step, over_series
 
 # ------------------------------------------------------------------------ moving averages
@@ -438,6 +438,24 @@ def cumulative_pnl(
     return out.withColumn("drawdown", F.col("cum_pnl") - F.col("peak"))
 
 
-def max_drawdown(df, value="pnl_pct", *, keys=("symbol",), order="exit_time", ties=()) -> DataFrame:
-    d = cumulative_pnl(df, value, keys=keys, order=order, ties=ties)
-    return d.groupBy(*keys).agg(F.min("drawdown").alias("max_drawdown"))
+def max_drawdown(
+    df, value="pnl_pct", *, keys=("symbol",), order="exit_time", ties=(), width: int | None = None
+) -> DataFrame:
+    """Deepest fall of the running total below its peak, per key, in one pass. A bucket reduces to its
+    sum, highest and lowest running total and deepest fall; buckets in a row make one such state."""
+    keys = list(keys)
+    inside = Window.partitionBy(*keys, "_b").orderBy(*[F.col(c) for c in (order, *ties)])
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.select(*dict.fromkeys([*keys, order, *ties, value]), bucket_of(df, order, width).alias("_b"))
+    rows = rows.withColumn("_s", F.sum(value).over(so_far)).withColumn("_p", F.max("_s").over(so_far))
+    states = rows.groupBy(*keys, "_b").agg(
+        F.sum(value).alias("_sum"),
+        F.max("_s").alias("_top"),
+        F.min("_s").alias("_low"),
+        F.min(F.col("_s") - F.col("_p")).alias("_fall"),
+    )
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    states = states.withColumn("_o", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    states = states.withColumn("_peak", F.max(F.col("_o") + F.col("_top")).over(before))
+    deepest = F.least("_fall", F.col("_o") + F.col("_low") - F.col("_peak"))
+    return states.groupBy(*keys).agg(F.min(deepest).alias("max_drawdown"))

@@ -265,3 +265,19 @@ def test_bucket_width_fits_dense_keys(walk):
     assert per <= 20 and width < 86_400_000_000
     got = with_position(df, width=width).toPandas().sort_values(["symbol", "ts"])
     assert (got["_rn"].values == got.groupby("symbol").cumcount().values + 1).all()
+
+
+def test_deepest_fall_in_one_pass_equals_the_running_form(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for s, n in (("A", 900), ("B", 3), ("down", 40), (None, 25)):
+        for i in range(n):
+            v = -1.0 if s == "down" else (None if i % 17 == 0 else float(rng.normal()))
+            rows.append((s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=5 * i), v))
+    df = spark.createDataFrame(rows, "symbol string, exit_time timestamp, pnl_pct double")
+    got = {r.symbol: r.max_drawdown for r in wi.max_drawdown(df).collect()}
+    for s in got:
+        x = np.array([v for k, _, v in rows if k == s and v is not None]).cumsum()
+        assert got[s] == pytest.approx(float((x - np.maximum.accumulate(x)).min()), abs=1e-9)
+    scans = wi.max_drawdown(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert scans.count("LogicalRDD") + scans.count("LocalRelation") == 1
