@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.plans.clock import micros, plus_micros
@@ -262,67 +261,149 @@ def repair_volume(df: DataFrame) -> DataFrame:
     return df.withColumn("volume", F.abs("volume"))
 
 
+def _clamped(close: Column, before: Column, cap: float) -> Column:
+    return F.least(F.greatest(close, before - before * cap), before + before * cap)
+
+
+def _fold_run(run: Column, start: Column, cap: float) -> Column:
+    """Repaired closes of a run of flagged rows (``_rn``, ``close`` in order) after the close ``start``."""
+    y = "y"
+    told = F.aggregate(
+        run,
+        F.struct(start.alias(y), F.array().cast("array<struct<_rn:bigint,y:double>>").alias("out")),
+        lambda acc, r: F.transform(
+            F.array(_clamped(r["close"], acc[y], cap)),
+            lambda v: F.struct(v.alias(y), F.concat(acc["out"], F.array(F.struct(r["_rn"].alias("_rn"), v.alias(y)))).alias("out")),
+        )[0],
+    )
+    return told["out"]
+
+
+def _ends_of(first: Column, second: Column, slope: Column, of: str, to: str, at: Column) -> Column:
+    """Value of a piecewise linear curve through the origin: ``first`` are its knots below ``at``,
+    ``second`` the others; beyond the last knot it goes on with ``slope``."""
+    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    p = F.coalesce(F.try_element_at(first, F.lit(-1)), zero)
+    q = F.try_element_at(second, F.lit(1))
+    step = slope if of == "x" else 1.0 / slope
+    between = (at - p[of]) * (q[to] - p[to]) / (q[of] - p[of])
+    return p[to] + F.when(q.isNull(), (at - p[of]) * step).otherwise(between)
+
+
+def _run_map(run: Column, cap: float) -> Column:
+    """What a run of flagged rows makes of a positive close before it. Each row is the monotone map
+    ``x -> min(max(close, x (1 - cap)), x (1 + cap))``; composed, they stay monotone and piecewise linear.
+    Knots that a row puts on its own close are dropped."""
+    low, high = 1.0 - cap, 1.0 + cap
+
+    def knot(x: Column, y: Column) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def reached(m: Column, level: Column) -> Column:
+        """Least x at which the map has this value."""
+        below = F.filter(m["knots"], lambda k: k["y"] < level)
+        above = F.filter(m["knots"], lambda k: k["y"] >= level)
+        return _ends_of(below, above, m["slope"], "y", "x", level)
+
+    def left(m: Column, level: Column) -> Column:
+        """Greatest x at which the map has this value: knots may lie on it."""
+        below = F.filter(m["knots"], lambda k: k["y"] <= level)
+        above = F.filter(m["knots"], lambda k: k["y"] > level)
+        return _ends_of(below, above, m["slope"], "y", "x", level)
+
+    def after(m: Column, r: Column) -> Column:
+        c = r["close"]
+        rising = F.transform(F.filter(m["knots"], lambda k: k["y"] < c / high), lambda k: knot(k["x"], k["y"] * high))
+        falling = F.transform(F.filter(m["knots"], lambda k: k["y"] > c / low), lambda k: knot(k["x"], k["y"] * low))
+        level = F.array(knot(reached(m, c / high), c), knot(left(m, c / low), c))
+        knots = F.when(c > 0, F.concat(rising, level, falling)).otherwise(falling)
+        return F.struct(knots.alias("knots"), (m["slope"] * low).alias("slope"), (m["n"] + 1).alias("n"))
+
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    return F.aggregate(run, F.struct(none.alias("knots"), F.lit(1.0).alias("slope"), F.lit(0).alias("n")), after)
+
+
+def _through(m: Column, x: Column, cap: float) -> Column:
+    """Value of a map of ``_run_map``; below zero every row multiplies by ``1 + cap``."""
+    inside = _ends_of(
+        F.filter(m["knots"], lambda k: k["x"] <= x), F.filter(m["knots"], lambda k: k["x"] > x), m["slope"], "x", "y", x
+    )
+    return F.when(x > 0, inside).otherwise(x * F.pow(F.lit(1.0 + cap), m["n"]))
+
+
 def cap_close_moves(df, cap: float = 0.2, *, keys=("symbol",), ts="ts", block_rows=None) -> DataFrame:
-    """Clamp closes that moved more than ``cap`` to the band around the repaired previous close.
+    """Clamp closes that moved more than ``cap`` (below 1) to the band around the repaired previous close.
 
-    A clamp leans on the one before it, so runs of flagged rows chain. Each block is folded on
-    its own from the close it would see without repairs; blocks that start inside a run are
-    folded again until the value handed over by the block before no longer changes. The result
-    is the sequential one, and a round only carries one number per block.
+    A clamp leans on the one before it, so runs of flagged rows chain. Runs are folded inside blocks.
+    A block that is flagged throughout is a monotone, piecewise linear map of the close before it; such
+    maps are applied along their chain, one row per block, and every other block knows its last close
+    by itself. The result is the sequential one, however many blocks a run crosses.
     """
+    if not 0 < cap < 1:
+        raise ValueError("cap lies between 0 and 1")
     keys = list(keys)
     laid, frame = lay_out(df, back=1, ahead=0, keys=keys, order=ts, block_rows=block_rows)
-    before = frame.lag("close")
-    laid = laid.withColumns(
-        {
-            "_hit": F.coalesce(F.abs(F.try_divide(F.col("close"), before) - 1) > cap, F.lit(False)),
-            "_seen": before,
-        }
-    ).filter("_own")
-    rows = durable(laid.select(*df.columns, "_blk", "_rn", "_hit", "_seen"))
+    move = F.abs(F.try_divide(F.col("close"), frame.lag("close")) - 1) > cap
+    laid = laid.withColumn("_hit", F.coalesce(move, F.lit(False))).filter("_own")
+    rows = durable(laid.select(*df.columns, "_blk", "_rn", "_hit"))
     block = [*keys, "_blk"]
+    so_far = Window.partitionBy(*block).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    calm = F.when(~F.col("_hit"), F.struct("_rn", "close"))
+    slim = rows.select(*block, "_rn", F.col("close").cast("double").alias("close"), "_hit")
+    marked = slim.withColumn("_anchor", F.max(calm).over(so_far))
+    runs = durable(
+        marked.filter("_hit")
+        .groupBy(*block, "_anchor")
+        .agg(F.array_sort(F.collect_list(F.struct("_rn", "close"))).alias("_run"))
+    )
+    inner = runs.filter("_anchor IS NOT NULL").select(
+        *block, _fold_run(F.col("_run"), F.col("_anchor.close"), cap).alias("_out")
+    )
+    heads = runs.filter("_anchor IS NULL").select(*block, "_run")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        close = pdf["close"].to_numpy(dtype=float, copy=True)
-        start = pdf["_in"].iloc[0]
-        for i in pdf["_hit"].to_numpy().nonzero()[0]:
-            prev = close[i - 1] if i else start
-            close[i] = min(max(close[i], prev - prev * cap), prev + prev * cap)
-        return pdf.assign(close=close)
-
-    def fold_end(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fold(pdf)
-        return out[[*block, "close"]].tail(1).rename(columns={"close": "_end"})
-
-    state = rows.groupBy(*block).agg(
-        F.min_by("_seen", "_rn").alias("_in"), F.min_by("_hit", "_rn").alias("_open")
+    # The last close of each block, where the block knows it, or else its map.
+    ends = slim.groupBy(*block).agg(
+        F.max(F.struct("_rn", "_hit", "close")).alias("_last"), F.bool_and("_hit").alias("_whole")
     )
-    slim = rows.select(*block, "_rn", "close", "_hit")
-    key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in block)
-    while True:
-        state = durable(state)
-        if not state.filter("_open").take(1):
-            break
-        ends = (
-            null_safe_join(slim, state.drop("_open"), block, "inner")
-            .groupBy(*block)
-            .applyInPandas(fold_end, f"{key_types}, _end double")
-        )
-        handed = ends.withColumn("_blk", F.col("_blk") + 1)
-        nxt = null_safe_join(state, handed, block).select(
-            *block,
-            F.when(F.col("_open"), F.coalesce("_end", "_in")).otherwise(F.col("_in")).alias("_in"),
-            "_open",
-            "_in",
-        ).toDF(*block, "_in", "_open", "_old")
-        nxt = durable(nxt)
-        settled = not nxt.filter(~F.col("_in").eqNullSafe(F.col("_old"))).take(1)
-        state = nxt.drop("_old")
-        if settled:
-            break
-    full = null_safe_join(rows.drop("_seen"), state.drop("_open"), block, "inner")
-    return full.groupBy(*block).applyInPandas(fold, full.schema).select(*df.columns)
+    tails = inner.select(*block, F.element_at("_out", -1).alias("_t"))
+    tails = tails.groupBy(*block).agg(F.max("_t").alias("_t"))
+    maps = null_safe_join(heads, ends.filter("_whole").select(*block), block, "left_semi")
+    maps = maps.select(*block, _run_map(F.col("_run"), cap).alias("_map"))
+    known = null_safe_join(null_safe_join(ends, tails, block), maps, block)
+    known = known.withColumn(
+        "_end",
+        F.when(F.col("_whole"), F.lit(None)).when(F.col("_last._hit"), F.col("_t.y")).otherwise(F.col("_last.close")),
+    )
+    by_block = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
+    told = F.when(~F.col("_whole"), F.struct(F.col("_blk").alias("b"), F.col("_end").alias("y")))
+    known = known.withColumn("_from", F.max(told).over(by_block))
+    chains = known.filter(F.col("_whole") & F.col("_from").isNotNull()).groupBy(*keys, "_from").agg(
+        F.array_sort(F.collect_list(F.struct("_blk", "_map"))).alias("_maps")
+    )
+    passed = F.aggregate(
+        "_maps",
+        F.struct(
+            F.col("_from.y").alias("y"), F.array().cast("array<struct<_blk:bigint,y:double>>").alias("out")
+        ),
+        lambda acc, m: F.transform(
+            F.array(_through(m["_map"], acc["y"], cap)),
+            lambda v: F.struct(
+                v.alias("y"),
+                F.concat(acc["out"], F.array(F.struct(m["_blk"].alias("_blk"), v.alias("y")))).alias("out"),
+            ),
+        )[0],
+    )
+    passed = chains.select(*keys, F.explode(passed["out"]).alias("_o")).select(*keys, "_o._blk", F.col("_o.y").alias("_in"))
+    handed = known.filter(~F.col("_whole")).select(*block, F.col("_end").alias("_in")).unionByName(passed)
+    handed = handed.withColumn("_blk", F.col("_blk") + 1)
+    started = null_safe_join(heads, handed, block).select(
+        *block, _fold_run(F.col("_run"), F.col("_in"), cap).alias("_out")
+    )
+    repaired = inner.unionByName(started).select(*block, F.explode("_out").alias("_o"))
+    repaired = repaired.select(*block, "_o._rn", F.col("_o.y").alias("_y"))
+    out = null_safe_join(rows, repaired, [*block, "_rn"])
+    kind = df.schema["close"].dataType
+    return out.withColumn("close", F.coalesce(F.col("_y").cast(kind), F.col("close"))).select(*df.columns)
 
 
 def preprocess(

@@ -75,6 +75,19 @@ def test_chained_caps(spark, block):
     assert got == pytest.approx(walk_cap(x))
 
 
+def test_caps_chain_over_blocks_that_are_flagged_throughout(spark):
+    """Every row moves by more than the cap for dozens of rows: blocks of three are whole runs."""
+    rng = np.random.default_rng(6)
+    x = [100.0]
+    for k in range(90):
+        x.append(x[-1] * (rng.choice([0.3, 0.6, 1.6, 3.0]) if k % 40 else 1.05))
+    x[70] = -x[70]
+    raw = [float(v) for v in x]
+    want = walk_cap(raw)
+    for block in (3, 7, None):
+        assert closes(cl.cap_close_moves(rows(spark, raw), 0.2, block_rows=block)) == pytest.approx(want, rel=1e-9)
+
+
 def test_keep_first_prefers_lowest_ingest(spark):
     df = rows(spark, [1.0, 2.0], [0, 0]).withColumn("ingest_id", F.when(F.col("close") == 1, 7).otherwise(3))
     assert closes(cl.keep_first(df, ingest="ingest_id")) == [2.0]
