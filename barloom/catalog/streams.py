@@ -16,7 +16,7 @@ from barloom.operators import signals as sg
 from barloom.session import durable
 from barloom.streaming import bars as sb
 from barloom.streaming import state as ss
-from barloom.streaming.replay import file_stream, replay, run_batches, run_to_table
+from barloom.streaming.replay import closing_mark, file_stream, replay, run_batches, run_to_table
 
 
 def event_ticks(spark, sf):
@@ -26,18 +26,19 @@ def event_ticks(spark, sf):
     return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
-def in_spans(spark, df, name, build, parts=3, sink=None):
+def in_spans(spark, df, name, build, parts=3, sink=None, ends=False):
     """Replay a derived table: equal spans of its time arrive one after another, each as many files
-    in any order and taken as a micro-batch, on one checkpoint. Returns the output (or the folder,
-    where ``sink`` takes the batches) and all progress reports."""
+    in any order and taken as a micro-batch, on one checkpoint; with ``ends`` a closing mark follows.
+    Returns the output (or the folder, where ``sink`` takes the batches) and all progress reports."""
     folder = shared_folder(spark, name)
     data = durable(df.withColumn("ts", F.col("ts").cast("timestamp")))
     second = F.unix_timestamp("ts")
     first, last = data.agg(F.min(second), F.max(second)).first()
     span = F.lit(0) if first is None else F.floor((second - first) * parts / (last - first + 1))
     stream, reports = None, []
-    for i in range(1 if first is None else parts):
-        data.filter(span == i).write.parquet(f"{folder}/in/part={i}")
+    fed = [data.filter(span == i) for i in range(1 if first is None else parts)]
+    for i, rows in enumerate([*fed, closing_mark(data)] if ends else fed):
+        rows.write.parquet(f"{folder}/in/part={i}")
         stream = stream or build(file_stream(spark, f"{folder}/in", data.schema, files=ALL))
         if sink is None:
             reports += run_to_table(stream, f"{folder}/run")
@@ -141,10 +142,10 @@ def known(out):
 @query(
     "z4_online_indicators",
     "symbol ts ema:d rsi:d atr:d",
-    PASSED.format(INDICATORS),
+    INDICATORS,
 )
 def z4(spark, sf):
-    out, _ = in_spans(spark, bars(spark, sf), "z4", ss.online_indicators)
+    out, _ = in_spans(spark, bars(spark, sf), "z4", ss.online_indicators, ends=True)
     return known(wall(out, "ts"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None, files: int = 1) -> DataFrame:
@@ -15,6 +16,16 @@ def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None,
     return reader.parquet(path)
 
 
+def closing_mark(rows: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
+    """One row of nulls but for a time so far behind the last that the watermark passes all ``rows``.
+    Fed last, it ends a finite stream: what waits for the watermark is told, and the mark itself, which
+    no watermark passes, never is. No row for an empty table."""
+    end = rows.agg(F.max(ts).alias("_end")).where("_end IS NOT NULL")
+    time = F.col("_end") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 SECOND")
+    fields = [(time if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema]
+    return end.select(*fields)
+
+
 def run_to_table(stream: DataFrame, folder: str) -> list[dict]:
     """Process everything available into parquet files; returns the progress report of every batch,
     gathered while the query runs, since a query itself keeps only its latest ones. Output is
