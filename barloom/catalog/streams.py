@@ -177,14 +177,12 @@ def z5(spark, sf):
 @query(
     "z6_online_trailing_stops",
     "position_id ts trailing_stop:d4",
-    PASSED.format(
-        BARS
-        + """, px AS (SELECT symbol AS position_id, ts, close AS price, symbol IN ('click', 'view') AS lng FROM bars)
-    SELECT position_id, ts, CASE WHEN lng
-      THEN greatest(max(floor(price * (1 - 0.01) * 10000 + 0.5) / 10000) OVER w, 20.0)
-      ELSE least(min(floor(price * (1 + 0.01) * 10000 + 0.5) / 10000) OVER w, 200.0) END AS trailing_stop
-    FROM px WINDOW w AS (PARTITION BY position_id ORDER BY ts ROWS UNBOUNDED PRECEDING)"""
-    ),
+    BARS
+    + """, px AS (SELECT symbol AS position_id, ts, close AS price, symbol IN ('click', 'view') AS lng FROM bars)
+SELECT position_id, ts, CASE WHEN lng
+  THEN greatest(max(floor(price * (1 - 0.01) * 10000 + 0.5) / 10000) OVER w, 20.0)
+  ELSE least(min(floor(price * (1 + 0.01) * 10000 + 0.5) / 10000) OVER w, 200.0) END AS trailing_stop
+FROM px WINDOW w AS (PARTITION BY position_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""",
 )
 def z6(spark, sf):
     long = F.col("symbol").isin("click", "view")
@@ -195,7 +193,7 @@ def z6(spark, sf):
         F.when(long, "long").otherwise("short").alias("position_type"),
         F.when(long, 20.0).otherwise(200.0).alias("stop_price"),
     )
-    out, _ = in_spans(spark, px, "z6", lambda rows: ss.online_trailing_stops(rows, pct=0.01))
+    out, _ = in_spans(spark, px, "z6", lambda rows: ss.online_trailing_stops(rows, pct=0.01), ends=True)
     return wall(out, "ts")
 
 

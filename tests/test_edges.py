@@ -34,7 +34,7 @@ def both(spark, folder, name):
     return got
 
 
-@pytest.mark.parametrize("name", ["z4_online_indicators"])
+@pytest.mark.parametrize("name", ["z4_online_indicators", "z6_online_trailing_stops"])
 def test_ended_streams_tell_every_bar(spark, tmp_path, name):
     got = both(spark, events(tmp_path, ("zero", "lost", "zero")), name)
     assert len(got) == 6 and got["ts"].max() == pd.Timestamp("2024-01-01 02:00:00")
