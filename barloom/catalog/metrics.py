@@ -125,16 +125,26 @@ def a6(spark, sf):
     return mt.slices(bar_trades(spark, sf), entry_minute=540, by=["symbol"])
 
 
+# Of runs, which may be empty: nothing lost is an infinite factor, nothing won is 0.
+RUN_AGG = AGG.replace(
+    "sum(pnl_pct) FILTER (win = 1) / abs(sum(pnl_pct) FILTER (win = 0)) AS profit_factor",
+    """CASE WHEN abs(sum(pnl_pct) FILTER (win = 0)) > 0
+    THEN coalesce(sum(pnl_pct) FILTER (win = 1), 0) / abs(sum(pnl_pct) FILTER (win = 0))
+    WHEN count(*) > 0 THEN 'infinity'::DOUBLE END AS profit_factor""",
+)
+RUNS_LONG = """l AS (SELECT run, metric, v FROM (SELECT run, total_trades::DOUBLE AS total_trades, win_rate::DOUBLE AS win_rate,
+    total_pnl::DOUBLE AS total_pnl, avg_pnl::DOUBLE AS avg_pnl, profit_factor::DOUBLE AS profit_factor,
+    avg_holding::DOUBLE AS avg_holding FROM m)
+  UNPIVOT INCLUDE NULLS (v FOR metric IN (total_trades, win_rate, total_pnl, avg_pnl, profit_factor, avg_holding)))"""
+
+
 @query(
     "a7_compare_runs",
     "metric base:d4 quick:d4 quick_delta:d4",
     TRADES
-    + f""", m AS (SELECT 'base' AS run, {AGG} FROM trades UNION ALL
-  SELECT 'quick' AS run, {AGG} FROM trades WHERE candles_held <= 3),
-l AS (UNPIVOT (SELECT run, total_trades::DOUBLE AS total_trades, win_rate::DOUBLE AS win_rate,
-    total_pnl::DOUBLE AS total_pnl, avg_pnl::DOUBLE AS avg_pnl, profit_factor::DOUBLE AS profit_factor,
-    avg_holding::DOUBLE AS avg_holding FROM m)
-  ON total_trades, win_rate, total_pnl, avg_pnl, profit_factor, avg_holding INTO NAME metric VALUE v)
+    + f""", m AS (SELECT 'base' AS run, {RUN_AGG} FROM trades UNION ALL
+  SELECT 'quick' AS run, {RUN_AGG} FROM trades WHERE candles_held <= 3),
+{RUNS_LONG}
 SELECT metric, max(v) FILTER (run = 'base') AS base, max(v) FILTER (run = 'quick') AS quick,
   max(v) FILTER (run = 'quick') - max(v) FILTER (run = 'base') AS quick_delta FROM l GROUP BY 1""",
 )

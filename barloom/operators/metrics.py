@@ -111,7 +111,8 @@ def slices(trades: DataFrame, quick: int = 3, entry_minute: int = 555, by: Seque
 
 
 def compare_runs(runs: Mapping[str, DataFrame], no_loss=float("inf")) -> DataFrame:
-    """One row per metric with a column per run and its change against the first run."""
+    """One row per metric with a column per run and its change against the first run. A run without
+    trades counts 0 of them; its other metrics are null."""
     tables = [
         df.select("pnl_pct", "win", "candles_held").withColumn("run", F.lit(n)) for n, df in runs.items()
     ]
@@ -120,6 +121,8 @@ def compare_runs(runs: Mapping[str, DataFrame], no_loss=float("inf")) -> DataFra
         both = both.unionByName(t)
     m = trade_metrics(both, ["run"], no_loss=no_loss)
     names = ["total_trades", "win_rate", "total_pnl", "avg_pnl", "profit_factor", "avg_holding"]
+    listed = both.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, runs))).alias("run"))
+    m = listed.join(m, "run", "left").fillna(0, ["total_trades"])
     m = m.select("run", *[F.col(n).cast("double").alias(n) for n in names])
     long = m.unpivot(["run"], names, "metric", "value")
     out = long.groupBy("metric").pivot("run", list(runs)).agg(F.first("value"))

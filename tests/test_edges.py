@@ -34,6 +34,15 @@ def both(spark, folder, name):
     return got
 
 
+@pytest.mark.parametrize("name", ["a7_compare_runs"])
+@pytest.mark.parametrize("hours", [("zero", "lost"), ("zero",), ("lost",)])
+def test_runs_without_trades(spark, tmp_path, name, hours):
+    got = both(spark, events(tmp_path, hours), name).set_index("metric")
+    assert len(got) == 6
+    assert got.loc["total_trades", "quick"] == 0 and got.loc["total_trades", "quick_delta"] == -2 * len(hours)
+    assert got["quick"].drop("total_trades").isna().all()
+
+
 @pytest.mark.parametrize("name", ["z4_online_indicators", "z6_online_trailing_stops"])
 def test_ended_streams_tell_every_bar(spark, tmp_path, name):
     got = both(spark, events(tmp_path, ("zero", "lost", "zero")), name)
