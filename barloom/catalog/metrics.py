@@ -166,12 +166,9 @@ CHANGES = ", ".join(
     "metric base:d4 quick:d4 cheap:d4 quick_delta:d4 cheap_delta:d4",
     TRADES
     + ", m AS ("
-    + " UNION ALL ".join(f"SELECT '{n}' AS run, {AGG} FROM trades WHERE {c}" for n, c in THREE.items())
+    + " UNION ALL ".join(f"SELECT '{n}' AS run, {RUN_AGG} FROM trades WHERE {c}" for n, c in THREE.items())
     + f"""),
-l AS (UNPIVOT (SELECT run, total_trades::DOUBLE AS total_trades, win_rate::DOUBLE AS win_rate,
-    total_pnl::DOUBLE AS total_pnl, avg_pnl::DOUBLE AS avg_pnl, profit_factor::DOUBLE AS profit_factor,
-    avg_holding::DOUBLE AS avg_holding FROM m)
-  ON total_trades, win_rate, total_pnl, avg_pnl, profit_factor, avg_holding INTO NAME metric VALUE v)
+{RUNS_LONG}
 SELECT metric, {CHANGES} FROM l GROUP BY 1""",
 )
 def a7_three(spark, sf):

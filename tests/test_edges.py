@@ -34,7 +34,7 @@ def both(spark, folder, name):
     return got
 
 
-@pytest.mark.parametrize("name", ["a7_compare_runs"])
+@pytest.mark.parametrize("name", ["a7_compare_runs", "a7_compare_three_runs"])
 @pytest.mark.parametrize("hours", [("zero", "lost"), ("zero",), ("lost",)])
 def test_runs_without_trades(spark, tmp_path, name, hours):
     got = both(spark, events(tmp_path, hours), name).set_index("metric")
