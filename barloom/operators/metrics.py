@@ -131,12 +131,15 @@ def compare_runs(runs: Mapping[str, DataFrame], no_loss=float("inf")) -> DataFra
 
 
 def signal_quality(df: DataFrame, flags: Sequence[str], outcomes: Sequence[str]) -> DataFrame:
-    """Per flag: how often it was set and how often each outcome followed, in percent."""
-    packed = F.array(*[F.struct(F.lit(n).alias("signal"), F.col(n).alias("on")) for n in flags])
-    long = df.select(*outcomes, F.explode(packed).alias("s")).filter("s.on = 1")
-    return long.groupBy(F.col("s.signal").alias("signal")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(F.col(o) * 100.0).alias(f"{o}_rate") for o in outcomes]
-    )
+    """Per flag: how often it was set and how often each outcome followed, in percent (null for a flag
+    that was never set)."""
+
+    def row(flag):
+        on = F.col(flag) == 1
+        rates = [F.avg(F.when(on, F.col(o) * 100.0)).alias(f"{o}_rate") for o in outcomes]
+        return F.struct(F.lit(flag).alias("signal"), count_if(on).alias("n"), *rates)
+
+    return df.agg(F.array(*map(row, flags)).alias("_rows")).select(F.inline("_rows"))
 
 
 # ---------------------------------------------------------------------------- classification

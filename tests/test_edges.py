@@ -43,6 +43,11 @@ def test_runs_without_trades(spark, tmp_path, name, hours):
     assert got["quick"].drop("total_trades").isna().all()
 
 
+def test_flags_never_set(spark, tmp_path):
+    got = both(spark, events(tmp_path, ("zero", "lost")), "a8_signal_quality")
+    assert sorted(got["signal"]) == ["cheap", "quick"] and (got["n"] == 0).all() and got["win_rate"].isna().all()
+
+
 @pytest.mark.parametrize("name", ["z4_online_indicators", "z6_online_trailing_stops"])
 def test_ended_streams_tell_every_bar(spark, tmp_path, name):
     got = both(spark, events(tmp_path, ("zero", "lost", "zero")), name)
