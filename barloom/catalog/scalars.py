@@ -65,9 +65,9 @@ simple(
     },
     {
         "r": "high - low",
-        "r_open": "(high - low) / open * 100",
-        "r_close": "(high - low) / close * 100",
-        "r_low": "(high - low) / low * 100",
+        "r_open": "(high - low) / nullif(open, 0) * 100",
+        "r_close": "(high - low) / nullif(close, 0) * 100",
+        "r_low": "(high - low) / nullif(low, 0) * 100",
     },
 )
 simple(

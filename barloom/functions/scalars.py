@@ -45,10 +45,12 @@ def span() -> Column:
 
 
 def body_pct(base: str = "open") -> Column:
+    """Body in percent of a price; null where that is 0."""
     return div(body(), F.col(base)) * 100
 
 
 def range_pct(base: str = "open") -> Column:
+    """Range in percent of a price; null where that is 0."""
     return div(span(), F.col(base)) * 100
 
 
