@@ -95,7 +95,7 @@ simple(
     },
     {
         "ratio": "CASE WHEN high > low THEN abs(close - open) / (high - low) ELSE 0 END",
-        "eff": "(abs(close - open) / open * 100) / ((high - low) / low * 100 + 1e-10)",
+        "eff": "(abs(close - open) / nullif(open, 0) * 100) / ((high - low) / nullif(low, 0) * 100 + 1e-10)",
     },
 )
 simple(

@@ -68,6 +68,7 @@ def body_to_range() -> Column:
 
 
 def efficiency_eps(body_c: Column, range_c: Column) -> Column:
+    """Share of a relative range taken by the body; null where either is unknown."""
     return body_c / (range_c + EPS)
 
 

@@ -48,7 +48,7 @@ def test_flags_never_set(spark, tmp_path):
     assert sorted(got["signal"]) == ["cheap", "quick"] and (got["n"] == 0).all() and got["win_rate"].isna().all()
 
 
-@pytest.mark.parametrize("name,column", [("p2_candle_range", "r_low")])
+@pytest.mark.parametrize("name,column", [("p2_candle_range", "r_low"), ("p4_body_to_range", "eff")])
 def test_prices_of_zero(spark, tmp_path, name, column):
     got = both(spark, events(tmp_path, ("zero", "lost", "flat")), name)
     assert got.groupby("ts")[column].count().tolist() == [0, 2, 0]
