@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from itertools import accumulate
 from operator import sub
 from struct import pack
 
@@ -43,9 +44,12 @@ class Counter:
     def __init__(self, model: str):
         spec = json.loads(model)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
-        self.reach: dict[str, int] = {}  # longest token with these last two characters
+        lengths: dict[str, set[int]] = {}
         for t in self.vocab:
-            self.reach[t[-2:]] = max(len(t), self.reach.get(t[-2:], 0))
+            if len(t) > 2:
+                lengths.setdefault(t[-3:], {1, 2}).add(len(t))
+        #: Lengths of the tokens with these last three characters, longest first.
+        self.lengths = {e: tuple(sorted(s, reverse=True)) for e, s in lengths.items()}
         self.rank: dict[int, int] = {}  # when the merge that makes a token is applied
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
@@ -55,6 +59,7 @@ class Counter:
             if made in self.parts:
                 raise ValueError("a token with two merges is not handled")
             self.rank[made], self.parts[made], self.merged[a, b] = r, (a, b), r
+        self.blank_byte = to_characters(b" ")
         self.split = regex.compile(PATTERN)
         self.blank = regex.compile(r"\s\s")
         self.space = regex.compile(r"\s+")
@@ -105,12 +110,14 @@ class Counter:
         if len(self.prefixes) > PREFIXES:
             self.prefixes = {}
         prefixes = self.prefixes
-        vocab, reach, fits = self.vocab.get, self.reach.get, self.fits.get
+        vocab, lengths, fits = self.vocab.get, self.lengths.get, self.fits.get
         row = [(0, -1)]
         for end in range(1, len(text) + 1):
             found = prefixes.get(text[:end]) if share else None
             if found is None:
-                for size in range(min(end, reach(text[max(end - 2, 0) : end], 1)), 0, -1):
+                for size in lengths(text[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                    if size > end:
+                        continue
                     token = vocab(text[end - size : end])
                     if token is None:
                         continue
@@ -131,11 +138,13 @@ class Counter:
 
     def counts(self, piece: str) -> list[int]:
         """Counts after each character of a piece."""
-        raw = piece.encode()
-        by_byte = self.byte_counts(to_characters(raw))
-        if len(raw) != len(piece):
-            ends = np.cumsum([len(c.encode()) for c in piece]) - 1
-            by_byte = [by_byte[e] for e in ends]
+        if piece.isascii() and piece.isprintable():  # of these bytes only the space is renamed
+            by_byte = self.byte_counts(piece.replace(" ", self.blank_byte))
+        else:
+            by_byte = self.byte_counts(to_characters(piece.encode()))
+            if not piece.isascii():
+                widths = [1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in piece]
+                by_byte = [by_byte[e - 1] for e in accumulate(widths)]
         if piece in CONTRACTIONS:
             by_byte[1] = by_byte[0] + self.counts(piece[1])[0]
         return by_byte

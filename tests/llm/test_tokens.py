@@ -119,3 +119,24 @@ def test_odd_rows(docs, reference, library):
 def test_empty_table(no_docs):
     assert bpe.decode(bpe.encode(no_docs, RANKS), RANKS).count() == 0
     assert prefix_counts.prefix_counts(no_docs, LIBRARY_FILE).count() == 0
+
+
+class Counted(dict):
+    """A vocabulary that counts how often it is asked."""
+
+    asked = 0
+
+    def get(self, *args):
+        self.asked += 1
+        return super().get(*args)
+
+
+def test_only_lengths_that_end_so_are_looked_up():
+    with open(LIBRARY_FILE, encoding="utf-8") as f:
+        counter = prefix_counts.Counter(f.read())
+    counter.vocab = Counted(counter.vocab)
+    words = [" internationalisation", " xqzvreconsiderations", " untokenisability", " zzyzx", " données"]
+    letters = sum(len(w.encode()) for w in words)
+    for w in words:
+        counter.counts(w)
+    assert counter.vocab.asked < 5 * letters
