@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import in_slices, mix64, small_batches, text_of
+from barloom.llm.common import in_slices, let_go, mix64, small_batches, text_of
 
 MIN_WORDS = 5
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -87,6 +87,7 @@ def winnow(docs: DataFrame, text: str, key: str, min_words: int) -> DataFrame:
     """All windows: document, whether its id is null, text hash, start, end, fingerprint, content."""
 
     def run(batches):
+        let_go()
         for b in batches:
             ids, digest = b.column("_d"), b.column("_h").to_numpy(zero_copy_only=False)
             rows, cols = [], ([], [], [], [])
@@ -164,6 +165,7 @@ def dedup_lines(
 
 
 def _cut(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    let_go()
     out = []
     for t, ss, es in zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist()):
         lines = t.split("\n")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import in_slices, small_batches, text_of
+from barloom.llm.common import in_slices, let_go, small_batches, text_of
 from barloom.session import durable
 
 #: Character classes: other, lower, upper, digit, space, line end, stop, comma, mark, bar, symbol.
@@ -86,6 +86,7 @@ WIDTH = 2 * NAMES + 1
 
 def feature_column(text: str | Column = "text") -> Column:
     def run(texts: pa.Array) -> pa.Array:
+        let_go()
         rows = [features(t) for t in texts.to_pylist()]
         flat = np.concatenate(rows) if rows else np.zeros(0)
         ends = np.arange(0, len(flat) + 1, NAMES, dtype=np.int32)
@@ -260,6 +261,7 @@ def score(df: DataFrame, model: Model, text: str = "text", into: str = "score")
     small_batches(df.sparkSession)
 
     def run(texts: pa.Array) -> pa.Array:
+        let_go()
         rows = texts.to_pylist()
         x = np.array([features(t) for t in rows]).reshape(len(rows), NAMES)
         return pa.array(model.score(x), pa.float64())

@@ -4,10 +4,11 @@ import hashlib
 
 import corpus_pipeline as cp
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
-from barloom.llm import bpe, mixing
+from barloom.llm import bpe, common, lines, mixing
 from barloom.llm.queries import RANKS
 from tests.llm.test_texts import by_definition, plain_groups
 
@@ -89,3 +90,17 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     for order in (rows, rows[::-1]):
         out = cp.keep_one_of_each_group(spark, spark.createDataFrame(order, schema), "/root/testdata/sf0.001")
         assert sorted((r.doc_id, r.text, r.source) for r in out.collect()) == [(1, a, "s"), (2, b, "s")]
+
+
+def test_stages_without_tables_let_go_of_earlier_ones(monkeypatch):
+    """What the encoder of one stage left in a worker goes when lines or quality start in it."""
+    stage = [1]
+    monkeypatch.setattr(common, "_stage", lambda: stage[0], raising=False)
+    monkeypatch.setattr(common, "_WORKER", {})
+    none = pa.array([None], pa.list_(pa.int32()))
+    common.per_worker(("encoder", "a"), object)
+    lines._cut(pa.array(["x"]), none, none)
+    assert "encoder" in common._WORKER  # of the same stage
+    stage[0] = 2
+    lines._cut(pa.array(["x"]), none, none)
+    assert not common._WORKER
