@@ -1,17 +1,20 @@
-"""Near-duplicate vectors by navigable small-world graphs, one per shard.
+"""Near-duplicate vectors by navigable small-world graphs, one per cell.
 
-Distinct vectors are dealt to shards by a hash. Each shard builds a hierarchical graph: layer ``l``
-holds the first ``n / 16^l`` vectors in hash order, so layers are nested, and a new vector links to a
-diverse choice of the nearest ones found from the layer above. Every vector then asks every shard;
-the beam always expands whatever lies within the threshold, so a dense cluster is followed to its
-end. Links are checked by the exact cosine and sent as a spanning forest.
+Distinct vectors are filed under the nearest of some centres (k-means on a bounded sample, the vectors
+of least hash; their number follows the rows up to ``CELLS``); a crowded cell is cut into parts by a
+hash. Each part builds a hierarchical graph: layer ``l`` holds the first ``n / 16^l`` vectors in hash
+order, so layers are nested, and a new vector links to a diverse choice of the nearest ones found from
+the layer above. Every vector then asks all parts of the cells nearest to it; the beam always expands
+whatever lies within the threshold, so a dense cluster is followed to its end. Links are checked by the
+exact cosine and sent as a spanning forest.
 
 A bounded audit compares vectors of found components of every size class, lone ones too, with all
 rows. Recall is the mean over audited vectors of the share of their true links that lie within their
 component, for vectors with few, some and many links apart, so a dense cluster does not outweigh
-pairs. While one class has less than asked, the beam is doubled and the shards are asked again.
+pairs. While one class has less than asked, twice as many cells are asked if it is the cells that
+links are lost by, in the end all of them; else the beam is doubled and the cells are asked again.
 Components are then verified: all pairs of a component, cut into cells of two blocks, are compared exactly, which gives
-the number of links. A cell sends counts, never pairs.
+the number of links. Such a cell sends counts, never pairs.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
 components link with nothing and are components of their own; equal vectors are one node with a
@@ -34,10 +37,18 @@ from barloom.session import durable
 
 LINKS = 12
 STEP = 16
+#: Least and largest number of cells, rows that a cell has on average until the largest number is reached.
 SHARDS = 8
+CELLS = 1024
+CELL_ROWS = 2048
+#: Vectors of the sample that centres are fitted on: so many for each, and in all.
+FIT_ROWS = 64
+SAMPLE = 16_384
+#: Largest graph. Vectors that ask one are dealt to tasks by so many.
 SHARD_ROWS = 65_536
 CHUNK_ROWS = 8_192
-#: First beam; audits widen it.
+#: First number of cells asked and first beam; audits widen them.
+PROBES = 4
 BEAM = 96
 BUILD_BEAM = 48
 #: Audited vectors of each size class of found components.
@@ -246,6 +257,79 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes[m], nodes[low[m]]
 
 
+def fit_centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Up to ``k`` unit centres of unit vectors, by spherical k-means; one that gets no vector goes."""
+    c = x[np.random.default_rng(7).choice(len(x), min(k, len(x)), replace=False)]
+    for _ in range(rounds):
+        near = np.argmax(x @ c.T, axis=1)
+        own, size = np.unique(near, return_counts=True)
+        sums = np.add.reduceat(x[np.argsort(near, kind="stable")], np.cumsum(size) - size, axis=0)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(length > 0, sums / np.maximum(length, 1e-30), c[own])
+    return c
+
+
+def _centres(classes: DataFrame, dim: int, k: int) -> np.ndarray:
+    rows = classes.orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(min(SAMPLE, k * FIT_ROWS))
+    x = unit(matrix(rows.select("_v").toArrow().column("_v"), dim)).astype(np.float32)
+    return fit_centres(x, k) if len(x) else np.zeros((1, max(dim, 1)), np.float32)
+
+
+def _route(classes: DataFrame, dim: int, centres: np.ndarray, probes: int) -> DataFrame:
+    """``_id``, ``_v`` and ``_near``: the nearest cells of each vector, nearest first."""
+    m = min(probes, len(centres))
+
+    def run(batches):
+        for b in batches:
+            sims = unit(matrix(b.column("_v"), dim)).astype(np.float32) @ centres.T
+            near = np.argsort(-sims, axis=1, kind="stable")[:, :m].astype(np.int32)
+            lists = pa.ListArray.from_arrays(np.arange(0, near.size + 1, m, dtype=np.int32), near.ravel())
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_v"), lists], names=["_id", "_v", "_near"])
+
+    return classes.select("_id", "_v").mapInArrow(run, "_id bigint, _v array<double>, _near array<int>")
+
+
+def _graphs(routed: DataFrame, dim: int, shard_rows: int) -> DataFrame:
+    """A graph for each part of a cell; a row for each vector."""
+    home = routed.select(F.col("_near")[0].alias("_cell"), F.xxhash64("_id", F.lit(13)).alias("_o"), "_id", "_v")
+    cut = home.groupBy("_cell").agg(F.ceil(F.count("*") / shard_rows).alias("_parts"))
+    part = F.pmod(F.xxhash64("_id", F.lit(11)), F.col("_parts")).cast("int")
+    return (
+        home.join(F.broadcast(cut), "_cell")
+        .select("_cell", part.alias("_part"), "_o", "_id", "_v")
+        .groupBy("_cell", "_part")
+        .applyInArrow(
+            _build_shard(dim),
+            "_cell int, _part int, _pos int, _id bigint, _v array<double>, _links array<binary>",
+        )
+    )
+
+
+def _ask(routed: DataFrame, graph: DataFrame, first: int, dim: int, beam: int, threshold: float) -> DataFrame:
+    """Links of every vector to those of its nearest cells, from its ``first`` one on. Only as many
+    copies of a graph are made as the vectors that ask it need tasks."""
+    asks = routed.select("_id", "_v", F.explode(F.expr(f"slice(_near, {first + 1}, size(_near))")).alias("_cell"))
+    deal = durable(
+        asks.groupBy("_cell")
+        .agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("_chunks"))
+        .join(graph.groupBy("_cell").agg((F.max("_part") + 1).alias("_parts")), "_cell")
+    )
+    left = graph.join(F.broadcast(deal), "_cell").withColumn("_ch", F.expr("explode(sequence(0, _chunks - 1))"))
+    right = asks.join(F.broadcast(deal), "_cell").select(
+        "_cell",
+        F.expr("explode(sequence(0, _parts - 1))").alias("_part"),
+        F.pmod(F.xxhash64("_id", F.lit(15)), F.col("_chunks")).cast("int").alias("_ch"),
+        "_id",
+        "_v",
+    )
+    return (
+        left.drop("_chunks", "_parts")
+        .groupBy("_cell", "_part", "_ch")
+        .cogroup(right.groupBy("_cell", "_part", "_ch"))
+        .applyInArrow(_ask_shard(dim, beam, threshold), "u bigint, v bigint")
+    )
+
+
 def _build_shard(dim: int):
     def run(key, t):
         t = t.sort_by([("_o", "ascending"), ("_id", "ascending")])
@@ -256,7 +340,8 @@ def _build_shard(dim: int):
                 held[i].append(links[i].tobytes())
         return pa.table(
             {
-                "_sh": t.column("_sh"),
+                "_cell": t.column("_cell"),
+                "_part": t.column("_part"),
                 "_pos": pa.array(np.arange(t.num_rows, dtype=np.int32)),
                 "_id": t.column("_id"),
                 "_v": t.column("_v"),
@@ -329,17 +414,20 @@ def _verify(batches, dim: int, threshold: float):
 
 
 def _true_links(probe: pa.Table, rows: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """For each of a bounded number of vectors: its links by comparing with every row, and how many of
-    them lie in its component ``_r``. A task sends sums, never pairs."""
+    """For each of a bounded number of vectors: its links by comparing with every row, how many of them
+    lie in its component ``_r``, and how many lie in a cell that one end was led to. A task sends sums,
+    never pairs."""
     mine, qids = matrix(probe.column("_v"), dim), probe.column("_id").to_numpy()
     mine_r, q = probe.column("_r").to_numpy(), unit(mine)
+    mine_near = _lists(probe.column("_near"))
 
     def run(batches):
-        n, got = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        n, got, led = (np.zeros(len(q), np.int64) for _ in range(3))
         for b in batches:
             all_raw, all_ids, all_r = matrix(b.column("_v"), dim), b.column("_id").to_numpy(), b.column("_r").to_numpy()
+            all_near = _lists(b.column("_near"))
             for at in range(0, len(all_raw), 1024):
-                raw, ids, r = (v[at : at + 1024] for v in (all_raw, all_ids, all_r))
+                raw, ids, r, cells = (v[at : at + 1024] for v in (all_raw, all_ids, all_r, all_near))
                 near = q @ unit(raw).T
                 linked = near >= threshold + 1e-9
                 i, j = np.nonzero(np.abs(near - threshold) < 1e-9)  # too near to call: exact sums decide
@@ -348,11 +436,25 @@ def _true_links(probe: pa.Table, rows: DataFrame, dim: int, threshold: float) ->
                 linked &= qids[:, None] != ids[None, :]
                 n += linked.sum(axis=1)
                 got += (linked & (mine_r[:, None] == r[None, :])).sum(axis=1)
+                i, j = np.nonzero(linked)
+                for k in range(0, len(i), 65_536):
+                    u, v = i[k : k + 65_536], j[k : k + 65_536]
+                    met = (mine_near[u] == cells[v, :1]).any(axis=1) | (cells[v] == mine_near[u, :1]).any(axis=1)
+                    led += np.bincount(u[met], minlength=len(led))
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(got[at])], names=["at", "n", "got"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v) for v in (at, n[at], got[at], led[at])], names=["at", "n", "got", "led"]
+        )
+
+    sums = rows.select("_id", "_r", "_v", "_near").mapInArrow(run, "at bigint, n bigint, got bigint, led bigint")
+    return sums.groupBy("at").agg(*(F.sum(c).alias(c) for c in ("n", "got", "led")))
+
 
-    sums = rows.select("_id", "_r", "_v").mapInArrow(run, "at bigint, n bigint, got bigint")
-    return sums.groupBy("at").agg(F.sum("n").alias("n"), F.sum("got").alias("got"))
+def _lists(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as rows of a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1 if len(column) else 1)
 
 
 def _class(size: Column) -> Column:
@@ -360,23 +462,25 @@ def _class(size: Column) -> Column:
     return sum((size >= least).cast("int") for least in CLASSES[1:])
 
 
-def _audit(placed: DataFrame, dim: int, threshold: float, audit: int) -> dict[int, float]:
-    """Recall of the vectors whose true group is of each size class (by its least number of links).
-    Vectors are drawn from each class of found components and stand for all of theirs."""
+def _audit(placed: DataFrame, dim: int, threshold: float, audit: int) -> dict[int, tuple[float, float]]:
+    """Recall of the vectors whose true group is of each size class (by its least number of links), and the
+    share of their links in cells that one end was led to. Vectors are drawn from each class of found
+    components and stand for all of theirs."""
     drawn = [
         placed.where(F.col("_cl") == c).orderBy(F.xxhash64("_id", F.lit(17)), "_id").limit(audit)
         for c in range(len(CLASSES))
     ]
     of_class = {r["_cl"]: r["count"] for r in placed.groupBy("_cl").count().collect()}
-    probe = pa.concat_tables([d.select("_id", "_r", "_v", "_cl").toArrow() for d in drawn])  # at most 4 * audit
+    probe = pa.concat_tables([d.select("_id", "_r", "_v", "_near", "_cl").toArrow() for d in drawn])  # at most 4 * audit
     took = probe.column("_cl").to_numpy()
     weight = {c: n / max(1, int((took == c).sum())) for c, n in of_class.items()}
-    total, held = np.zeros(len(CLASSES)), np.zeros(len(CLASSES))
+    total, held, led = (np.zeros(len(CLASSES)) for _ in range(3))
     for r in _true_links(probe, placed, dim, threshold).collect():
         c = int(np.searchsorted(CLASSES, r.n + 1, side="right")) - 1
         total[c] += weight[took[r.at]]
         held[c] += weight[took[r.at]] * r.got / r.n
-    return {CLASSES[c]: float(held[c] / total[c]) for c in np.flatnonzero(total)}
+        led[c] += weight[took[r.at]] * r.led / r.n
+    return {CLASSES[c]: (float(held[c] / total[c]), float(led[c] / total[c])) for c in np.flatnonzero(total)}
 
 
 def near_duplicates(
@@ -386,14 +490,17 @@ def near_duplicates(
     *,
     threshold: float = 0.9,
     shards: int = SHARDS,
+    cell_rows: int = CELL_ROWS,
     shard_rows: int = SHARD_ROWS,
+    probes: int = PROBES,
     beam: int = BEAM,
     audit: int = AUDIT,
     recall: float = RECALL,
     block: int = BLOCK,
 ) -> tuple[DataFrame, list[dict]]:
-    """``key, n_links, component_id, kept`` per row, and the audits: beam, recall of each size class of each
-    pass, and the least of them."""
+    """``key, n_links, component_id, kept`` per row, and the audits: cells asked, beam, recall of each size
+    class of each pass, and the least of them. ``shards`` is the least number of cells, ``shard_rows`` the
+    largest graph."""
     dim = dimension(df, vector)
     rows = df.withColumn("_id", F.col(key).cast("bigint"))
     rows = rows.withColumn("_ok", usable(vector, dim) & F.col("_id").isNotNull() if dim else F.lit(False))
@@ -406,47 +513,39 @@ def near_duplicates(
         .agg(F.min("_id").alias("_id"), F.count("*").alias("_w"), F.first("_v").alias("_v"))
     )
     n = classes.count()
-    shards = max(shards, -(-n // shard_rows))
-    dealt = classes.select(
-        F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(shards)).cast("int").alias("_sh"),
-        F.xxhash64("_id", F.lit(13)).alias("_o"),
-        "_id",
-        "_v",
-    )
-    graph = durable(
-        dealt.groupBy("_sh").applyInArrow(
-            _build_shard(dim), "_sh int, _pos int, _id bigint, _v array<double>, _links array<binary>"
-        )
-    )
-    chunks = max(1, -(-n // CHUNK_ROWS))
-    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    left = graph.withColumn("_ch", every)
-    right = classes.select("_id", "_v").withColumns(
-        {
-            "_ch": F.pmod(F.xxhash64("_id", F.lit(15)), F.lit(chunks)).cast("int"),
-            "_sh": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))),
-        }
-    )
+    centres = _centres(classes, dim, max(shards, min(CELLS, -(-n // cell_rows))))
+    cells, asked, found, graph = len(centres), 0, None, None
     audits: list[dict] = []
     while True:
-        found = durable(
-            left.groupBy("_sh", "_ch")
-            .cogroup(right.groupBy("_sh", "_ch"))
-            .applyInArrow(_ask_shard(dim, beam, threshold), "u bigint, v bigint")
-        )
+        routed = durable(_route(classes, dim, centres, probes))
+        if graph is None:
+            graph = durable(_graphs(routed, dim, shard_rows))
+        more = durable(_ask(routed, graph, asked, dim, beam, threshold))
+        found = more if found is None else found.unionByName(more)
         member = durable(components(found).select(F.col("node").alias("_id"), F.col("root").alias("_r")))
         sizes = member.groupBy("_r").agg(F.count("*").alias("_c"))
         sized = durable(member.join(sizes, "_r"))
         placed = durable(
-            classes.join(sized, "_id", "left").select(
-                "_id", "_v", F.coalesce("_r", "_id").alias("_r"), _class(F.coalesce("_c", F.lit(1))).alias("_cl")
+            routed.join(sized, "_id", "left").select(
+                "_id",
+                "_v",
+                "_near",
+                F.coalesce("_r", "_id").alias("_r"),
+                _class(F.coalesce("_c", F.lit(1))).alias("_cl"),
             )
         )
         by_size = _audit(placed, dim, threshold, audit)
-        audits.append({"beam": beam, "recall": min(by_size.values(), default=1.0), "by_size": by_size})
-        if audits[-1]["recall"] >= recall or beam >= max(n, 1):
+        least, led = min(by_size.values(), default=(1.0, 1.0))
+        audits.append(
+            {"probes": probes, "beam": beam, "recall": least, "by_size": {c: r for c, (r, _) in by_size.items()}}
+        )
+        if least >= recall or (beam >= n and probes >= cells):
             break
-        beam *= 2
+        # More cells if at least half of what is missed is missed by them.
+        if probes < cells and (1 - led >= (1 - least) / 2 or beam >= n):
+            asked, probes = probes, 2 * probes
+        else:
+            asked, beam = 0, 2 * beam
     inside = sized.join(classes.select("_id", "_w", "_v"), "_id")
     links = (
         in_cells(inside, "_r", "_id", "_c", block)

@@ -116,6 +116,72 @@ def test_small_groups_beside_a_large_cluster(spark, monkeypatch):
     assert [a["beam"] for a in audits] == [8, 16]
 
 
+def pairs_apart(rng, n, cos, dim=16):
+    """Pairs of that cosine in random directions."""
+    u, w = rng.normal(size=(2, n, dim))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w -= (w * u).sum(axis=1)[:, None] * u
+    w /= np.linalg.norm(w, axis=1)[:, None]
+    return np.concatenate([u, cos * u + np.sqrt(1 - cos**2) * w])
+
+
+def vectors(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def test_work_of_a_vector_does_not_follow_the_number_of_graphs(spark, monkeypatch, tmp_path):
+    """Not every vector asks every graph, and no link is lost by it."""
+    df = vectors(spark, pairs_apart(np.random.default_rng(8), 400, 0.995))
+    true_ask, folder = hnsw._ask_shard, str(tmp_path)
+
+    def ask_shard(*args):
+        ask = true_ask(*args)
+
+        def counted(key, graph, asked):
+            name = "-".join(str(k.as_py()) for k in key)
+            with open(f"{folder}/{name}", "w") as f:
+                f.write(f"{graph.num_rows} {asked.num_rows}")
+            return ask(key, graph, asked)
+
+        return counted
+
+    monkeypatch.setattr(hnsw, "_ask_shard", ask_shard)
+    got, audits = hnsw.near_duplicates(df, shards=32)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == plain(*whole(df))
+    assert len(audits) == 1
+    held, asked = np.array([p.read_text().split() for p in tmp_path.iterdir()], dtype=int).T
+    assert held.sum() == 800 and 0 < asked.sum() <= 4 * 800
+
+
+def test_links_across_cells_are_found(spark):
+    """Links at the threshold between vectors of different cells: more cells are asked, not a wider beam."""
+    df = vectors(spark, pairs_apart(np.random.default_rng(9), 600, 0.903))
+    got, audits = hnsw.near_duplicates(df, shards=32, probes=1)
+    truth = plain(*whole(df))
+    linked = [r for r in got.collect() if truth[r.vec_id][0]]
+    assert audits[0]["recall"] < 0.99 <= audits[-1]["recall"] and audits[-1]["probes"] > 1
+    assert {a["beam"] for a in audits} == {hnsw.BEAM}
+    assert len(linked) >= 1200
+    assert np.mean([truth[r.vec_id] == (r.n_links, r.component_id) for r in linked]) >= 0.99
+
+
+def test_crowded_cells_are_cut_into_parts(spark):
+    rng = np.random.default_rng(10)
+    hot = rng.normal(size=16) + 0.02 * rng.normal(size=(300, 16))
+    df = vectors(spark, np.concatenate([hot, pairs_apart(rng, 100, 0.99), rng.normal(size=(60, 16))]))
+    got, _ = hnsw.near_duplicates(df, shards=2, cell_rows=10_000, shard_rows=20)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == plain(*whole(df))
+
+
+def test_centres():
+    rng = np.random.default_rng(11)
+    x = hnsw.unit(np.repeat(np.eye(4), 50, axis=0) + 0.01 * rng.normal(size=(200, 4))).astype(np.float32)
+    c = hnsw.fit_centres(x, 12)
+    assert np.allclose(np.linalg.norm(c, axis=1), 1, atol=1e-5) and (x @ c.T).max(axis=1).min() > 0.99
+    assert len(hnsw.fit_centres(x[:3], 12)) <= 3
+    assert np.isfinite(hnsw.fit_centres(np.array([[1, 0], [-1, 0]], dtype=np.float32), 1)).all()
+
+
 def test_vector_dedup_whole_table(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     got = QUERIES["op9_embedding_dedup"][0](spark, SF).collect()
