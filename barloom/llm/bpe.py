@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barloom.llm.common import in_slices, per_worker, small_batches, text_of
+from barloom.llm.common import in_slices, per_worker, small_batches, text_of, trim
 
 #: Split pattern of byte-level models (fixed value).
 PATTERN = (
@@ -39,6 +39,8 @@ REMEMBERED = 250_000
 CHUNK = 50_000
 #: Pieces encoded in one call; the library's results are some hundred bytes a piece.
 CALL = 4096
+#: Bytes of one Arrow batch to encode: ids and decoded bytes of all its texts are held beside it.
+BATCH = 2 << 20
 
 
 @lru_cache(maxsize=1)
@@ -196,7 +198,7 @@ def encode(
 
     The model (a few MB, bounded by the vocabulary) is broadcast; the path is read on the driver.
     """
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, BATCH)
     model = library_model(path)
     shared = df.sparkSession.sparkContext.broadcast(model.encode())
     ident = hashlib.sha256(shared.value + pattern.encode()).hexdigest()
@@ -232,7 +234,9 @@ def encode(
             columns["decoded"] = pa.array([join_tokens(words, ids) for ids in packed], pa.binary())
         return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 
-    return df.withColumn(into, F.arrow_udf(in_slices(run), f"struct<{_ddl(fields)}>")(text_of(text)))
+    # Encoding frees many small objects; the allocator would keep their memory.
+    udf = F.arrow_udf(in_slices(run, after=trim), f"struct<{_ddl(fields)}>")
+    return df.withColumn(into, udf(text_of(text)))
 
 
 def _ddl(fields: str) -> str:
